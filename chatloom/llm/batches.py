@@ -32,3 +32,26 @@ def as_arrow(schema: str) -> pa.Schema:
     """``"a long, b string"`` as an Arrow schema."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
     return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in schema.split(", "))])
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of a partition that is sorted by integer ``keys``, one table at a time."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        edges = np.concatenate([[0], np.flatnonzero(change), [batch.num_rows]]).tolist()
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            key = tuple(int(c[a]) for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)

@@ -4,8 +4,8 @@ Sampled splitters range-partition the normalised bytes; each partition is sorted
 texts are adjacent, and neighbouring rows are compared in full.  The splitter key is bounded (the first 32
 bytes, a 64-bit hash of the whole text and the identifier), so the driver's sample never holds whole texts, and
 a group of copies of any size is dealt over as many partitions as it needs: the identifier is part of the key.
-Only runs at a partition's edges can go on in another partition.  They are summed up over all partitions: at
-most two keys for each partition, the proven bound of the one broadcast.
+Only runs at a partition's edges can go on in another partition.  They are summed up over all partitions, at
+most two keys for each, and only rows of such runs are joined with the sums.
 
 Defined results: a null text counts as empty; null identifiers never win over others; of rows that repeat an
 identifier and a text, one is kept; an empty table gives no rows; other columns are not read.
@@ -105,13 +105,12 @@ def content_sort(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
     runs = written(ranged.mapInArrow(_mark_runs(keep == "largest"), _RUNS), "content-runs")
     best = F.max if keep == "largest" else F.min
     edges = runs.filter("at_edge").groupBy("text_sha256").agg(F.count(F.lit(1)).alias("size"), best("doc_id").alias("best"))
-    edges = edges.withColumn("at_edge", F.lit(True))
-    out = runs.join(F.broadcast(edges), ["at_edge", "text_sha256"], "left")
-    kept_id = F.when(F.col("size").isNotNull(), F.col("best")).otherwise(F.col("local_keep"))
+    inner = runs.filter(~F.col("at_edge")).withColumns({"size": F.col("local_size"), "best": F.col("local_keep")})
+    out = inner.unionByName(runs.filter("at_edge").join(edges, "text_sha256"))
     return out.select(
         "doc_id",
-        kept_id.alias("keep_id"),
-        F.coalesce("size", "local_size").alias("group_size"),
-        (F.col("leads") & F.col("doc_id").eqNullSafe(kept_id)).alias("kept"),
+        F.col("best").alias("keep_id"),
+        F.col("size").alias("group_size"),
+        (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("best"))).alias("kept"),
         "text_sha256",
     )

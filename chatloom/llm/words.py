@@ -133,3 +133,20 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[n
             total = np.uint64((int(total) + int(w) * int(mix64(np.array([k + 101], np.uint64))[0] | np.uint64(1))) & (1 << 64) - 1)
         value[out[d]] = total
     return mix64(value), out
+
+
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte position of every word's first byte, and the offsets of each document's words in that array."""
+    is_word = _cached_tables()[1]
+    lo, hi = int(offsets[0]), int(offsets[-1])
+    inside = is_word[data[lo:hi]]
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    edge = offsets[(offsets > lo) & (offsets < hi)] - lo
+    starts[edge] = inside[edge]
+    where = np.flatnonzero(starts) + lo
+    return where, np.searchsorted(where, offsets)
+
+
+def word_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return np.diff(word_starts(data, offsets)[1])
