@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from chatloom.llm.chat import format_chats, read_chats, threads
 from chatloom.llm.content_sort import content_sort
+from chatloom.llm.language_id import identify
+from chatloom.llm.line_dedup import line_dedup
+from chatloom.llm.media import media_column, media_features
 from chatloom.llm.minhash import near_duplicates
 from chatloom.llm.mixing import mix_sources, taken_words
 from chatloom.llm.prefix_bpe import encode_and_decode
+from chatloom.llm.toxicity import toxicity
+from chatloom.llm.warc import archived
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,3 +79,79 @@ least AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN least ON node = d.doc_id
 """
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = archived(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
+QUERIES["op1_warc"] = op1_warc
+ORACLE_SQL["op1_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS keeper FROM p)
+SELECT page_id, strlen(html) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(hex, CAST(1 + (5 * i) // 4 AS INT), 2))::INT >> (3 - (5 * i) % 4)::INT) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to, true AS verified
+FROM k
+"""
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_lines", "removed_lines", "text")
+
+
+QUERIES["op3_line_dedup"] = op3_line_dedup
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(media_column(table(spark, sf_dir, "documents")))
+
+
+QUERIES["op4_media"] = op4_media
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").withColumn("low_quality", 1 - F.col("quality"))
+    return toxicity(table(spark, sf_dir, "documents"), labels)
+
+
+QUERIES["op6_toxicity"] = op6_toxicity
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return identify(table(spark, sf_dir, "documents"), held_out)
+
+
+QUERIES["op8_language_id"] = op8_language_id
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    chats = format_chats(threads(rows))
+    return read_chats(chats).withColumnRenamed("tree", "conv_id")
+
+
+QUERIES["op9_chat"] = op9_chat
+ORACLE_SQL["op9_chat"] = r"""
+WITH every AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+escaped AS (
+  SELECT *, length(text) + length(text) - length(replace(text, chr(92), ''))
+    + (length(text) - length(replace(text, '<|turn|>', ''))) // 8 + (length(text) - length(replace(text, '<|/turn|>', ''))) // 9
+    + (length(text) - length(replace(text, '<s>', ''))) // 3 + (length(text) - length(replace(text, '</s>', ''))) // 4
+    + (length(text) - length(replace(text, '[INST]', ''))) // 6 + (length(text) - length(replace(text, '[/INST]', ''))) // 7
+    + (length(text) - length(replace(text, '<<SYS>>', ''))) // 7 + (length(text) - length(replace(text, '<</SYS>>', ''))) // 8 AS chars FROM every)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars + length(role) + 18) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""

@@ -1,6 +1,7 @@
 """Vectorised words and word shingles over the buffers of an Arrow string column.
 
-A word is a maximal run of bytes other than space, TAB, LF, VT, FF and CR; A-Z are lower-cased.  Everything
+A word is a maximal run of bytes other than space, TAB, LF, VT, FF and CR, or, where ``bare`` is asked for, of ASCII
+letters and digits and bytes over 127; A-Z are lower-cased.  Everything
 here works on the UTF-8 bytes of a whole batch at once, so no Python string is made for any document.
 Nulls and empty texts have no words.
 """
@@ -26,18 +27,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _tables() -> tuple[np.ndarray, ...]:
     code = np.arange(256, dtype=np.int64)
     lowered = np.where((code >= 65) & (code <= 90), code + 32, code)
     symbol = mix64((lowered + 1).astype(np.uint64))
     space = (code == 0x20) | ((code >= 0x09) & (code <= 0x0D))
+    plain = (code >= 128) | ((lowered >= 97) & (lowered <= 122)) | ((code >= 48) & (code <= 57))
     ones = np.full(PIECE_BYTES + 1, 1, np.uint64)
     powers, inverse = ones.copy(), ones.copy()
     powers[1:] = _BASE
     inverse[1:] = _BASE_INV
     np.multiply.accumulate(powers, out=powers)
     np.multiply.accumulate(inverse, out=inverse)
-    return symbol, ~space, powers, inverse
+    return symbol, ~space, powers, inverse, plain
 
 
 _CACHE: list = []
@@ -61,9 +63,11 @@ def utf8_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word, and the offsets of each document's words in that array."""
-    symbol, is_word, powers, inverse = _cached_tables()
+    symbol, is_word, powers, inverse, plain = _cached_tables()
+    if bare:
+        is_word = plain
     lo, hi = int(offsets[0]), int(offsets[-1])
     hashes, at = [], []
     begin = lo

@@ -1,8 +1,71 @@
-"""The corpus pipeline (stages are added as their operators land)."""
+"""The corpus pipeline: toxicity, line dedup, near-dedup, mixing and tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
+stage's ``docs``; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chatloom.llm.line_dedup import line_dedup
+from chatloom.llm.minhash import near_duplicates
+from chatloom.llm.mixing import mixed_documents
+from chatloom.llm.prefix_bpe import encode_and_decode
+from chatloom.llm.toxicity import clean_documents
+from chatloom.session import ship, written
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain's last category rejects go."""
+    labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet").withColumn("low_quality", 1 - F.col("quality"))
+    return clean_documents(docs, labels)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeated runs of lines are cut; a document of which nothing is left goes."""
+    ship(spark)
+    out = line_dedup(docs)
+    left = (F.col("removed_lines") == 0) | (F.trim("text", F.lit(" \n\r\t\x0b\x0c")) != "")
+    return out.filter(left).select(docs.columns).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays; rows that repeat an identifier are one document."""
+    ship(spark)
+    dropped = near_duplicates(docs).filter(~F.col("kept") & F.col("component_id").isNotNull()).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source in its target share: a row per document and pass over it."""
+    ship(spark)
+    return mixed_documents(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, their count and digest, and the digest of what they decode to."""
+    ship(spark)
+    return encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("line_dedup", without_repeated_lines),
+    ("near_dedup", without_near_copies),
+    ("mixing", mixed),
+    ("prefix_bpe", tokens),
+]
 
-STAGES = []
 ORACLE_SQL = None
+"""SQL can't express the trained classifier, the draws or the merges; tests/llm holds a brute-force version."""
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
