@@ -1,15 +1,16 @@
-"""Toxicity by a classifier chain of linear models over hashed word presence.
+"""Toxicity by a classifier chain of linear models over the presence of hashed subwords.
 
 Categories are predicted one after the other; each later model also takes the probabilities of the earlier ones.
 In training these are out-of-fold predictions, so a later model sees what it will see when scoring.  A model is a
-logistic regression with an L2 penalty over the words that best separate its category (chosen by chi-square inside
-the fold).
+logistic regression with an L2 penalty over the subwords (byte n-grams of words framed by boundaries) that best
+separate its category, chosen by chi-square and scaled by their log-odds inside the fold, so that rare but telling
+ones are learned as fast as common ones.
 
 Training uses a bounded sample of labelled documents, at most ``STRATUM_ROWS`` for each combination of categories,
-those of the smallest hash of doc_id; their word indices come to the driver, never texts.  Scoring is one pass over all
+those of the smallest hash of doc_id; their bucket numbers come to the driver, never texts.  Scoring is one pass over all
 documents with the weights (a fixed size) in the task's closure.
 
-Defined results: null and empty texts have no words and get the models' intercepts; rows with a null label in any
+Defined results: null and empty texts have no subwords and get the models' intercepts; rows with a null label in any
 category aren't used in training; repeated labels of a document count once, as positive if any is; a category with
 only one class in the sample always predicts that class; with no labels every probability is 0; repeated rows
 repeat their result; other columns are not read.
@@ -26,21 +27,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.llm.batches import as_arrow, text_slices
-from chatloom.llm.words import utf8_buffers, word_hashes
+from chatloom.llm.words import subword_hashes
 
-BUCKETS = 1 << 18
+BITS = 21
+BUCKETS = 1 << BITS
 STRATUM_ROWS = 1500
-WORDS_KEPT = 1000
+SIZES = (4, 5, 6)
+KEPT = 2000
+LEAST_CHI = 15.0
+PART_BYTES = 1 << 20
 FOLDS = 3
 STEPS = 150
 PENALTY = 1.0
 
 
-def word_buckets(batch: pa.RecordBatch) -> list[np.ndarray]:
-    """The distinct hashed words of every row."""
-    words, at = word_hashes(*utf8_buffers(batch.column("text")), bare=True)
-    buckets = (words >> np.uint64(64 - 18)).astype(np.int32)
-    return [np.unique(buckets[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+def subword_buckets(texts: list[bytes], chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of the distinct subwords of every text, in order; only the ``chosen`` buckets where given.
+
+    Texts go through in parts of ``PART_BYTES``; a longer one is cut, and its parts' subwords are put together.
+    """
+    parts: list[tuple[int, bytes]] = [(i, t[a : a + PART_BYTES]) for i, t in enumerate(texts) for a in range(0, len(t), PART_BYTES)]
+    keys, at = [], 0
+    while at < len(parts):
+        end, size = at, 0
+        while end < len(parts) and (end == at or size + len(parts[end][1]) <= PART_BYTES):
+            size += len(parts[end][1])
+            end += 1
+        hashes, offsets = subword_hashes([p for _, p in parts[at:end]], SIZES)
+        bucket = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+        key = np.repeat(np.array([i for i, _ in parts[at:end]], np.int64), np.diff(offsets)) * BUCKETS + bucket
+        keys.append(np.unique(key if chosen is None else key[chosen[bucket]]))
+        at = end
+    every = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    return every // BUCKETS, every % BUCKETS
 
 
 @dataclass(frozen=True)
@@ -58,17 +77,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Sample:
-    """Rows of word buckets, all in one array."""
+    """Rows of subword buckets, all in one array."""
 
-    def __init__(self, rows: list[np.ndarray]) -> None:
-        self.sizes = np.array([len(r) for r in rows], np.int64)
-        self.row = np.repeat(np.arange(len(rows)), self.sizes)
-        self.bucket = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
+    def __init__(self, n: int, row: np.ndarray, bucket: np.ndarray) -> None:
+        self.n, self.row, self.bucket = n, row, bucket
 
     def scores(self, model: Linear, earlier: np.ndarray) -> np.ndarray:
         dense = np.zeros(BUCKETS)
         dense[model.buckets] = model.weights
-        return np.bincount(self.row, dense[self.bucket], len(self.sizes)) + earlier @ model.earlier + model.bias
+        return np.bincount(self.row, dense[self.bucket], self.n) + earlier @ model.earlier + model.bias
 
 
 def fit(sample: Sample, rows: np.ndarray, label: np.ndarray, earlier: np.ndarray) -> Linear:
@@ -77,7 +94,7 @@ def fit(sample: Sample, rows: np.ndarray, label: np.ndarray, earlier: np.ndarray
     k = earlier.shape[1]
     if not len(rows) or y.min() == y.max():
         return Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(k), 40.0 if len(rows) and y[0] else -40.0)
-    number = np.full(len(sample.sizes), -1)
+    number = np.full(sample.n, -1)
     number[rows] = np.arange(len(rows))
     own = number[sample.row] >= 0
     row, bucket = number[sample.row[own]], sample.bucket[own]
@@ -88,29 +105,44 @@ def fit(sample: Sample, rows: np.ndarray, label: np.ndarray, earlier: np.ndarray
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = (hit - expected) ** 2 / (expected * (1 - positive / n) * (1 - seen / n + 1e-9))
     chi[(seen < 3) | ~np.isfinite(chi)] = 0
-    kept = np.argsort(-chi, kind="stable")[:WORDS_KEPT]
-    kept = kept[chi[kept] > 0]
-    dense = np.zeros((n, len(kept) + k), np.float32)
+    kept = np.argsort(-chi, kind="stable")[:KEPT]
+    kept = kept[chi[kept] > LEAST_CHI]
+    odds = np.log((hit[kept] + 0.5) / (positive + 1)) - np.log((seen[kept] - hit[kept] + 0.5) / (n - positive + 1))
+    scale = np.concatenate([odds, np.ones(k)])
     place = np.full(BUCKETS, -1)
     place[kept] = np.arange(len(kept))
     some = place[bucket] >= 0
-    dense[row[some], place[bucket[some]]] = 1
-    dense[:, len(kept) :] = earlier[rows]
-    w, ahead, bias, bias_ahead, t = np.zeros(dense.shape[1], np.float32), np.zeros(dense.shape[1], np.float32), 0.0, 0.0, 1.0
-    rate = 1.0 / (0.25 * float((dense.sum(1) ** 2).mean()) ** 0.5 * 4 + PENALTY / n + 1.0)
+    at = np.concatenate([row[some], np.tile(np.arange(n), k)])
+    column = np.concatenate([place[bucket[some]], np.repeat(np.arange(k) + len(kept), n)])
+    value = np.concatenate([odds[place[bucket[some]]], earlier[rows].T.reshape(-1)])
+
+    def ahead_of(x: np.ndarray) -> np.ndarray:
+        return np.bincount(at, value * x[column], n)
+
+    def back_of(x: np.ndarray) -> np.ndarray:
+        return np.bincount(column, value * x[at], len(scale))
+
+    top, size = np.ones(len(scale)), 1.0
+    for _ in range(20):  # the largest curvature, by power iteration
+        top = back_of(ahead_of(top))
+        size = float(np.linalg.norm(top)) or 1.0
+        top /= size
+    rate = 1.0 / (0.25 * size / n * 1.1 + PENALTY / n + 0.25)
+    w, here, bias, bias_here, t = np.zeros(len(scale)), np.zeros(len(scale)), 0.0, 0.0, 1.0
     for _ in range(STEPS):
-        error = _sigmoid(dense @ ahead + bias_ahead) - y
-        new = ahead - np.float32(rate) * (dense.T @ error.astype(np.float32) / n + PENALTY / n * ahead)
-        new_bias = bias_ahead - rate * float(error.mean())
+        error = _sigmoid(ahead_of(here) + bias_here) - y
+        new = here - rate * (back_of(error) / n + PENALTY / n * here)
+        new_bias = bias_here - rate * float(error.mean())
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        ahead, bias_ahead = new + np.float32((t - 1) / t_new) * (new - w), new_bias + (t - 1) / t_new * (new_bias - bias)
+        here, bias_here = new + (t - 1) / t_new * (new - w), new_bias + (t - 1) / t_new * (new_bias - bias)
         w, bias, t = new, new_bias, t_new
-    return Linear(kept, w[: len(kept)].astype(np.float64), w[len(kept) :].astype(np.float64), bias)
+    w = w * scale
+    return Linear(kept, w[: len(kept)], w[len(kept) :], bias)
 
 
-def fit_chain(rows: list[np.ndarray], labels: np.ndarray) -> list[Linear]:
+def fit_chain(sample: Sample, labels: np.ndarray) -> list[Linear]:
     """``labels``: a column per category, in the order of the chain."""
-    sample, n = Sample(rows), len(rows)
+    n = sample.n
     fold, chain, earlier = np.arange(n) % FOLDS, [], np.zeros((n, 0))
     for c in range(labels.shape[1]):
         chain.append(fit(sample, np.arange(n), labels[:, c], earlier))
@@ -123,17 +155,25 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray) -> list[Linear]:
     return chain
 
 
-def chain_probabilities(chain: list[Linear], rows: list[np.ndarray]) -> np.ndarray:
-    sample, out = Sample(rows), np.zeros((len(rows), 0))
+def chain_probabilities(chain: list[Linear], texts: list[bytes]) -> np.ndarray:
+    chosen = np.zeros(BUCKETS, bool)
+    for model in chain:
+        chosen[model.buckets] = True
+    sample, out = Sample(len(texts), *subword_buckets(texts, chosen)), np.zeros((len(texts), 0))
     for model in chain:
         out = np.column_stack([out, _sigmoid(sample.scores(model, out))])
     return out
 
 
+def _bytes(column: pa.Array) -> list[bytes]:
+    return column.cast(pa.binary()).fill_null(b"").to_pylist()
+
+
 def _to_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches, "text"):
-        found = word_buckets(batch)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f.tolist() for f in found], pa.list_(pa.int32()))], names=["doc_id", "buckets"])
+        row, bucket = subword_buckets(_bytes(batch.column("text")))
+        offsets = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bucket.astype(np.int32)))], names=["doc_id", "buckets"])
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], text: str = "text", doc_id: str = "doc_id") -> list[Linear]:
@@ -152,9 +192,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], text: str =
     spark = docs.sparkSession
     sample = F.broadcast(spark.createDataFrame(picked, known.schema).select("doc_id"))  # at most STRATUM_ROWS for each combination
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(sample, "doc_id")
-    words = {r["doc_id"]: np.array(r["buckets"], np.int64) for r in texts.mapInArrow(_to_buckets, "doc_id long, buckets array<int>").collect()}
-    rows = sorted((r for r in picked if r["doc_id"] in words), key=lambda r: r["doc_id"])
-    return fit_chain([words[r["doc_id"]] for r in rows], np.array([[r[y] for y in ys] for r in rows]).reshape(len(rows), len(ys)))
+    found = texts.mapInArrow(_to_buckets, "doc_id long, buckets array<int>").toArrow().combine_chunks()
+    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
+    y = {r["doc_id"]: [r[c] for c in ys] for r in picked}
+    lists = [found["buckets"][int(i)].values.to_numpy() for i in order]
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    sample = Sample(len(lists), row, np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64))
+    return fit_chain(sample, np.array([y[int(found["doc_id"][int(i)].as_py())] for i in order]).reshape(len(lists), len(ys)))
 
 
 def _score(chain: list[Linear], n: int):
@@ -163,7 +207,7 @@ def _score(chain: list[Linear], n: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = as_arrow(fields)
         for batch in text_slices(batches, "text"):
-            p = chain_probabilities(chain, word_buckets(batch)) if chain else np.zeros((batch.num_rows, n))
+            p = chain_probabilities(chain, _bytes(batch.column("text"))) if chain else np.zeros((batch.num_rows, n))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, i]) for i in range(n))], schema=schema)
 
     return score, fields
@@ -185,8 +229,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame, categories: tuple[str, .
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, text):
-            one = pa.RecordBatch.from_arrays([batch.column(text)], names=["text"])
-            rejected = chain_probabilities(chain, word_buckets(one))[:, -1] >= threshold if chain else np.zeros(batch.num_rows, bool)
+            rejected = chain_probabilities(chain, _bytes(batch.column(text)))[:, -1] >= threshold if chain else np.zeros(batch.num_rows, bool)
             yield batch.filter(pa.array(~rejected))
 
     return docs.mapInArrow(keep, docs.schema)

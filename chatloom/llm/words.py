@@ -1,7 +1,6 @@
 """Vectorised words and word shingles over the buffers of an Arrow string column.
 
-A word is a maximal run of bytes other than space, TAB, LF, VT, FF and CR, or, where ``bare`` is asked for, of ASCII
-letters and digits and bytes over 127; A-Z are lower-cased.  Everything
+A word is a maximal run of bytes other than space, TAB, LF, VT, FF and CR; A-Z are lower-cased.  Everything
 here works on the UTF-8 bytes of a whole batch at once, so no Python string is made for any document.
 Nulls and empty texts have no words.
 """
@@ -63,11 +62,9 @@ def utf8_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, bare: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word, and the offsets of each document's words in that array."""
-    symbol, is_word, powers, inverse, plain = _cached_tables()
-    if bare:
-        is_word = plain
+    symbol, is_word, powers, inverse, _ = _cached_tables()
     lo, hi = int(offsets[0]), int(offsets[-1])
     hashes, at = [], []
     begin = lo
@@ -154,3 +151,25 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def word_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(word_starts(data, offsets)[1])
+
+
+def subword_hashes(texts: list[bytes], sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all byte n-grams inside words framed by one boundary each, and the offsets per text.
+
+    Here words are of ASCII letters and digits and bytes over 127, and the texts together have less than PIECE_BYTES.
+    """
+    symbol, _, powers, inverse, plain = _cached_tables()
+    data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    inside = plain[data]
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(np.where(inside, symbol[data], symbol[32]) * powers[: len(data)], out=total[1:])
+    breaks = np.concatenate([[0], np.cumsum(~inside)])
+    hashes, usable = np.zeros((len(data), len(sizes)), np.uint64), np.zeros((len(data), len(sizes)), bool)
+    for k, n in enumerate(sizes):
+        m = len(data) - n + 1
+        if m > 0:
+            hashes[:m, k] = mix64((total[n:] - total[:-n]) * inverse[:m] + np.uint64(n))
+            usable[:m, k] = breaks[n - 1 : n - 1 + m] == breaks[1 : 1 + m]
+    counts = np.concatenate([[0], np.cumsum(usable.sum(1))])
+    return hashes[usable], counts[bounds]
