@@ -11,8 +11,8 @@ A turn is ``<|turn|>role\\ntext<|/turn|>``.  Inside roles and texts a backslash
 is broken by a backslash after its first character, so none occurs there; taking each backslash-escaped character
 for itself gives the text back.  The loss mask lists the spans (code points) of assistant texts.
 
-Defined results: null roles and texts are empty; a message whose parent is missing is a root; messages of a cycle are on
-no path; repeated rows of a message count once, the least by role and text; null scores are 0; ties of branches
+Defined results: null roles and texts are empty; a message whose parent is missing is a root; messages of a cycle and
+replies to them are on no path; repeated rows of a message count once, the least by role and text; null scores are 0; ties of branches
 go to the smallest leaf; an empty table gives no conversations; other columns are not read.
 """
 
@@ -32,7 +32,6 @@ from chatloom.session import written
 
 CONTROL = ("<|turn|>", "<|/turn|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 OPEN, CLOSE = CONTROL[:2]
-MOST_STEPS = 40
 _FIND = re.compile("|".join(re.escape(c) for c in sorted(CONTROL, key=len, reverse=True)))
 
 
@@ -69,20 +68,25 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 def leaf_paths(nodes: DataFrame) -> DataFrame:
-    """(leaf, node, up) for every leaf and every node on its way to the root.  ``nodes``: node, parent (null at roots)."""
+    """(leaf, node, up) for every leaf and every node on its way to the root.  ``nodes``: node, parent (null at roots).
+
+    While roots are reached, each table of ancestors 2**k up is smaller than the last; nodes that are left when it
+    stays as large lead into a cycle and are on no path.
+    """
     here = nodes.select(F.col("node").alias("known"))
     up = nodes.filter("parent IS NOT NULL").select("node", F.col("parent").alias("above"))
     jumps = [written(up.join(here, F.col("above") == F.col("known"), "left_semi"), "chat-up-0")]
-    for k in range(1, MOST_STEPS):
+    left = [jumps[0].count()]
+    while left[-1] and (len(left) == 1 or left[-1] < left[-2]):
         low = jumps[-1]
         high = low.join(low.select(F.col("node").alias("above"), F.col("above").alias("top")), "above").select("node", F.col("top").alias("above"))
-        high = written(high, f"chat-up-{k}")
-        if high.isEmpty():
-            break
-        jumps.append(high)
+        jumps.append(written(high, f"chat-up-{len(jumps)}"))
+        left.append(jumps[-1].count())
+    endless = jumps[-1].select("node")
     inner = jumps[0].select(F.col("above").alias("node")).distinct()
-    paths = nodes.select("node").join(inner, "node", "left_anti").select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    for k in reversed(range(len(jumps))):
+    leaves = nodes.select("node").join(inner, "node", "left_anti").join(endless, "node", "left_anti")
+    paths = leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    for k in reversed(range(len(jumps) - 1)):
         higher = paths.join(jumps[k], "node").select("leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
         paths = paths.unionByName(higher)
     return paths
