@@ -117,10 +117,10 @@ def fit(sample: Sample, rows: np.ndarray, label: np.ndarray, earlier: np.ndarray
     value = np.concatenate([odds[place[bucket[some]]], earlier[rows].T.reshape(-1)])
 
     def ahead_of(x: np.ndarray) -> np.ndarray:
-        return np.bincount(at, value * x[column], n)
+        return np.bincount(at, value * x[column], n).astype(np.float64)  # whole numbers where nothing is kept
 
     def back_of(x: np.ndarray) -> np.ndarray:
-        return np.bincount(column, value * x[at], len(scale))
+        return np.bincount(column, value * x[at], len(scale)).astype(np.float64)
 
     top, size = np.ones(len(scale)), 1.0
     for _ in range(20):  # the largest curvature, by power iteration

@@ -115,16 +115,46 @@ def test_queries_against_sql(shipped, name):
     assert key([[r[x] for x in columns] for r in got]) == key(relation.fetchall())
 
 
-def test_pipeline(shipped):
+def test_pipeline_stages_equal_brute_force(shipped):
+    import public_tokenizers
+    import tiktoken
+    from test_text_operators import RANKS, brute_components, brute_line_dedup
+
     import corpus_pipeline as P
+    from chatloom.llm.mixing import mix_sources, taken_words
+    from chatloom.llm.prefix_bpe import PrefixCoder
+    from chatloom.llm.toxicity import toxicity
 
     docs = shipped.read.parquet(f"{SF}/documents.parquet")
-    left, sizes = docs, {}
-    for name, stage in P.STAGES[:-1]:
-        left = stage(shipped, left, SF).cache()
-        assert left.columns == docs.columns
-        sizes[name] = left.select("doc_id").distinct().count()
-    assert docs.count() >= sizes["toxicity"] >= sizes["line_dedup"] >= sizes["near_dedup"] >= sizes["mixing"] > 0
-    out = P.run(shipped, SF).collect()
-    texts = {hashlib.sha256(r.text.encode()).hexdigest() for r in left.collect()}
-    assert {r.decoded_sha256 for r in out} == texts and all(len(r.ids) == r.n_tokens for r in out)
+    labels = shipped.read.parquet(f"{SF}/labels.parquet").withColumn("low_quality", 1 - F.col("quality"))
+    stages, before = dict(P.STAGES), docs
+    assert [n for n, _ in P.STAGES] == ["toxicity", "line_dedup", "near_dedup", "mixing", "prefix_bpe"]
+
+    def texts(df):
+        return {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+
+    clean = stages["toxicity"](shipped, before, SF).cache()
+    rejected = {r.doc_id for r in toxicity(docs, labels).filter("toxic").collect()}
+    assert texts(clean) == {i: t for i, t in texts(docs).items() if i not in rejected}
+
+    unique = stages["line_dedup"](shipped, clean, SF).cache()
+    want = brute_line_dedup(shipped, sorted(texts(clean).items()), 25, 50)
+    assert texts(unique) == {i: t for i, t in want.items() if t.strip() or t == texts(clean)[i]}
+
+    apart = stages["near_dedup"](shipped, unique, SF).cache()
+    roots = brute_components(sorted(texts(unique).items()), 5, 80)
+    assert texts(apart) == {i: t for i, t in texts(unique).items() if roots[i] == i}
+
+    mixed = stages["mixing"](shipped, apart, SF).cache()
+    taken = {r.doc_id: r.taken for r in taken_words(mix_sources(apart)).collect() if r.taken}
+    words = defaultdict(int)
+    for r in mixed.collect():
+        words[r.doc_id] += len(r.text.split())
+    assert words == taken
+
+    out = stages["prefix_bpe"](shipped, mixed, SF).collect()
+    with open(RANKS, "rb") as f:
+        library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=PrefixCoder(f.read()).rank, special_tokens={})
+    assert sorted((r.doc_id, r.ids) for r in out) == sorted((r.doc_id, library.encode_ordinary(r.text)) for r in mixed.collect())
+    assert all(s.columns == docs.columns for s in (clean, unique, apart, mixed))
+    assert sorted((r.doc_id, r.ids_sha256) for r in P.run(shipped, SF).collect()) == sorted((r.doc_id, r.ids_sha256) for r in out)

@@ -171,21 +171,61 @@ def test_components_of_long_paths_and_stars(shipped):
 # line dedup
 
 
-def brute_fingerprints(units: list[tuple[int, str, int]], gram: int, window: int, hashes) -> list[tuple[int, tuple, int]]:
-    """(first unit, gram lines, number of lines) of every selected gram of one document."""
-    starts = np.concatenate([[0], np.cumsum([w for _, _, w in units])]).astype(int)
-    grams = []
-    for p in range(len(units)):
-        end = p
-        while end < len(units) and starts[end] - starts[p] < gram:
-            end += 1
-        grams.append((tuple(u[1] for u in units[p:end]), end) if starts[end] - starts[p] >= gram else None)
-    chosen = set()
-    for p in range(len(units)):
-        inside = [q for q in range(p, len(units)) if starts[q] - starts[p] <= window - gram and grams[q]]
-        if inside:
-            chosen.add(min(inside, key=lambda q: (hashes[grams[q][0]], units[q][0])))
-    return [(q, grams[q][0], grams[q][1] - q) for q in sorted(chosen)]
+def brute_line_dedup(spark, docs: list[tuple[int, str]], gram: int, window: int) -> dict[int, str]:
+    """Winnowing in plain loops; only the hashes of lines and grams come from Spark."""
+    units = {i: [(p, line.strip(" \t\r\x0b\x0c")) for p, line in enumerate(text.split("\n")) if line.strip(" \t\r\x0b\x0c")] for i, text in docs}
+    lines = sorted({u for us in units.values() for _, u in us})
+    h = {r.l: r.h for r in spark.createDataFrame([(x,) for x in lines], "l string").select("l", F.xxhash64("l").alias("h")).collect()}
+    grams, starts = {}, {}
+    for i, us in units.items():
+        starts[i] = at = list(itertools.accumulate([0] + [len(u.split()) for _, u in us]))
+        for q in range(len(us)):
+            end = next((e for e in range(q, len(us) + 1) if at[e] - at[q] >= gram), None)
+            grams[i, q] = None if end is None else tuple(h[u] for _, u in us[q:end])
+    lists = sorted({g for g in grams.values() if g})
+    gh = {tuple(r.g): r.x for r in spark.createDataFrame([(list(g),) for g in lists], "g array<long>").select("g", F.xxhash64("g").alias("x")).collect()}
+    prints = set()
+    for i, us in units.items():
+        for p in range(len(us)):
+            inside = [q for q in range(p, len(us)) if starts[i][q] - starts[i][p] <= window - gram and grams[i, q]]
+            if inside:
+                prints.add((i, min(inside, key=lambda q: (gh[grams[i, q]], q))))
+    first = {}
+    for i, q in sorted(prints):
+        first.setdefault(grams[i, q], (i, q))
+    cut = defaultdict(set)
+    for i, q in prints:
+        i0, q0 = first[grams[i, q]]
+        if (i, q) == (i0, q0):
+            continue
+
+        def reach(k: int, i: int = i, q: int = q, i0: int = i0, q0: int = q0) -> bool:
+            """Is the unit k away in both documents, near enough to the fingerprint, and equal?"""
+            ok = 0 <= q + k < len(units[i]) and 0 <= q0 + k < len(units[i0])
+            near = lambda d, x: -window <= starts[d][x + k] - starts[d][x] <= gram + window
+            return ok and near(i, q) and near(i0, q0) and units[i][q + k][1] == units[i0][q0 + k][1]
+
+        a = b = 0
+        while reach(a - 1):
+            a -= 1
+        while reach(b + 1):
+            b += 1
+        cut[i].update(range(units[i][q + a][0], units[i][q + b][0] + 1))
+    return {i: "\n".join(x for p, x in enumerate(text.split("\n")) if p not in cut[i]) for i, text in docs}
+
+
+def test_line_dedup_equals_brute_force(shipped):
+    rnd = random.Random(21)
+    pool = [" ".join(f"p{i}x{j}" for j in range(rnd.choice((1, 2, 7, 15, 26, 60)))) for i in range(40)] + ["", "  "]
+    docs = []
+    for i in range(80):
+        lines = []
+        for _ in range(rnd.randrange(1, 5)):
+            s = rnd.randrange(42)
+            lines += [pool[(s + j) % 42] for j in range(rnd.randrange(1, 9))]
+        docs.append((i, "\n".join(lines)))
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(shipped.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_line_dedup(shipped, docs, 25, 50)
 
 
 def test_line_dedup_cuts_later_passages(shipped):
