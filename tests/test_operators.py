@@ -152,3 +152,12 @@ def test_empty_tables(spark):
     assert D.dedup_batch(none).count() == 0
     assert S.rate_limit(spark.createDataFrame([], "k string, t long"), "k", "t", 2, 1000).count() == 0
     assert M.query_messages(spark.createDataFrame([], "id long, room_name string, timestamp long, msg_index int")).filter(F.lit(True)).count() == 0
+
+
+def test_token_recovery(spark):
+    from chatloom.operators.ocr import line_times
+    from chatloom.sources.messages import AS_OF_MS
+
+    lines = [(0, ["2", "11", "20:54"]), (1, ["2", "月", "11", "号", "20:54"]), (2, ["21120:54"]), (3, ["x"]), (4, [])]
+    got = line_times(spark.createDataFrame(lines, "i int, tokens array<string>"), AS_OF_MS).orderBy("i").collect()
+    assert [r.time_text for r in got] == ["2月11日20:54", "2月11号20:54", None, None, None]
