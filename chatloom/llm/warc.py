@@ -126,8 +126,8 @@ def _to_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r for row in rows for r in records_of(*row)], pa.binary())], schema=as_arrow("record binary"))
 
 
-_PARTS = "origin string, segment int, total long, last boolean, page_id long, record_type string, refers_to long, digest string, block binary"
 _PAGES = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, segments int, verified boolean, payload binary"
+_PARTS = f"origin string, segment int, total long, last boolean, {_PAGES}"
 
 
 def _page_of(urn: str | None) -> int | None:
@@ -135,58 +135,78 @@ def _page_of(urn: str | None) -> int | None:
     return None if page == "None" else int(page)
 
 
-def _to_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = as_arrow(_PARTS)
-    for batch in batches:
-        for content in batch.column("content"):
-            rows: list[tuple] = []
-            size = 0
-            for h, block in read_records(content.as_buffer().to_pybytes()):
-                origin = h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"])
-                number, total = int(h.get("WARC-Segment-Number", 1)), h.get("WARC-Segment-Total-Length")
-                alone = "WARC-Segment-Number" not in h
-                digest = h.get("WARC-Payload-Digest", "").removeprefix("sha1:")
-                rows.append((origin, number, len(block) if alone else total and int(total), alone or total is not None, _page_of(h["WARC-Record-ID"]), h["WARC-Type"], _page_of(h.get("WARC-Refers-To")), digest, block))
-                size += len(block)
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-
-def _decoded(rows: list[dict], with_payload: bool) -> tuple:
-    """One page from its parts, in order of segments."""
-    block = b"".join(r["block"] for r in rows)
-    complete = [r["segment"] for r in rows] == list(range(1, len(rows) + 1)) and rows[-1]["last"] and rows[-1]["total"] == len(block)
-    first = rows[0]
-    page = (first["page_id"], first["record_type"], first["refers_to"], len(rows))
+def _from(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def _decoded(parts: list[dict], with_payload: bool) -> dict:
+    """One page from the parts of its record, in order of segments; their payload is the record's block so far."""
+    block = b"".join(p["payload"] for p in parts)
+    complete = [p["segment"] for p in parts] == list(range(1, len(parts) + 1)) and parts[-1]["last"] and parts[-1]["total"] == len(block)
+    page = parts[0] | {"segments": len(parts), "verified": complete, "payload": None}
     if not complete:
-        return (page[0], None, first["digest"], *page[1:], False, None)
+        return page
     head, body = block.split(b"\r\n\r\n", 1)
     fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
-    if first["record_type"] == "revisit":
-        return (page[0], int(fields[b"Content-Length"]), first["digest"], *page[1:], True, None)
+    if page["record_type"] == "revisit":
+        return page | {"payload_bytes": int(fields[b"Content-Length"])}
     payload = unchunked(body) if fields.get(b"Transfer-Encoding") == b"chunked" else body
     digest = payload_digest(payload)
-    return (page[0], len(payload), digest, *page[1:], digest == first["digest"], payload if with_payload else None)
+    return page | {"payload_bytes": len(payload), "payload_digest": digest, "verified": digest == page["payload_digest"], "payload": payload if with_payload else None}
+
+
+def _to_parts(with_payload: bool):
+    """Records of archives: those in one part are decoded at once, segments keep their block as payload until they meet."""
+
+    def to_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = as_arrow(_PARTS)
+        for batch in batches:
+            for content in batch.column("content"):
+                rows: list[dict] = []
+                size = 0
+                for h, block in read_records(content.as_buffer().to_pybytes()):
+                    total, alone = h.get("WARC-Segment-Total-Length"), "WARC-Segment-Number" not in h
+                    part = {
+                        "origin": h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]),
+                        "segment": int(h.get("WARC-Segment-Number", 1)),
+                        "total": len(block) if alone else total and int(total),
+                        "last": alone or total is not None,
+                        "page_id": _page_of(h["WARC-Record-ID"]),
+                        "record_type": h["WARC-Type"],
+                        "refers_to": _page_of(h.get("WARC-Refers-To")),
+                        "payload_digest": h.get("WARC-Payload-Digest", "").removeprefix("sha1:"),
+                        "payload": block,
+                    }
+                    rows.append(_decoded([part], with_payload) if alone else part)
+                    size += len(rows[-1]["payload"] or b"")
+                    if size > 4 << 20:
+                        yield _from(rows, schema)
+                        rows, size = [], 0
+                if rows:
+                    yield _from(rows, schema)
+
+    return to_parts
 
 
 def _reassemble(with_payload: bool):
     def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = as_arrow(_PAGES)
         held: list[dict] = []
-        for batch in text_slices(batches, "block"):
+
+        def page() -> dict:
+            return held[0] if held[0]["segments"] else _decoded(held, with_payload)
+
+        for batch in text_slices(batches, "payload"):
             out = []
             for row in batch.to_pylist():
                 if held and held[0]["origin"] != row["origin"]:
-                    out.append(_decoded(held, with_payload))
+                    out.append(page())
                     held = []
                 held.append(row)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                yield _from(out, schema)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(_decoded(held, with_payload), schema, strict=True)], schema=schema)
+            yield _from([page()], schema)
 
     return reassemble
 
@@ -195,14 +215,14 @@ def write_archives(pages: DataFrame, path: str, payload: str = "html", page_id:
     """Write WARC files under ``path``; payloads under ``least_bytes`` are never revisits."""
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload"))
-    rows = rows.select("*", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("size"))
-    narrow = rows.select("page_id", "sha1", "size")
+    rows = rows.select("*", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("size"), F.coalesce("page_id", F.lit(0)).alias("page"), F.col("page_id").isNull().alias("no_page"))
+    narrow = rows.select("page_id", "page", "no_page", "sha1", "size")
     shared = narrow.filter(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND keeper IS NOT NULL")
     shared = written(shared.drop("n"), "warc-shared")
-    roles = narrow.join(shared, ["sha1", "size"]).select(F.col("page_id").alias("p"), F.col("sha1").alias("s"), "keeper").distinct()
-    roled = rows.join(roles, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha1") == F.col("s")), "left")
-    nth = (F.row_number().over(W.partitionBy("page_id", "sha1").orderBy("url")) - 1).cast("long")
-    roled = roled.withColumn("nth", nth)
+    key = ["page", "no_page", "sha1"]  # never null, so numbering and joining share one shuffle of the payloads
+    roles = narrow.join(shared, ["sha1", "size"]).select(*key, "keeper").distinct()
+    rows = rows.withColumn("nth", (F.row_number().over(W.partitionBy(key).orderBy("url")) - 1).cast("long"))
+    roled = rows.join(roles, key, "left")
     own = F.col("page_id").eqNullSafe(F.col("keeper")) & (F.col("nth") == 0)
     refers_to = F.when(~own, F.col("keeper"))
     records = roled.select("page_id", "nth", "url", "payload", refers_to.alias("refers_to")).mapInArrow(_to_records, "record binary")
@@ -215,7 +235,7 @@ def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
     A record with missing or wrong segments is returned with ``verified`` false and no length.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    parts = files.mapInArrow(_to_parts, _PARTS)
+    parts = files.mapInArrow(_to_parts(with_payload), _PARTS)
     parts = parts.repartition("origin").sortWithinPartitions("origin", "segment")
     return parts.mapInArrow(_reassemble(with_payload), _PAGES)
 
