@@ -86,9 +86,10 @@ def leaf_paths(nodes: DataFrame) -> DataFrame:
     inner = jumps[0].select(F.col("above").alias("node")).distinct()
     leaves = nodes.select("node").join(inner, "node", "left_anti").join(endless, "node", "left_anti")
     paths = leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    paths = written(paths, "chat-leaves")
     for k in reversed(range(len(jumps) - 1)):
         higher = paths.join(jumps[k], "node").select("leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
-        paths = paths.unionByName(higher)
+        paths = paths.unionByName(written(higher, f"chat-higher-{k}"))
     return paths
 
 
@@ -99,7 +100,7 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """
     nodes = messages.groupBy("tree", "node").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "parent", "score")).alias("m")).select("tree", "node", "m.*")
     nodes = written(nodes, "chat-nodes")
-    paths = written(leaf_paths(nodes.select("node", "parent")), "chat-paths")
+    paths = leaf_paths(nodes.select("node", "parent"))
     scored = paths.join(nodes.select("node", "tree", "score"), "node").groupBy("tree", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("score"), F.count(F.lit(1)).alias("length"))
     best = scored.withColumn("branch", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), F.desc("length"), "leaf"))).filter(F.col("branch") <= branches)
     turns = paths.join(best.select("leaf", "branch", "length"), "leaf").join(nodes.select("tree", "node", "role", "text"), "node")
