@@ -154,6 +154,7 @@ def mix_sources(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sou
     slots = dealt.select("source_no", "blocks", "shard", F.explode(F.sequence(F.col("first_slot"), F.col("first_slot") + F.col("count") - 1)).alias("slot"))
     slots = slots.mapInArrow(_to_blocks(seed), "shard long, source_no long, slot long, block long")
     times = slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
+    times = written(times, "mix-times")  # a row for each block drawn: the join is to be planned by its true size
 
     own = placed.filter("size > 0").select("doc_id", "tie", "source_no", "size", "start", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))).alias("block"))
     first = F.greatest(F.col("block") * block_words, F.col("start")) - F.col("start")

@@ -32,6 +32,7 @@ from chatloom.llm.words import subword_hashes
 BITS = 21
 BUCKETS = 1 << BITS
 STRATUM_ROWS = 1500
+LEAST_ROWS = 3
 SIZES = (4, 5, 6)
 KEPT = 2000
 LEAST_CHI = 15.0
@@ -77,15 +78,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Sample:
-    """Rows of subword buckets, all in one array."""
+    """The distinct subword buckets of some rows, an array for each, so that no step needs them all in one."""
 
-    def __init__(self, n: int, row: np.ndarray, bucket: np.ndarray) -> None:
-        self.n, self.row, self.bucket = n, row, bucket
+    def __init__(self, rows: list[np.ndarray]) -> None:
+        self.rows = rows
 
     def scores(self, model: Linear, earlier: np.ndarray) -> np.ndarray:
         dense = np.zeros(BUCKETS)
         dense[model.buckets] = model.weights
-        return np.bincount(self.row, dense[self.bucket], self.n) + earlier @ model.earlier + model.bias
+        return np.array([dense[x].sum() for x in self.rows]) + earlier @ model.earlier + model.bias
 
 
 def fit(sample: Sample, rows: np.ndarray, label: np.ndarray, earlier: np.ndarray) -> Linear:
@@ -94,27 +95,25 @@ def fit(sample: Sample, rows: np.ndarray, label: np.ndarray, earlier: np.ndarray
     k = earlier.shape[1]
     if not len(rows) or y.min() == y.max():
         return Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(k), 40.0 if len(rows) and y[0] else -40.0)
-    number = np.full(sample.n, -1)
-    number[rows] = np.arange(len(rows))
-    own = number[sample.row] >= 0
-    row, bucket = number[sample.row[own]], sample.bucket[own]
     n, positive = len(rows), y.sum()
-    seen = np.bincount(bucket, minlength=BUCKETS)
-    hit = np.bincount(bucket, y[row], BUCKETS)
+    seen, hit = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for r, label_of_row in zip(rows, y, strict=True):
+        seen[sample.rows[r]] += 1
+        hit[sample.rows[r]] += label_of_row
     expected = seen * positive / n
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = (hit - expected) ** 2 / (expected * (1 - positive / n) * (1 - seen / n + 1e-9))
-    chi[(seen < 3) | ~np.isfinite(chi)] = 0
+    chi[(seen < LEAST_ROWS) | ~np.isfinite(chi)] = 0
     kept = np.argsort(-chi, kind="stable")[:KEPT]
     kept = kept[chi[kept] > LEAST_CHI]
     odds = np.log((hit[kept] + 0.5) / (positive + 1)) - np.log((seen[kept] - hit[kept] + 0.5) / (n - positive + 1))
     scale = np.concatenate([odds, np.ones(k)])
     place = np.full(BUCKETS, -1)
     place[kept] = np.arange(len(kept))
-    some = place[bucket] >= 0
-    at = np.concatenate([row[some], np.tile(np.arange(n), k)])
-    column = np.concatenate([place[bucket[some]], np.repeat(np.arange(k) + len(kept), n)])
-    value = np.concatenate([odds[place[bucket[some]]], earlier[rows].T.reshape(-1)])
+    own = [p[p >= 0] for p in (place[sample.rows[r]] for r in rows)]
+    column = np.concatenate([*own, np.repeat(np.arange(k) + len(kept), n)]).astype(np.int64)
+    at = np.concatenate([np.repeat(np.arange(n), [len(x) for x in own]), np.tile(np.arange(n), k)])
+    value = np.concatenate([*(odds[x] for x in own), earlier[rows].T.reshape(-1)])
 
     def ahead_of(x: np.ndarray) -> np.ndarray:
         return np.bincount(at, value * x[column], n).astype(np.float64)  # whole numbers where nothing is kept
@@ -142,7 +141,7 @@ def fit(sample: Sample, rows: np.ndarray, label: np.ndarray, earlier: np.ndarray
 
 def fit_chain(sample: Sample, labels: np.ndarray) -> list[Linear]:
     """``labels``: a column per category, in the order of the chain."""
-    n = sample.n
+    n = len(sample.rows)
     fold, chain, earlier = np.arange(n) % FOLDS, [], np.zeros((n, 0))
     for c in range(labels.shape[1]):
         chain.append(fit(sample, np.arange(n), labels[:, c], earlier))
@@ -159,9 +158,13 @@ def chain_probabilities(chain: list[Linear], texts: list[bytes]) -> np.ndarray:
     chosen = np.zeros(BUCKETS, bool)
     for model in chain:
         chosen[model.buckets] = True
-    sample, out = Sample(len(texts), *subword_buckets(texts, chosen)), np.zeros((len(texts), 0))
+    row, bucket = subword_buckets(texts, chosen)
+    out = np.zeros((len(texts), 0))
     for model in chain:
-        out = np.column_stack([out, _sigmoid(sample.scores(model, out))])
+        dense = np.zeros(BUCKETS)
+        dense[model.buckets] = model.weights
+        score = np.bincount(row, dense[bucket], len(texts)) + out @ model.earlier + model.bias
+        out = np.column_stack([out, _sigmoid(score)])
     return out
 
 
@@ -193,12 +196,16 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], text: str =
     sample = F.broadcast(spark.createDataFrame(picked, known.schema).select("doc_id"))  # at most STRATUM_ROWS for each combination
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(sample, "doc_id")
     found = texts.mapInArrow(_to_buckets, "doc_id long, buckets array<int>").toArrow().combine_chunks()
-    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
-    y = {r["doc_id"]: [r[c] for c in ys] for r in picked}
+    ids = found["doc_id"].to_numpy()
+    order = np.argsort(ids, kind="stable")
     lists = [found["buckets"][int(i)].values.to_numpy() for i in order]
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    sample = Sample(len(lists), row, np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64))
-    return fit_chain(sample, np.array([y[int(found["doc_id"][int(i)].as_py())] for i in order]).reshape(len(lists), len(ys)))
+    seen = np.zeros(BUCKETS, np.int32)
+    for x in lists:
+        seen[x] += 1
+    lists = [x[seen[x] >= LEAST_ROWS] for x in lists]  # rarer subwords are never chosen
+    del found
+    y = {r["doc_id"]: [r[c] for c in ys] for r in picked}
+    return fit_chain(Sample(lists), np.array([y[int(ids[i])] for i in order]).reshape(len(lists), len(ys)))
 
 
 def _score(chain: list[Linear], n: int):
