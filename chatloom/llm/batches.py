@@ -9,7 +9,7 @@ import pyarrow as pa
 
 from chatloom.llm.words import utf8_buffers
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 """Text bytes handled at a time inside a task; a longer single text is a slice of its own."""
 
 

@@ -36,7 +36,7 @@ LEAST_ROWS = 3
 SIZES = (4, 5, 6)
 KEPT = 2000
 LEAST_CHI = 15.0
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 FOLDS = 3
 STEPS = 150
 PENALTY = 1.0

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 """Bytes hashed at a time; bounds the scratch arrays for very long texts."""
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
