@@ -76,8 +76,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         inside = is_word[piece]
         if end < hi and inside[-1] and not first_of_doc[end - lo] and is_word[data[end]]:
             breaks = np.flatnonzero(~inside | first_of_doc[begin - lo : end - lo])
-            if len(breaks) and breaks[-1] > 0:
-                end = begin + int(breaks[-1])
+            cut = int(breaks[-1]) + int(not inside[breaks[-1]]) if len(breaks) else 0  # after white space, or before a text
+            if cut > 0:
+                end = begin + cut
                 piece, inside = data[begin:end], inside[: end - begin]
             else:  # one word longer than a piece
                 stop = begin

@@ -84,6 +84,28 @@ def test_words_and_shingles():
     assert shingles[s[0]] == shingles[s[3]] == shingles[s[6]] and shingles[s[4]] != shingles[s[0]]
 
 
+def test_words_longer_than_a_piece_anywhere_in_a_batch(monkeypatch):
+    """Cutting into small pieces changes nothing, and every step moves on."""
+    import pyarrow as pa
+
+    from chatloom.llm import words as module
+
+    texts = ["foo " + "y" * 40, "z" * 40, "", "a " * 20, " \t" + "Q" * 33 + "\n", "b", "c" * 17 + " d " + "e" * 16 + " f", None, "é" * 20 + " x"]
+    data, offsets = utf8_buffers(pa.array(texts))
+    whole, at = word_hashes(data, offsets)
+    assert np.diff(at).tolist() == [len(WORD.findall((t or "").encode())) for t in texts]
+
+    def long_word(word, symbol, hashed=module._long_word):
+        assert len(word), "an empty word: no progress"
+        return hashed(word, symbol)
+
+    monkeypatch.setattr(module, "_long_word", long_word)
+    for size in (1, 2, 3, 16, 17, 64):
+        monkeypatch.setattr(module, "PIECE_BYTES", size)
+        words, offset = word_hashes(data, offsets)
+        assert words.tolist() == whole.tolist() and offset.tolist() == at.tolist()
+
+
 # near-duplicates
 
 
