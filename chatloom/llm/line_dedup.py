@@ -5,12 +5,18 @@ it with ``gram_words`` words.  Among the grams that start within ``window_words
 one of least hash is selected: a fingerprint.  Runs that are equal in two places have equal windows, so every
 repeated run of at least ``window_words`` words has a fingerprint in common, however its lines are cut.
 
-Positions of equal fingerprints are joined, each later one with the first; both are extended backwards and
-forwards over equal lines, up to a window each way (what is repeated beyond has fingerprints of its own); and the
-later runs, of ``gram_words`` words at least, are deleted.  "First" is by doc_id, then by line, so the first copy of
-any line stays.
-
-Nothing is per source or per hash in one task: minima are pre-aggregated, and fingerprints and first positions are
+Every place of a shared fingerprint is extended backwards and forwards over the lines that are equal at any earlier
+place of it, to the first unequal one, and these runs, of ``gram_words`` words at least, are deleted.  For this, each
+run of lines that begins or ends at the fingerprint's line has a key (the hash of the gram and of the lines passed), and
+it is a repeat if the key has an earlier place; so all earlier places count and no pairs are made.  "Earlier" is by
+doc_id, then by line, so the first copy of any line stays.
+
+Keys go as far as a window before the fingerprint's line and less than a window after its end, and this is no limit:
+what is equal beyond has a fingerprint of its own there, at both places.  Else a gram that starts within
+``window_words - gram_words`` words of the next line would reach over the end of the equal lines, so less than
+``window_words`` words of them would be left, whatever the length of the fingerprint's line.
+
+Nothing is per source or per hash in one task: minima are pre-aggregated, and shared fingerprints and first places are
 written tables, so Spark splits a fingerprint that a third of all documents share.
 
 Defined results: null and blank texts stay as they are; rows with a null doc_id stay as they are and are matched with
@@ -41,11 +47,6 @@ def _units(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), unit), lambda u: u["w"] > 0)
 
 
-def _common_prefix(a: Column, b: Column) -> Column:
-    unequal = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
-    return F.when(unequal == 0, F.size(a)).otherwise(unequal - 1).cast("int")
-
-
 def fingerprints(docs: DataFrame, gram_words: int, window_words: int) -> DataFrame:
     """(d, t, pos, gram, before, before_pos, after, after_pos) of every selected gram.  ``docs``: d, t, units."""
     lines = docs.groupBy("d", "t").agg(F.first("units").alias("units")).select("d", "t", F.inline("units"))
@@ -57,25 +58,32 @@ def fingerprints(docs: DataFrame, gram_words: int, window_words: int) -> DataFra
     slack = window_words - gram_words
     lines = lines.withColumn("least", F.min(F.when(F.col("gram").isNotNull(), F.struct("gram", "pos"))).over(by_word.rangeBetween(0, slack)))
     chosen = F.collect_list("least.pos").over(by_word.rangeBetween(-slack, 0))
-    before, after = by_word.rangeBetween(-window_words, -1), by_word.rangeBetween(0, gram_words + window_words)
+    before, after = by_word.rangeBetween(-window_words, -1), by_doc.orderBy(F.col("at") + F.col("w")).rangeBetween(1, window_words - 1)
     lines = lines.withColumns({"chosen": chosen} | {name + suffix: F.collect_list(c).over(frame) for name, frame in (("before", before), ("after", after)) for suffix, c in (("", "h"), ("_pos", "pos"))})
     return lines.filter(F.col("gram").isNotNull() & F.array_contains("chosen", F.col("pos"))).select("d", "t", "pos", "gram", "before", "before_pos", "after", "after_pos")
 
 
+def _keyed(shared: DataFrame) -> DataFrame:
+    """(key, d, t, pos, end): the runs of lines between a fingerprint's line and each line around it."""
+
+    def runs(lines: Column, ends: Column, side: int) -> Column:
+        keys = F.transform(lines, lambda _, k: F.xxhash64(F.lit(side), "gram", F.slice(lines, 1, k + 1)))
+        return F.zip_with(keys, ends, lambda key, end: F.struct(key.alias("key"), end.alias("end")))
+
+    own = F.array(F.struct(F.col("gram").alias("key"), F.col("pos").alias("end")))
+    every = F.concat(own, runs(F.reverse("before"), F.reverse("before_pos"), -1), runs(F.col("after"), F.col("after_pos"), 1))
+    return shared.select("d", "t", "pos", F.inline(every))
+
+
 def repeated_runs(prints: DataFrame) -> DataFrame:
     """(d, t, first_line, last_line): disjoint runs of lines that repeat an earlier place."""
     prints = written(prints, "ld-prints")
+    repeated = prints.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    keyed = _keyed(written(prints.join(written(repeated, "ld-repeated"), "gram"), "ld-shared"))
     place = F.struct("d", "t", "pos")
-    first = prints.groupBy("gram").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "first")
-    shared = written(prints.join(written(first, "ld-first"), "gram"), "ld-shared")
-    is_first = place == F.col("first")
-    origin = shared.filter(is_first).select("gram", F.col("before").alias("before0"), F.col("after").alias("after0"))
-    found = shared.filter(~is_first).join(origin, "gram")
-    back = _common_prefix(F.reverse("before"), F.reverse("before0"))
-    ahead = _common_prefix(F.col("after"), F.col("after0"))
-    found = found.withColumns({"back": back, "ahead": ahead}).filter("ahead > 0")
-    start = F.when(F.col("back") > 0, F.try_element_at("before_pos", -F.col("back"))).otherwise(F.col("pos"))
-    runs = found.select("d", "t", start.alias("s"), F.element_at("after_pos", F.col("ahead")).alias("e"))
+    first = keyed.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
+    found = keyed.join(written(first, "ld-first"), "key").filter(place != F.col("first"))
+    runs = found.select("d", "t", F.least("pos", "end").alias("s"), F.greatest("pos", "end").alias("e"))
     by_doc = W.partitionBy("d", "t").orderBy("s", "e")
     reach = F.max("e").over(by_doc.rowsBetween(W.unboundedPreceding, -1))
     runs = runs.withColumn("new", F.when(reach.isNull() | (F.col("s") > reach + 1), 1).otherwise(0))

@@ -250,6 +250,60 @@ def test_line_dedup_equals_brute_force(shipped):
     assert got == brute_line_dedup(shipped, docs, 25, 50)
 
 
+def brute_extension(units: dict[int, list[tuple[int, str]]], prints: list[tuple[int, int, int]]) -> dict[int, set[int]]:
+    """Lines of every equal run around a shared fingerprint (doc, line, gram), with each earlier place and to the first unequal line."""
+    at = {i: {p: q for q, (p, _) in enumerate(us)} for i, us in units.items()}
+    places, cut = defaultdict(list), {i: set() for i in units}
+    for i, p, gram in sorted(prints):
+        places[gram].append((i, at[i][p]))
+    for (i0, q0), (i, q) in itertools.chain.from_iterable(itertools.combinations(same, 2) for same in places.values()):
+
+        def equal(k: int, i0: int = i0, q0: int = q0, i: int = i, q: int = q) -> bool:
+            return 0 <= q0 + k < len(units[i0]) and 0 <= q + k < len(units[i]) and units[i0][q0 + k][1] == units[i][q + k][1]
+
+        a, b = 0, 0
+        while equal(a - 1):
+            a -= 1
+        while equal(b + 1):
+            b += 1
+        cut[i].update(range(units[i][q + a][0], units[i][q + b][0] + 1))
+    return cut
+
+
+@pytest.mark.parametrize(("seed", "widths"), [(4, (1, 2, 7, 15, 26, 60)), (5, (2, 10, 22, 93, 140)), (6, (1, 3, 24, 25, 49, 50, 76)), (7, (1, 2, 3))])
+def test_line_dedup_extends_to_the_first_unequal_line(shipped, seed, widths):
+    """Brute force without any limit of reach, with lines longer than a gram and a window together."""
+    rnd = random.Random(seed)
+    pool = [" ".join(f"p{i}x{j}" for j in range(rnd.choice(widths))) for i in range(40)] + ["", "  "]
+    docs = []
+    for i in range(70):
+        lines = []
+        for _ in range(rnd.randrange(1, 5)):
+            s = rnd.randrange(42)
+            lines += [pool[(s + j) % 42] for j in range(rnd.randrange(1, 25 if widths[-1] == 3 else 9))]
+        docs.append((i, "\n".join(lines)))
+    df = shipped.createDataFrame(docs, "doc_id long, text string")
+    units = df.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), line_dedup._units(F.col("text")).alias("units")).filter(F.size("units") > 0)
+    prints = [(r.d, r.pos, r.gram) for r in line_dedup.fingerprints(units, 25, 50).select("d", "pos", "gram").collect()]
+    cut = brute_extension({i: [(p, x.strip()) for p, x in enumerate(text.split("\n")) if x.strip()] for i, text in docs}, prints)
+    want = {i: "\n".join(x for p, x in enumerate(text.split("\n")) if p not in cut[i]) for i, text in docs}
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(df).collect()} == want
+
+
+def test_line_dedup_cuts_the_tail_after_a_long_line(shipped):
+    text = "\n".join(" ".join(f"w{i}x{j}" for j in range(n)) for i, n in enumerate((10, 22, 93, 2)))
+    got = {r.doc_id: r for r in line_dedup.line_dedup(shipped.createDataFrame([(4, text), (446, text)], "doc_id long, text string")).collect()}
+    assert (got[4].text, got[4].removed_lines) == (text, 0) and (got[446].text, got[446].removed_lines) == ("", 4)
+
+
+def test_line_dedup_cuts_the_tail_after_a_long_line_of_the_gram(shipped):
+    """Nothing after the long line has a fingerprint, and both documents go on differently."""
+    run = "\n".join(" ".join(f"w{i}x{j}" for j in range(n)) for i, n in enumerate((80, 9, 9, 9)))
+    docs = [(1, f"{run}\nend one"), (2, f"{run}\nend two")]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(shipped.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: "end two"}
+
+
 def test_line_dedup_cuts_later_passages(shipped):
     rnd = random.Random(2)
     fresh = lambda n: " ".join(f"u{rnd.randrange(10**9)}" for _ in range(n))
