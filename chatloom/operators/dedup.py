@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import dedup_key, norm_content
+from chatloom.operators.folds import fold_rows
 
 CLOCK_TAIL = "([0-9]{1,2}:[0-9]{2})\\z"
 
@@ -55,22 +56,15 @@ def first_by_key(rows: DataFrame, key: Column, order: str) -> DataFrame:
 
 
 def seen_cache(rows: DataFrame, keys: list[str], time: str, window_ms: int) -> DataFrame:
-    """Rows kept by a cache in which a key is a duplicate for ``window_ms`` after its last *kept* row.
+    """Rows kept by a cache in which a key is a duplicate for ``window_ms`` after its last *kept* row."""
 
-    A row at least a window after the one before is kept anyway, so only rows between such gaps are folded together.
-    """
-    w = W.partitionBy(*keys).orderBy(time)
-    gap = F.col(time) - F.lag(time).over(w)
-    rows = rows.withColumn("_run", F.sum(F.when(gap < window_ms, 0).otherwise(1)).over(w.rangeBetween(W.unboundedPreceding, 0)))
-    runs = rows.groupBy(*keys, "_run").agg(F.sort_array(F.collect_list(time)).alias("_times"))
-    start = F.struct(F.lit(None).cast("long").alias("anchor"), F.array().cast("array<long>").alias("kept"))
-
-    def step(state: Column, t: Column) -> Column:
-        keep = state["anchor"].isNull() | (t - state["anchor"] >= window_ms)
-        return F.struct(F.when(keep, t).otherwise(state["anchor"]).alias("anchor"), F.when(keep, F.concat(state["kept"], F.array(t))).otherwise(state["kept"]).alias("kept"))
-
-    kept = runs.select(*keys, F.explode(F.aggregate("_times", start, step, lambda s: s["kept"])).alias(time))
-    return kept
+    def step(anchor: int | None, row: tuple) -> tuple[int, bool]:
+        (t,) = row
+        keep = anchor is None or t - anchor >= window_ms
+        return t if keep else anchor, keep
+
+    rows = rows.select(*keys, F.col(time).cast("long").alias(time)).filter(F.col(time).isNotNull())
+    return fold_rows(rows, keys, step, "_kept").filter("_kept").drop("_kept")
 
 
 def ingest(batch: DataFrame, existing: DataFrame, as_of_ms: int, allowed: list[str], within_ms: int = 60000) -> DataFrame:

@@ -1,32 +1,27 @@
-"""Operators that are sequential by nature, as ordered array folds for batches (chatloom.streaming has them as state)."""
+"""Operators that are sequential by nature, as ordered folds for batches (chatloom.streaming has them as state)."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chatloom.operators.folds import fold_keys, fold_rows
 
-def rate_limit(rows: DataFrame, key: str, time: str, limit: int, window_ms: int) -> DataFrame:
-    """(key, time, allowed): a window begins at its first event and takes ``limit`` of them; rejected ones don't count.
 
-    An event at least a window after the one before always begins a window, so only rows between such gaps are folded.
-    """
-    w = W.partitionBy(key).orderBy(time)
-    gap = F.col(time) - F.lag(time).over(w)
-    rows = rows.withColumn("_run", F.sum(F.when(gap < window_ms, 0).otherwise(1)).over(w.rangeBetween(W.unboundedPreceding, 0)))
-    runs = rows.groupBy(key, "_run").agg(F.sort_array(F.collect_list(time)).alias("_times"))
-    out = "array<struct<t:long,allowed:boolean>>"
-    start = F.struct(F.lit(None).cast("long").alias("reset"), F.lit(0).alias("count"), F.array().cast(out).alias("out"))
+def rate_limit(rows: DataFrame, key: str, time: str, limit: int, window_ms: int) -> DataFrame:
+    """(key, time, allowed): a window begins at its first event and takes ``limit`` of them; rejected ones don't count."""
 
-    def step(s: Column, t: Column) -> Column:
-        fresh = s["reset"].isNull() | (t >= s["reset"])
-        allowed = fresh | (s["count"] < limit)
-        count = F.when(fresh, 1).when(allowed, s["count"] + 1).otherwise(s["count"])
-        return F.struct(F.when(fresh, t + window_ms).otherwise(s["reset"]).alias("reset"), count.cast("int").alias("count"), F.concat(s["out"], F.array(F.struct(t.alias("t"), allowed.alias("allowed")))).cast(out).alias("out"))
+    def step(state: tuple[int, int] | None, row: tuple) -> tuple[tuple[int, int], bool]:
+        (t,) = row
+        if state is None or t >= state[0]:
+            return (t + window_ms, 1), True
+        reset, count = state
+        return (reset, min(count + 1, max(limit, 1))), count < limit
 
-    done = runs.select(key, F.explode(F.aggregate("_times", start, step, lambda s: s["out"])).alias("o"))
-    return done.select(key, F.col("o.t").alias(time), F.col("o.allowed").alias("allowed"))
+    return fold_rows(rows.select(key, F.col(time).cast("long").alias(time)).filter(F.col(time).isNotNull()), [key], step, "allowed")
 
 
 def backoff(rounds: DataFrame, key: str, order: str, idle: str, top: int = 3) -> DataFrame:
@@ -67,9 +62,22 @@ def y_groups(fragments: DataFrame, page: str = "page", near: int = 8) -> DataFra
 
 def ema(rows: DataFrame, key: str, order: str, value: str, confidence: str, least: float = 0.5, old: float = 0.65) -> DataFrame:
     """(key, smoothed): rounded exponential mean of a sequence; rows of low confidence are skipped."""
-    seq = F.transform(F.sort_array(F.collect_list(F.struct(order, value, confidence))), lambda r: F.struct(r[value].cast("double").alias("v"), r[confidence].cast("double").alias("c")))
 
-    def step(s: Column, r: Column) -> Column:
-        return F.when(r["c"] < least, s).when(s.isNull(), r["v"]).otherwise(F.floor(s * old + r["v"] * (1 - old) + 0.5).cast("double"))
+    def step(s: float | None, row: tuple) -> float | None:
+        _, v, c = row
+        if c is not None and c < least:
+            return s
+        if s is None or v is None:
+            return v
+        x = s * old + v * (1 - old) + 0.5
+        return float(math.floor(x)) if math.isfinite(x) else x
+
+    return fold_keys(rows.select(key, order, F.col(value).cast("double").alias(value), F.col(confidence).cast("double").alias(confidence)), [key], step, "smoothed")
+
 
-    return rows.groupBy(key).agg(F.aggregate(seq, F.lit(None).cast("double"), step).alias("smoothed"))
+def upper_quartile(rows: DataFrame, keys: list[str], value: str, default: float) -> DataFrame:
+    """(keys, p75): the element at floor(0.75 n) of a key's sorted values, or the default if there is none or it is 0."""
+    by_key = W.partitionBy(*keys)
+    ranked = rows.select(*keys, value, F.count(value).over(by_key).alias("_n"), F.row_number().over(by_key.orderBy(F.col(value).asc_nulls_last())).alias("_nth"))
+    v = F.when(F.col("_n") > 0, F.col(value))
+    return ranked.filter(F.col("_nth") == F.floor(F.col("_n") * 0.75) + 1).select(*keys, F.when(F.coalesce(v, F.lit(0)) != 0, v).otherwise(F.lit(default)).alias("p75"))

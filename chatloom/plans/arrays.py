@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chatloom.functions import arrays as A
+from chatloom.operators import states as S
 from chatloom.plans.registry import query
 
 _PAIRS = "(SELECT a.vec_id AS a_id, b.vec_id AS b_id, a.embedding AS a, b.embedding AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
@@ -24,8 +25,8 @@ def q_vec_similarity(spark, sf_dir):
 
 @query("SELECT event_type, user_id % 20 AS u, CASE WHEN coalesce(list_sort(list(v))[CAST(floor(count(*) * 0.75) AS INT) + 1], 0) <> 0 THEN list_sort(list(v))[CAST(floor(count(*) * 0.75) AS INT) + 1] ELSE 40.0 END AS p75 FROM (SELECT event_type, user_id, value AS v FROM events) GROUP BY ALL")
 def q_p75(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type", (F.col("user_id") % 20).alias("u")).agg(F.collect_list("value").alias("v"))
-    return e.select("event_type", "u", A.p75(F.col("v"), 40.0).alias("p75"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", (F.col("user_id") % 20).alias("u"), "value")
+    return S.upper_quartile(e, ["event_type", "u"], "value", 40.0)
 
 
 @query("""WITH y AS (SELECT event_type, event_id // 25 AS page, floor(value) AS y FROM events),

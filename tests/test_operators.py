@@ -161,3 +161,39 @@ def test_token_recovery(spark):
     lines = [(0, ["2", "11", "20:54"]), (1, ["2", "月", "11", "号", "20:54"]), (2, ["21120:54"]), (3, ["x"]), (4, [])]
     got = line_times(spark.createDataFrame(lines, "i int, tokens array<string>"), AS_OF_MS).orderBy("i").collect()
     assert [r.time_text for r in got] == ["2月11日20:54", "2月11号20:54", None, None, None]
+
+
+def test_folds_carry_their_state_over_small_batches_and_collect_no_key(spark):
+    """Dense keys over many Arrow batches, with ties, nulls and a null key, against loops."""
+    rnd = random.Random(8)
+    rows = [(rnd.choice(("a", "b", None)), rnd.randrange(40000), float(rnd.randrange(90)), rnd.random()) for _ in range(3000)]
+    rows += [("a", None, 1.0, 0.9), ("none", 5, None, 0.1), ("null", 5, None, 0.9)]
+    df = spark.createDataFrame(rows, "k string, t long, v double, c double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        limited, seen, smooth, upper = S.rate_limit(df, "k", "t", 3, 500), D.seen_cache(df, ["k"], "t", 500), S.ema(df, "k", "t", "v", "c"), S.upper_quartile(df, ["k"], "v", 40.0)
+        got = [sorted(map(tuple, x.collect()), key=repr) for x in (limited, seen, smooth, upper)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [[], [], [], []]
+    for k in {r[0] for r in rows}:
+        mine = sorted((r[1:] for r in rows if r[0] == k), key=lambda r: [(x is not None, x or 0) for x in r])
+        reset, count, anchor, s = None, 0, None, None
+        for t, v, c in mine:
+            if c >= 0.5:
+                s = v if s is None else float((s * 0.65 + v * (1 - 0.65) + 0.5) // 1)
+            if t is None:
+                continue
+            if reset is None or t >= reset:
+                reset, count = t + 500, 0
+            want[0].append((k, t, count < 3))
+            count += count < 3
+            if anchor is None or t - anchor >= 500:
+                anchor = t
+                want[1].append((k, t))
+        want[2].append((k, s))
+        values = sorted(v for _, v, _ in mine if v is not None)
+        want[3].append((k, (values[len(values) * 3 // 4] if values else 0) or 40.0))
+    assert got == [sorted(w, key=repr) for w in want]
+    for x in (limited, seen, smooth, upper):
+        assert "collect_list" not in x._jdf.queryExecution().toString()
