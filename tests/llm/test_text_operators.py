@@ -304,6 +304,17 @@ def test_line_dedup_cuts_the_tail_after_a_long_line_of_the_gram(shipped):
     assert got == {1: docs[0][1], 2: "end two"}
 
 
+def test_line_dedup_compares_with_every_earlier_place(shipped):
+    """A licence's first place goes on differently; a later place, and one after it, share more with the last."""
+    line = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    licence, before = line("licence", 30), [line("b", 6), line("c", 5)]
+    tail = [line("x", 8), line("y", 7), line("z", 7)]
+    docs = {1: [licence, "one"], 2: [licence, *tail, "two"], 3: [licence, *tail, "three"], 4: [licence, tail[0], "four"], 5: [*before, licence, "five"], 6: ["six", *before, licence, *tail[:2], "6"]}
+    df = shipped.createDataFrame([(i, "\n".join(lines)) for i, lines in docs.items()], "doc_id long, text string")
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.line_dedup(df).collect()}
+    assert got == {1: docs[1], 2: [*tail, "two"], 3: ["three"], 4: ["four"], 5: [*before, "five"], 6: ["six", "6"]}
+
+
 def test_line_dedup_cuts_later_passages(shipped):
     rnd = random.Random(2)
     fresh = lambda n: " ".join(f"u{rnd.randrange(10**9)}" for _ in range(n))
