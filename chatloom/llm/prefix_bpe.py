@@ -9,7 +9,8 @@ A pair (a, b) is valid if merging the bytes of both by rank gives a and b again;
 table.  A piece that is itself in the vocabulary is that one token, as the reference encoders of this file format do.
 
 Defined results: a null text counts as empty and has no tokens; special tokens' strings are ordinary text;
-any valid Unicode text round-trips; repeated rows repeat their result.
+any valid Unicode text round-trips; repeated rows repeat their result; a very long text is split by the pattern like any
+other, and only its own ids are held; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ from pyspark.sql import functions as F
 
 from chatloom.llm.batches import as_arrow, text_slices
 
-PIECE_CACHE = 400_000
-PAIR_CACHE = 2_000_000
+PIECE_CACHE = 150_000
+PAIR_CACHE = 250_000
 LONG_PIECE = 64
+"""Bounds of the tables of a task, which keep them at some tens of MB; they are made for a task and go with it."""
 
 
 class PrefixCoder:
@@ -147,22 +149,12 @@ class _Pieces(dict):
         return ids
 
 
-_LOADED: dict[bytes, tuple[_Pieces, dict[str, bytes]]] = {}
-
-
-def _loaded(rank_file: bytes) -> tuple[_Pieces, dict[str, bytes]]:
-    name = hashlib.sha256(rank_file).digest()
-    if name not in _LOADED:
-        coder = PrefixCoder(rank_file)
-        _LOADED[name] = _Pieces(coder), {str(r): t for r, t in coder.token.items()}
-    return _LOADED[name]
-
-
 def _coded(ranks, pattern: str, with_ids: bool):
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, tokens = _loaded(ranks.value)
+        coder = PrefixCoder(ranks.value)
+        pieces, tokens = _Pieces(coder), {str(r): t for r, t in coder.token.items()}
         split = regex.compile(pattern).findall
         schema = as_arrow(fields)
         if with_ids:

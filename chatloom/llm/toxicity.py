@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chatloom.llm.batches import as_arrow, text_slices
@@ -36,7 +37,7 @@ LEAST_ROWS = 3
 SIZES = (4, 5, 6)
 KEPT = 2000
 LEAST_CHI = 15.0
-PART_BYTES = 1 << 19
+PART_BYTES = 1 << 17
 FOLDS = 3
 STEPS = 150
 PENALTY = 1.0
@@ -45,18 +46,23 @@ PENALTY = 1.0
 def subword_buckets(texts: list[bytes], chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of the distinct subwords of every text, in order; only the ``chosen`` buckets where given.
 
-    Texts go through in parts of ``PART_BYTES``; a longer one is cut, and its parts' subwords are put together.
+    Texts go through in parts of ``PART_BYTES``; a longer one is cut, and its parts' subwords are put together.  Parts
+    overlap by as much as a subword may reach over the cut, and a cut is no boundary, so cutting changes nothing.
     """
-    parts: list[tuple[int, bytes]] = [(i, t[a : a + PART_BYTES]) for i, t in enumerate(texts) for a in range(0, len(t), PART_BYTES)]
+    over = max(SIZES) - 1
+    parts: list[tuple[int, bytes, bool, bool]] = [
+        (i, t[max(a - over, 0) : a + PART_BYTES], a > 0, a + PART_BYTES < len(t)) for i, t in enumerate(texts) for a in range(0, len(t), PART_BYTES)
+    ]
     keys, at = [], 0
     while at < len(parts):
         end, size = at, 0
         while end < len(parts) and (end == at or size + len(parts[end][1]) <= PART_BYTES):
             size += len(parts[end][1])
             end += 1
-        hashes, offsets = subword_hashes([p for _, p in parts[at:end]], SIZES)
+        own = parts[at:end]
+        hashes, offsets = subword_hashes([p[1] for p in own], SIZES, np.array([p[2] for p in own]), np.array([p[3] for p in own]))
         bucket = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
-        key = np.repeat(np.array([i for i, _ in parts[at:end]], np.int64), np.diff(offsets)) * BUCKETS + bucket
+        key = np.repeat(np.array([p[0] for p in own], np.int64), np.diff(offsets)) * BUCKETS + bucket
         keys.append(np.unique(key if chosen is None else key[chosen[bucket]]))
         at = end
     every = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
@@ -184,12 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], text: str =
     known = labels.dropna(subset=[doc_id, *categories]).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(*(F.max(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)))
     order = F.xxhash64(F.lit("toxicity"), "doc_id")
     ys = [f"y{i}" for i in range(len(categories))]
-    picked = []
-    for combination in known.select(ys).distinct().limit(2 ** len(ys)).collect():
-        stratum = known
-        for y in ys:
-            stratum = stratum.filter(F.col(y) == combination[y])
-        picked += stratum.orderBy(order).limit(STRATUM_ROWS).collect()
+    nth = F.row_number().over(W.partitionBy(*ys).orderBy(order, "doc_id"))  # its limit is applied before the shuffle
+    picked = known.withColumn("nth", nth).filter(F.col("nth") <= STRATUM_ROWS).drop("nth").collect()
     if not picked:
         return []
     spark = docs.sparkSession

@@ -10,8 +10,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 << 20
-"""Bytes hashed at a time; bounds the scratch arrays for very long texts."""
+PIECE_BYTES = 1 << 18
+"""Bytes hashed at a time; bounds the tables that a worker keeps and the scratch arrays for very long texts."""
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -81,9 +81,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
                 end = begin + cut
                 piece, inside = data[begin:end], inside[: end - begin]
             else:  # one word longer than a piece
-                stop = begin
-                while stop < hi and is_word[data[stop]] and (stop == begin or not first_of_doc[stop - lo]):
-                    stop += 1
+                stop, found = begin + 1, False
+                while stop < hi and not found:
+                    ahead = min(stop + PIECE_BYTES, hi)
+                    ends = np.flatnonzero(~is_word[data[stop:ahead]] | first_of_doc[stop - lo : ahead - lo])
+                    found = len(ends) > 0
+                    stop = stop + int(ends[0]) if found else ahead
                 hashes.append(_long_word(data[begin:stop], symbol))
                 at.append(np.array([begin], np.int64))
                 begin = stop
@@ -154,10 +157,11 @@ def word_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(word_starts(data, offsets)[1])
 
 
-def subword_hashes(texts: list[bytes], sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+def subword_hashes(texts: list[bytes], sizes: tuple[int, ...], open_left: np.ndarray, open_right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all byte n-grams inside words framed by one boundary each, and the offsets per text.
 
     Here words are of ASCII letters and digits and bytes over 127, and the texts together have less than PIECE_BYTES.
+    A text that is open at an end was cut there, so no n-gram has a boundary at that end.
     """
     symbol, _, powers, inverse, plain = _cached_tables()
     data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
@@ -172,5 +176,8 @@ def subword_hashes(texts: list[bytes], sizes: tuple[int, ...]) -> tuple[np.ndarr
         if m > 0:
             hashes[:m, k] = mix64((total[n:] - total[:-n]) * inverse[:m] + np.uint64(n))
             usable[:m, k] = breaks[n - 1 : n - 1 + m] == breaks[1 : 1 + m]
+            usable[bounds[:-1][open_left], k] = False
+            end = bounds[1:][open_right] - n + 1
+            usable[end[end >= 0], k] = False
     counts = np.concatenate([[0], np.cumsum(usable.sum(1))])
     return hashes[usable], counts[bounds]
