@@ -14,9 +14,11 @@ _WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); set to a local one only where it is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); where it is unset, a local one, which only a local master may use."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="chatloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -47,8 +49,8 @@ def _remove_written() -> None:
             jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(conf).delete(target, True)
-        except Exception:  # the session has ended; a cluster's own clean-up takes the folder
-            return
+        except Exception:  # the session has ended or the folder can't be reached; a cluster's own clean-up takes it
+            continue
 
 
 def ship(spark: SparkSession) -> SparkSession:
