@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from chatloom.llm.words import utf8_buffers
 
@@ -28,6 +30,19 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLIC
             yield batch.slice(a, b - a)
 
 
+def column(name: str) -> Column:
+    """A top-level column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(names: list[str], wanted: str) -> str:
+    """``wanted``, with underscores added until no column is called so."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def as_arrow(schema: str) -> pa.Schema:
     """``"a long, b string"`` as an Arrow schema."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}

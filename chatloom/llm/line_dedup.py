@@ -21,7 +21,9 @@ written tables, so Spark splits a fingerprint that a third of all documents shar
 
 Defined results: null and blank texts stay as they are; rows with a null doc_id stay as they are and are matched with
 nothing; rows that repeat a doc_id and a text are one document and get the same cuts; a document of which every line is
-cut gets an empty text; an empty table gives no rows; other columns pass through.
+cut gets an empty text; a very long text is many lines, whose windows hold no more than their words; an empty table gives no
+rows; other columns pass through, whatever their names, and where one is called ``n_lines`` or ``removed_lines``, the added
+column has an underscore more.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chatloom.llm.batches import column, unused
 from chatloom.session import written
 
 GRAM_WORDS = 25
@@ -93,21 +96,21 @@ def repeated_runs(prints: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
     """``docs`` with later repeated runs of lines cut from ``text``, and two more columns: n_lines and removed_lines."""
-    key = {"d": F.col(doc_id).cast("long"), "t": F.xxhash64(text)}
-    units = docs.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(key["d"].alias("d"), key["t"].alias("t"), _units(F.col(text)).alias("units"))
+    rows = docs.select(F.struct(*map(column, docs.columns)).alias("row"), column(doc_id).cast("long").alias("d"), column(text).alias("text"), F.xxhash64(column(text)).alias("t"))
+    units = rows.filter("d IS NOT NULL AND text IS NOT NULL").select("d", "t", _units(F.col("text")).alias("units"))
     runs = repeated_runs(fingerprints(units.filter(F.size("units") > 0), gram_words, window_words))
-    cuts = runs.groupBy(F.col("d").alias("_ld_d"), F.col("t").alias("_ld_t")).agg(F.sort_array(F.collect_list(F.struct("first_line", "last_line"))).alias("_ld_cuts"))
-    out = docs.join(cuts, (key["d"] == F.col("_ld_d")) & (key["t"] == F.col("_ld_t")), "left")
-    lines = F.split(F.col(text), "\n")
-    out = out.withColumn("_ld_lines", F.when(F.col("_ld_cuts").isNotNull(), lines))
+    cuts = runs.groupBy("d", "t").agg(F.sort_array(F.collect_list(F.struct("first_line", "last_line"))).alias("cuts"))
+    out = rows.join(cuts, ["d", "t"], "left").withColumn("lines", F.when(F.col("cuts").isNotNull(), F.split("text", "\n")))
 
     def kept(i: Column) -> Column:
-        start = F.when(i == 0, 0).otherwise(F.col("_ld_cuts")[i - 1]["last_line"] + 1)
-        end = F.when(i == F.size("_ld_cuts"), F.size("_ld_lines")).otherwise(F.col("_ld_cuts")[i]["first_line"])
-        return F.slice("_ld_lines", start + 1, end - start)
-
-    pieces = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_ld_cuts")), kept))
-    cut_text = F.when(F.col("_ld_cuts").isNull(), F.col(text)).otherwise(F.array_join(pieces, "\n"))
-    removed = F.aggregate("_ld_cuts", F.lit(0), lambda n, c: n + c["last_line"] - c["first_line"] + 1)
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)
-    return out.select(*[cut_text.alias(c) if c == text else F.col(c) for c in docs.columns], n_lines.cast("long").alias("n_lines"), F.coalesce(removed, F.lit(0)).cast("long").alias("removed_lines"))
+        start = F.when(i == 0, 0).otherwise(F.col("cuts")[i - 1]["last_line"] + 1)
+        end = F.when(i == F.size("cuts"), F.size("lines")).otherwise(F.col("cuts")[i]["first_line"])
+        return F.slice("lines", start + 1, end - start)
+
+    pieces = F.flatten(F.transform(F.sequence(F.lit(0), F.size("cuts")), kept))
+    cut_text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(pieces, "\n"))
+    removed = F.aggregate("cuts", F.lit(0), lambda n, c: n + c["last_line"] - c["first_line"] + 1)
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
+    same = [cut_text.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns]
+    counts = [n_lines.cast("long").alias(unused(docs.columns, "n_lines")), F.coalesce(removed, F.lit(0)).cast("long").alias(unused(docs.columns, "removed_lines"))]
+    return out.select(*same, *counts)
