@@ -1,9 +1,9 @@
 """Chat formatting from reply trees.
 
-Messages with parents form trees.  Root-to-leaf paths are enumerated by iterative self-joins with pointer doubling:
-step k joins the table of ancestors 2**k up with itself, so a thread of a thousand replies takes ten joins.  Then the
-ancestors of every leaf are listed by the same tables from the highest step down, branches are ranked by the mean score
-of their messages, and each chosen path is formatted as one conversation.
+Messages with parents form trees.  Iterative self-joins with pointer doubling go up from every message: step k joins the
+table of ancestors 2**k up with itself and adds up scores and lengths on the way, so a thread of a thousand replies
+takes ten joins.  Branches are ranked by the mean score of their messages, and only the paths of the chosen leaves are
+listed, by the same tables from the highest step down; each is formatted as one conversation.
 
 Only narrow identifiers go through the joins; texts join the chosen paths at the end.
 
@@ -13,7 +13,8 @@ for itself gives the text back.  The loss mask lists the spans (code points) of
 
 Defined results: null roles and texts are empty; a message whose parent is missing is a root; messages of a cycle and
 replies to them are on no path; repeated rows of a message count once, the least by role and text; null scores are 0; ties of branches
-go to the smallest leaf; an empty table gives no conversations; other columns are not read.
+go to the smallest leaf; a null tree is a tree of its own; a very long text is a part of its one conversation; an empty table
+gives no conversations; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chatloom.llm.batches import as_arrow
+from chatloom.llm.batches import as_arrow, column
 from chatloom.session import written
 
 CONTROL = ("<|turn|>", "<|/turn|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -67,44 +68,49 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def leaf_paths(nodes: DataFrame) -> DataFrame:
-    """(leaf, node, up) for every leaf and every node on its way to the root.  ``nodes``: node, parent (null at roots).
+def ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """The tables (node, above) of ancestors 2**k up, and (node, total, length) of every node that reaches a root.
 
-    While roots are reached, each table of ancestors 2**k up is smaller than the last; nodes that are left when it
-    stays as large lead into a cycle and are on no path.
+    ``nodes``: node, parent (null at roots), score.  While roots are reached, each table of ancestors is smaller than the
+    last; nodes that are left when it stays as large lead into a cycle.
     """
-    here = nodes.select(F.col("node").alias("known"))
-    up = nodes.filter("parent IS NOT NULL").select("node", F.col("parent").alias("above"))
-    jumps = [written(up.join(here, F.col("above") == F.col("known"), "left_semi"), "chat-up-0")]
-    left = [jumps[0].count()]
+    here = nodes.select(F.col("node").alias("above"), F.lit(True).alias("known"))
+    rows = nodes.select("node", F.col("parent").alias("above"), F.col("score").alias("total"), F.lit(1).cast("long").alias("length"))
+    rows = rows.join(here, "above", "left").select("node", F.when(F.col("known"), F.col("above")).alias("above"), "total", "length")
+    rows = written(rows, "chat-up-0")
+    done, open_rows = rows.filter("above IS NULL"), rows.filter("above IS NOT NULL")
+    jumps, left = [open_rows.select("node", "above")], [open_rows.count()]
     while left[-1] and (len(left) == 1 or left[-1] < left[-2]):
-        low = jumps[-1]
-        high = low.join(low.select(F.col("node").alias("above"), F.col("above").alias("top")), "above").select("node", F.col("top").alias("above"))
-        jumps.append(written(high, f"chat-up-{len(jumps)}"))
-        left.append(jumps[-1].count())
-    endless = jumps[-1].select("node")
-    inner = jumps[0].select(F.col("above").alias("node")).distinct()
-    leaves = nodes.select("node").join(inner, "node", "left_anti").join(endless, "node", "left_anti")
-    paths = leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    paths = written(paths, "chat-leaves")
-    for k in reversed(range(len(jumps) - 1)):
-        higher = paths.join(jumps[k], "node").select("leaf", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
-        paths = paths.unionByName(written(higher, f"chat-higher-{k}"))
-    return paths
+        higher = done.unionByName(open_rows).select(F.col("node").alias("above"), F.col("above").alias("next"), F.col("total").alias("more"), F.col("length").alias("longer"))
+        rows = open_rows.join(higher, "above").select("node", F.col("next").alias("above"), (F.col("total") + F.col("more")).alias("total"), (F.col("length") + F.col("longer")).alias("length"))
+        rows = written(rows, f"chat-up-{len(jumps)}")
+        done, open_rows = done.unionByName(rows.filter("above IS NULL")), rows.filter("above IS NOT NULL")
+        jumps.append(open_rows.select("node", "above"))
+        left.append(open_rows.count())
+    return jumps, done.drop("above")
 
 
 def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """The best ``branches`` paths of every tree: (tree, leaf, branch, turn, role, text).
 
-    ``messages``: tree, node, parent, role, text, score; nodes are unique over all trees.
+    ``messages``: tree, node, parent, role, text, score; nodes are unique within their tree, and parents are of the same tree.
     """
-    nodes = messages.groupBy("tree", "node").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "parent", "score")).alias("m")).select("tree", "node", "m.*")
+    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")
+    one = F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "parent", score)).alias("m")
+    nodes = messages.select("tree", "node", "parent", "role", "text", "score").groupBy("tree", "node").agg(one)
+    place = F.struct("tree", F.col("m.parent").alias("node"))
+    nodes = nodes.select(F.struct("tree", "node").alias("node"), F.when(F.col("m.parent").isNotNull(), place).alias("parent"), "m.role", "m.text", "m.score")
     nodes = written(nodes, "chat-nodes")
-    paths = leaf_paths(nodes.select("node", "parent"))
-    scored = paths.join(nodes.select("node", "tree", "score"), "node").groupBy("tree", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("score"), F.count(F.lit(1)).alias("length"))
-    best = scored.withColumn("branch", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), F.desc("length"), "leaf"))).filter(F.col("branch") <= branches)
-    turns = paths.join(best.select("leaf", "branch", "length"), "leaf").join(nodes.select("tree", "node", "role", "text"), "node")
-    return turns.select("tree", "leaf", "branch", (F.col("length") - 1 - F.col("up")).alias("turn"), "role", "text")
+    jumps, scored = ancestors(nodes.select("node", "parent", "score"))
+    leaves = scored.join(jumps[0].select(F.col("above").alias("node")).distinct(), "node", "left_anti")
+    order = W.partitionBy("node.tree").orderBy(F.desc(F.col("total") / F.col("length")), F.desc("length"), "node.node")
+    best = leaves.withColumn("branch", F.row_number().over(order)).filter(F.col("branch") <= branches)
+    paths = written(best.select(F.col("node").alias("leaf"), "branch", "node", (F.col("length") - 1).alias("turn")), "chat-leaves")
+    for k in reversed(range(len(jumps) - 1)):
+        higher = paths.join(jumps[k], "node").select("leaf", "branch", F.col("above").alias("node"), (F.col("turn") - (1 << k)).alias("turn"))
+        paths = paths.unionByName(written(higher, f"chat-higher-{k}"))
+    turns = paths.join(nodes.select("node", "role", "text"), "node")
+    return turns.select("leaf.tree", F.col("leaf.node").alias("leaf"), "branch", "turn", "role", "text")
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,11 +153,7 @@ def read_chats(chats: DataFrame) -> DataFrame:
 
 def threads(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Plain conversations as reply trees of one branch: each turn replies to the one before it (by turn, role and text)."""
-    rows = rows.select(F.col(conversation).cast("long").alias("tree"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    nth = F.row_number().over(W.partitionBy("tree").orderBy("turn", "role", "text"))
-    rows = rows.withColumn("nth", nth)
-
-    def node(n: Column) -> Column:
-        return F.xxhash64(F.coalesce(F.col("tree"), F.lit(0)), F.col("tree").isNull(), n.cast("long"))
-
-    return rows.select("tree", node(F.col("nth")).alias("node"), F.when(F.col("nth") > 1, node(F.col("nth") - 1)).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    rows = rows.select(column(conversation).cast("long").alias("tree"), column(turn).alias("turn"), column(role).alias("role"), column(text).alias("text"))
+    nth = F.row_number().over(W.partitionBy("tree").orderBy("turn", "role", "text")).cast("long")
+    rows = rows.withColumn("node", nth)
+    return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))

@@ -4,8 +4,9 @@ Sampled splitters range-partition the normalised bytes; each partition is sorted
 texts are adjacent, and neighbouring rows are compared in full.  The splitter key is bounded (the first 32
 bytes, a 64-bit hash of the whole text and the identifier), so the driver's sample never holds whole texts, and
 a group of copies of any size is dealt over as many partitions as it needs: the identifier is part of the key.
-Only runs at a partition's edges can go on in another partition.  They are summed up over all partitions, at
-most two keys for each, and only rows of such runs are joined with the sums.
+Only runs at a partition's edges can go on in another partition.  They are summed up over all partitions, at most two
+for each, told apart by the SHA-256 of their texts, and rows of such runs are joined with the sums by digest and
+partition: a key of this join has the rows of one partition at most, however large its group is.
 
 Defined results: a null text counts as empty; null identifiers never win over others; of rows that repeat an
 identifier and a text, one is kept; an empty table gives no rows; other columns are not read.
@@ -19,19 +20,21 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.llm.batches import as_arrow
+from chatloom.llm.batches import as_arrow, column
 from chatloom.session import written
 
 PREFIX_BYTES = 32
-_RUNS = "doc_id long, text_sha256 string, local_keep long, local_size long, leads boolean, at_edge boolean"
+_RUNS = "doc_id long, text_sha256 string, local_keep long, local_size long, leads boolean, at_edge boolean, part int"
 
 
 def _mark_runs(largest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = as_arrow(_RUNS)
+        part_no = TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, np.ndarray, str]] = []  # rows of the splitter key at hand: ids, nulls, digest
         key, body, first_key = None, None, True
 
@@ -48,7 +51,7 @@ def _mark_runs(largest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 leads = np.ones(len(ids), bool)
                 leads[1:] = (ids[1:] != ids[:-1]) | (null[1:] != null[:-1])
                 n = len(ids)
-                for part, value in zip(parts, (pa.array(ids, pa.int64(), mask=null), pa.repeat(digest, n), pa.array([best], pa.int64()).take(pa.array(np.zeros(n, np.int64))), pa.repeat(pa.scalar(n, pa.int64()), n), pa.array(leads), pa.repeat(edge, n)), strict=True):
+                for part, value in zip(parts, (pa.array(ids, pa.int64(), mask=null), pa.repeat(digest, n), pa.array([best], pa.int64()).take(pa.array(np.zeros(n, np.int64))), pa.repeat(pa.scalar(n, pa.int64()), n), pa.array(leads), pa.repeat(edge, n), pa.repeat(part_no, n)), strict=True):
                     part.append(value)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.concat_arrays([x.cast(f.type) for x in p]) for p, f in zip(parts, schema, strict=True)], schema=schema)
@@ -97,16 +100,18 @@ def content_sort(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
 
     ``keep`` is ``"smallest"`` or ``"largest"``: which identifier of equal texts stays.
     """
-    body = F.coalesce((normalise or (lambda c: c))(F.col(text)), F.lit("")).cast("binary")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("body"))
+    body = F.coalesce((normalise or (lambda c: c))(column(text)), F.lit("")).cast("binary")
+    rows = docs.select(column(doc_id).cast("long").alias("doc_id"), body.alias("body"))
     rows = rows.select("doc_id", "body", F.substring("body", 1, PREFIX_BYTES).alias("prefix"), F.xxhash64("body").alias("h"))
     order = F.col("doc_id").desc_nulls_last() if keep == "largest" else F.col("doc_id").asc_nulls_last()
     ranged = rows.repartitionByRange("prefix", "h", order).sortWithinPartitions("prefix", "h", "body", order)
     runs = written(ranged.mapInArrow(_mark_runs(keep == "largest"), _RUNS), "content-runs")
     best = F.max if keep == "largest" else F.min
-    edges = runs.filter("at_edge").groupBy("text_sha256").agg(F.count(F.lit(1)).alias("size"), best("doc_id").alias("best"))
+    edges = written(runs.filter("at_edge").groupBy("text_sha256", "part").agg(F.count(F.lit(1)).alias("n"), best("doc_id").alias("b")), "content-edges")
+    groups = edges.groupBy("text_sha256").agg(F.sum("n").alias("size"), best("b").alias("best"))
+    edges = edges.join(groups, "text_sha256").select("text_sha256", "part", "size", "best")
     inner = runs.filter(~F.col("at_edge")).withColumns({"size": F.col("local_size"), "best": F.col("local_keep")})
-    out = inner.unionByName(runs.filter("at_edge").join(edges, "text_sha256"))
+    out = inner.unionByName(runs.filter("at_edge").join(edges, ["text_sha256", "part"]))
     return out.select(
         "doc_id",
         F.col("best").alias("keep_id"),
