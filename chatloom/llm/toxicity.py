@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chatloom.llm.batches import as_arrow, text_slices
+from chatloom.llm.batches import as_arrow, column, text_slices
 from chatloom.llm.words import subword_hashes
 
 BITS = 21
@@ -51,7 +51,7 @@ def subword_buckets(texts: list[bytes], chosen: np.ndarray | None = None) -> tup
     """
     over = max(SIZES) - 1
     parts: list[tuple[int, bytes, bool, bool]] = [
-        (i, t[max(a - over, 0) : a + PART_BYTES], a > 0, a + PART_BYTES < len(t)) for i, t in enumerate(texts) for a in range(0, len(t), PART_BYTES)
+        (i, t[max(a - over, 0) : a + PART_BYTES], a > over, a + PART_BYTES < len(t)) for i, t in enumerate(texts) for a in range(0, len(t), PART_BYTES)
     ]
     keys, at = [], 0
     while at < len(parts):
@@ -236,9 +236,14 @@ def clean_documents(docs: DataFrame, labels: DataFrame, categories: tuple[str, .
     """The rows of ``docs`` that the last category of the chain doesn't reject, with their columns; no shuffle."""
     chain = train(docs, labels, list(categories), text, doc_id)
 
+    names = docs.columns
+    where = names.index(text)
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, text):
-            rejected = chain_probabilities(chain, _bytes(batch.column(text)))[:, -1] >= threshold if chain else np.zeros(batch.num_rows, bool)
-            yield batch.filter(pa.array(~rejected))
+        for whole in batches:
+            values = pa.RecordBatch.from_arrays(whole.column("row").flatten(), names=[f"c{i}" for i in range(len(names))])
+            for batch in text_slices([values], f"c{where}"):
+                rejected = chain_probabilities(chain, _bytes(batch.column(where)))[:, -1] >= threshold if chain else np.zeros(batch.num_rows, bool)
+                yield batch.filter(pa.array(~rejected)).rename_columns(names)
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.select(F.struct(*map(column, names)).alias("row")).mapInArrow(keep, docs.schema)

@@ -83,6 +83,19 @@ def test_reply_trees(shipped):
     assert found == {("t", 1): [("user", "root"), ("assistant", "high"), ("user", "end")], ("t", 2): [("user", "root"), ("assistant", "low")], ("u", 1): [("", "")]}
 
 
+def test_a_comb_of_replies_lists_only_the_chosen_paths(shipped):
+    """A thread with a reply at every message has a branch for each; work stays in proportion to the messages."""
+    n = 3000
+    rows = [(1, i, i - 1 if i else None, "user", f"m{i}", 0.0) for i in range(n)] + [(1, n + i, i, "assistant", f"r{i}", 1.0 if i == 1 else 0.0) for i in range(n - 1)]
+    rows += [(2, i, i - 1 if i else None, "user", f"other{i}", 0.0) for i in range(3)]  # the same node numbers in another tree
+    paths = chat.reply_paths(shipped.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double"), branches=2).collect()
+    got = defaultdict(dict)
+    for r in paths:
+        got[r.tree, r.branch][r.turn] = r.text
+    assert {k: [v[t] for t in sorted(v)] for k, v in got.items() if k != (1, 2)} == {(1, 1): ["m0", "m1", "r1"], (2, 1): ["other0", "other1", "other2"]}
+    assert len(got[1, 2]) == n and got[1, 2][n - 1] in (f"m{n - 1}", f"r{n - 2}") and len(paths) == 3 + 3 + n
+
+
 def test_long_and_odd_conversations(shipped):
     rows = [(1, i, "user" if i % 2 else "assistant", f"m{i}") for i in range(70)] + [(2, 0, None, None), (None, 1, "user", "x"), (None, 0, "assistant", "y"), (3, 0, "assistant", "same"), (3, 0, "assistant", "same"), (4, None, "user", "first"), (4, 1, "user", "second")]
     got = {r.tree: r for r in chat.read_chats(chat.format_chats(chat.threads(shipped.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()}
@@ -157,4 +170,14 @@ def test_pipeline_stages_equal_brute_force(shipped):
         library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=PrefixCoder(f.read()).rank, special_tokens={})
     assert sorted((r.doc_id, r.ids) for r in out) == sorted((r.doc_id, library.encode_ordinary(r.text)) for r in mixed.collect())
     assert all(s.columns == docs.columns for s in (clean, unique, apart, mixed))
+    names = ("n_lines", "removed_lines", "row", "spans", "_tie", "cuts", "kept", "component_id", "a.b")
+    for name, stage in P.STAGES:
+        wide = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit(None).cast("string"))).select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+        rows = stage(shipped, wide, SF).collect()
+        assert stage(shipped, wide.limit(0), SF).count() == 0
+        if name != "prefix_bpe":
+            assert all(list(r)[-len(names) :] == list(range(len(names))) for r in rows) and rows[0].__fields__ == wide.columns
+            assert name == "mixing" or sum(r.doc_id is None for r in rows) == 1
+        else:
+            assert len(rows) == wide.count()
     assert sorted((r.doc_id, r.ids_sha256) for r in P.run(shipped, SF).collect()) == sorted((r.doc_id, r.ids_sha256) for r in out)

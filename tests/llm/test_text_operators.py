@@ -194,7 +194,7 @@ def test_components_of_long_paths_and_stars(shipped):
 
 
 def brute_line_dedup(spark, docs: list[tuple[int, str]], gram: int, window: int) -> dict[int, str]:
-    """Winnowing in plain loops; only the hashes of lines and grams come from Spark."""
+    """Winnowing in plain loops, extended by every earlier place to the first unequal line; only the hashes of lines and grams come from Spark."""
     units = {i: [(p, line.strip(" \t\r\x0b\x0c")) for p, line in enumerate(text.split("\n")) if line.strip(" \t\r\x0b\x0c")] for i, text in docs}
     lines = sorted({u for us in units.values() for _, u in us})
     h = {r.l: r.h for r in spark.createDataFrame([(x,) for x in lines], "l string").select("l", F.xxhash64("l").alias("h")).collect()}
@@ -212,27 +212,7 @@ def brute_line_dedup(spark, docs: list[tuple[int, str]], gram: int, window: int)
             inside = [q for q in range(p, len(us)) if starts[i][q] - starts[i][p] <= window - gram and grams[i, q]]
             if inside:
                 prints.add((i, min(inside, key=lambda q: (gh[grams[i, q]], q))))
-    first = {}
-    for i, q in sorted(prints):
-        first.setdefault(grams[i, q], (i, q))
-    cut = defaultdict(set)
-    for i, q in prints:
-        i0, q0 = first[grams[i, q]]
-        if (i, q) == (i0, q0):
-            continue
-
-        def reach(k: int, i: int = i, q: int = q, i0: int = i0, q0: int = q0) -> bool:
-            """Is the unit k away in both documents, near enough to the fingerprint, and equal?"""
-            ok = 0 <= q + k < len(units[i]) and 0 <= q0 + k < len(units[i0])
-            near = lambda d, x: -window <= starts[d][x + k] - starts[d][x] <= gram + window
-            return ok and near(i, q) and near(i0, q0) and units[i][q + k][1] == units[i0][q0 + k][1]
-
-        a = b = 0
-        while reach(a - 1):
-            a -= 1
-        while reach(b + 1):
-            b += 1
-        cut[i].update(range(units[i][q + a][0], units[i][q + b][0] + 1))
+    cut = brute_extension(units, [(i, units[i][q][0], grams[i, q]) for i, q in prints])
     return {i: "\n".join(x for p, x in enumerate(text.split("\n")) if p not in cut[i]) for i, text in docs}
 
 
@@ -362,6 +342,17 @@ def test_line_dedup_of_odd_rows(odd_docs, no_docs):
     assert line_dedup.line_dedup(odd_docs).columns == [*odd_docs.columns, "n_lines", "removed_lines"]
 
 
+def test_line_dedup_with_clashing_names(shipped):
+    passage = "\n".join(" ".join(f"c{i}x{j}" for j in range(20)) for i in range(4))
+    df = shipped.createDataFrame([(i, passage) for i in range(2)], "doc_id long, text string")
+    names = ("n_lines", "removed_lines", "Removed_Lines_", "cuts", "lines", "row", "d", "t", "_ld_cuts", "a.b", "x`y")
+    df = df.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    out = line_dedup.line_dedup(df)
+    assert out.columns == [*df.columns, "n_lines_", "removed_lines__"]
+    got = {r[0]: r for r in out.collect()}
+    assert got[1][1] == "" and got[0][1] == passage and list(got[1])[2:] == [*range(len(names)), 4, 4] and list(got[0])[2:] == [*range(len(names)), 4, 0]
+
+
 def test_line_dedup_is_native(odd_docs):
     plan = line_dedup.line_dedup(odd_docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -408,6 +399,80 @@ def test_mixing(shipped):
     assert again == {i: r.taken for i, r in got.items()}
 
 
+def brute_taken(placed: list, draw_seed: int, seed: int) -> dict[int, int]:
+    """Draws, numbering, settlement and permutations slot by slot; ``placed`` has the documents' places in their sources."""
+    sizes = {r.source_no: r.source_size for r in placed}
+    order = sorted(sizes)
+    target = {r.source_no: r.target for r in placed}
+    blocks = {s: -(-sizes[s] // mixing.BLOCK_WORDS) for s in order}
+    wanted = {s: min(round(target[s] * blocks[s] / max(1, sizes[s])), 3 * blocks[s]) for s in order}
+    every = sum(wanted.values())
+    mix, number = [], Counter()
+    for shard in range(-(-every // mixing.SHARD_SLOTS)):
+        draw = np.random.Generator(np.random.Philox(key=[draw_seed, shard]))
+        counts = draw.multinomial(min(mixing.SHARD_SLOTS, every - shard * mixing.SHARD_SLOTS), np.array([wanted[s] for s in order]) / every)
+        for s, n in zip(order, counts.tolist(), strict=True):
+            for _ in range(n):
+                mix.append((s, number[s]))
+                number[s] += 1
+    keep = dict(zip(order, mixing.settled(np.array([number[s] for s in order]), np.array([wanted[s] for s in order]), np.array([3 * blocks[s] for s in order])).tolist(), strict=True))
+    assert sum(keep.values()) == every == len(mix)
+    for s in order:
+        assert abs(keep[s] - wanted[s]) <= mixing.TOLERANCE * wanted[s] and keep[s] <= 3 * blocks[s]
+    freed = sorted((s, t) for s, t in mix if t >= keep[s])
+    open_slots = [(s, t) for s in order for t in range(number[s], keep[s])]
+    assert len(freed) == len(open_slots)
+    slots = [x for x in mix if x[1] < keep[x[0]]] + open_slots
+    times = Counter()
+    for s, t in slots:
+        n = blocks[s]
+        key = mixing.mix64(mixing.mix64(np.array([s + seed], np.uint64)) + np.uint64(t // n))
+        times[s, int(mixing.permuted(np.array([t % n]), np.array([n]), key)[0])] += 1
+    assert max(times.values()) <= 3
+    out = {}
+    for r in placed:
+        out[r.doc_id] = sum(times[r.source_no, w // mixing.BLOCK_WORDS] for w in range(r.start, r.start + r.size))
+    return out
+
+
+def test_mixing_equals_brute_force_and_follows_the_draw(shipped, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)
+    rnd = random.Random(14)
+    rows = [(i, " ".join("w" for _ in range(rnd.choice((0, 1, 40, 900, 4000)))), rnd.choice(("a", "b", "b", "c", None)) if i > 3 else "tiny") for i in range(700)]
+    df = shipped.createDataFrame(rows, "doc_id long, text string, source string")
+    found = []
+    for draw_seed in (1, 2):
+        mix = mixing.mix_sources(df, shard_slots=64, draw_seed=draw_seed)
+        got = {r.doc_id: r.taken for r in mixing.taken_words(mix).collect()}
+        assert got == brute_taken(mix.placed.collect(), draw_seed, mixing.SEED)
+        layout = mixing.shard_layout(mix).withColumn("n", F.col("end_word") - F.col("first_word"))
+        assert {r.doc_id: r.n for r in layout.groupBy("doc_id").agg(F.sum("n").alias("n")).collect()} == {i: n for i, n in got.items() if n}
+        assert all(n <= 64 for n in (r["count"] for r in mix.slots.groupBy("shard").count().collect()))
+        found.append(got)
+    assert found[0] != found[1]
+
+
+def test_settling_keeps_the_sum_and_the_bounds():
+    rnd = np.random.default_rng(3)
+    for _ in range(300):
+        wanted = rnd.integers(0, 5000, 6)
+        most = wanted + rnd.integers(0, 50, 6)
+        drawn = rnd.multinomial(wanted.sum(), wanted / wanted.sum())
+        kept = mixing.settled(drawn, wanted, most)
+        assert kept.sum() == wanted.sum() and (kept <= most).all() and (np.abs(kept - wanted) <= np.floor(mixing.TOLERANCE * wanted)).all()
+
+
+def test_mixed_documents_with_clashing_names(shipped):
+    _, df = mix_docs(shipped)
+    names = ("row", "spans", "_tie", "_spans", "id", "tie", "nth", "places", "d", "t", "a.b", "x`y")
+    wide = df.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    out = mixing.mixed_documents(wide)
+    assert out.columns == wide.columns
+    rows = out.collect()
+    assert all(list(r)[3:] == list(range(len(names))) for r in rows)
+    assert sorted((r[0], r[1]) for r in rows) == sorted((r.doc_id, r.text) for r in mixing.mixed_documents(df).collect())
+
+
 def test_mixed_documents_hold_the_words_taken(shipped):
     _, df = mix_docs(shipped)
     taken = {r.doc_id: r.taken for r in mixing.taken_words(mixing.mix_sources(df)).collect() if r.taken}
@@ -476,9 +541,12 @@ def test_random_pieces_appends_and_edits(coder, reference):
 # media
 
 
-def test_media_round_trip(odd_docs, no_docs):
+@pytest.mark.parametrize("form", media.FORMATS)
+def test_media_round_trip(odd_docs, no_docs, form):
     texts = {}
-    got = media.media_features(media.media_column(odd_docs)).collect()
+    stored = media.media_column(odd_docs, form=form)
+    assert {bytes(r.media[:2]) for r in stored.collect()} == {{"pgm": b"P5", "ppm": b"P6", "bmp": b"BM"}[form]}
+    got = media.media_features(stored).collect()
     assert len(got) == odd_docs.count()
     for r, row in zip(sorted(got, key=lambda r: (r.doc_id or -1, r.n_bytes)), sorted(odd_docs.collect(), key=lambda r: (r.doc_id or -1, len((r.text or "").encode()))), strict=True):
         raw = (row.text or "").encode()
@@ -501,6 +569,44 @@ def test_decoders_agree():
         assert (media.decode(b"P1\n%d %d\n" % (w, h) + b"".join(b"0" if v else b"1" for v in bits.reshape(-1))) == np.where(bits, 255, 0)).all()
 
 
+def test_null_and_broken_media(shipped):
+    rgb = np.random.default_rng(2).integers(0, 256, (4, 4, 3), dtype=np.uint8)
+    bmp = media.encode_bmp(rgb)
+    eight = bytearray(b"BM" + bytes(8) + (54 + 8).to_bytes(4, "little") + bmp[14:54] + bytes(8) + b"\x00\x01\x05\x00" * 4)
+    eight[28:30] = (8).to_bytes(2, "little")  # a palette of two colours, and a sample of 5
+    broken = [b"", b"P5", b"P5\n4 4\n", b"P5\n4 4\n255\nxy", b"P5\n0 4\n255\n", b"P5\n4 4\n0\n" + bytes(16), b"P2\n2 2\n255\n1 x 3 4", b"P6\n# no end", b"PNG", b"BM", bmp[:60], bytes(eight), b"P1\n2 2\n1"]
+    rows = [(i, 3, bytearray(m)) for i, m in enumerate(broken)] + [(100, None, None), (101, 3, bytearray(bmp))]
+    got = {r.doc_id: r for r in media.media_features(shipped.createDataFrame(rows, "doc_id long, n_bytes long, media binary").withColumn("feature", F.lit(1))).collect()}
+    assert all(got[100][c] is None for c in got[100].__fields__[1:]) and got[101].feature is not None
+    for i, m in enumerate(broken):
+        assert (got[i].media_bytes, got[i].media_sha256, got[i].payload_sha256, got[i].feature, got[i].tile_npy) == (len(m), sha(m), None, None, None)
+
+
+def test_bmp_with_masks():
+    rgb = np.random.default_rng(5).integers(0, 256, (3, 5, 3), dtype=np.uint8)
+    packed = np.zeros((3, 5), "<u4")
+    for k, shift in enumerate((4, 12, 20)):
+        packed |= rgb[:, :, k].astype("<u4") << shift
+    header = bytearray(media.encode_bmp(rgb)[:54])
+    header[10:14], header[28:30], header[30:34] = (66).to_bytes(4, "little"), (32).to_bytes(2, "little"), (3).to_bytes(4, "little")
+    masks = b"".join((0xFF << s).to_bytes(4, "little") for s in (4, 12, 20))
+    assert (media.decode(bytes(header) + masks + packed[::-1].tobytes()) == rgb).all()
+
+
+@pytest.mark.parametrize("strip", [1, 24, 100, 1 << 18])
+def test_difference_hash_equals_brute_force(monkeypatch, strip):
+    monkeypatch.setattr(media, "STRIP_SAMPLES", strip)
+    rnd = np.random.default_rng(8)
+    for shape in ((1, 1), (24, 24), (5, 3), (72, 24), (17, 9, 3), (40, 24, 3)):
+        image = rnd.integers(0, 256, shape, dtype=np.uint8)
+        light = image if image.ndim == 2 else image @ np.array([299, 587, 114]) / 1000
+        h, w = light.shape
+        fine = np.kron(light.astype(float), np.ones((8, 9)))  # every sample as 8 x 9 cells
+        mean = np.round(fine.reshape(8, h, 9, w).mean((1, 3)), 6)
+        bits = [mean[i, j + 1] > mean[i, j] for i in range(8) for j in range(8)]
+        assert media.difference_hash(image) == "".join(f"{int(''.join('01'[int(b)] for b in bits[k : k + 8]), 2):02x}" for k in range(0, 64, 8))
+
+
 def test_area_resize_is_the_exact_mean():
     rnd = np.random.default_rng(1)
     image = rnd.integers(0, 256, (13, 10)).astype(float)
@@ -522,6 +628,52 @@ def test_language(shipped):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def brute_buckets(text: str) -> list[int]:
+    framed, out = f" {language_id.lowered(text)} ", []
+    for order in language_id.ORDERS:
+        for i in range(len(framed) - order + 1):
+            value = order
+            for c in framed[i : i + order]:
+                value = (value * 1000003 + ord(c)) & (1 << 64) - 1
+            out.append(int(language_id.mix64(np.array([value], np.uint64))[0]) >> 49)
+    return out
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 17])
+def test_language_equals_brute_force(shipped, monkeypatch, piece):
+    monkeypatch.setattr(language_id, "PIECE_BYTES", piece)
+    texts = ["Der Hund ist müde", "die Katze schläft ΣΑΣ", "the dog sleeps", "a cat İs tired", "the 😀 end", None, "", "1 2", "ΟΔΟΣ", "Hunde", "x"]
+    rows = [(i, t, ("de", "de", "en", "en", "en", "de", "fr", None, "el", None, None)[i]) for i, t in enumerate(texts)]
+    import pyarrow as pa
+
+    buckets = Counter()
+    for pieces in language_id.text_pieces(pa.array(texts), piece):
+        found, at = language_id.ngram_buckets(pieces)
+        for p, a, b in zip(pieces, at.tolist(), [*at.tolist()[1:], len(found)], strict=True):
+            buckets.update((p.row, x) for x in found[a:b].tolist())
+    assert buckets == Counter((i, x) for i, t in enumerate(texts) for x in brute_buckets(t or ""))
+
+    got = {r.doc_id: r for r in language_id.identify(shipped.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") == 0).collect()}
+    train = [(t, lang) for i, t, lang in rows if i and lang and t is not None]
+    names = sorted({lang for _, lang in train})
+    n = {lang: Counter(x for t, own in train if own == lang for x in brute_buckets(t)) for lang in names}
+    for i, t, _ in rows:
+        logs = []
+        for lang in names:
+            total = sum(n[lang].values()) + language_id.SMOOTHING * language_id.BUCKETS
+            prior = np.log(sum(own == lang for _, own in train) / len(train))
+            logs.append(prior + sum(float(np.float32(np.log((n[lang][x] + language_id.SMOOTHING) / total))) for x in brute_buckets(t or "")))
+        p = np.exp(np.array(logs) - max(logs)) / np.exp(np.array(logs) - max(logs)).sum()
+        want = (names[int(p.argmax())], p.max()) if t and any(c.isalpha() for c in t) else ("und", 0.0)
+        assert got[i].lang_pred == want[0] and abs(got[i].score - want[1]) < 1e-9 and got[i].held_out == (i == 0)
+
+
+def test_rows_without_identifier_are_not_learned_from(shipped):
+    df = shipped.createDataFrame([(1, "hund", "de"), (None, "dog", "en")], "doc_id long, text string, lang string")
+    got = language_id.identify(df, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).collect()
+    assert "en" not in {r.lang_pred for r in got} and all(r.held_out is not None for r in got)
+
+
 def test_language_of_odd_rows(odd_docs, no_docs):
     got = language_id.identify(odd_docs, F.lit(False)).collect()
     assert {r.lang_pred for r in got} == {"en", "und"} and all(r.lang_pred == "und" for r in got if r.doc_id in (2, 3, 4))
@@ -558,6 +710,59 @@ def test_toxicity_finds_unseen_documents(shipped):
     assert left.schema == docs.schema and sorted(r.doc_id for r in left.collect()) == [i for i in range(400) if i % 4]
 
 
+def brute_subwords(text: bytes) -> set[bytes]:
+    out = set()
+    for word in re.findall(rb"[A-Za-z0-9\x80-\xff]+", text):
+        framed = b" " + word.lower() + b" "
+        out |= {framed[i : i + n] for n in toxicity.SIZES for i in range(len(framed) - n + 1)}
+    return out
+
+
+@pytest.mark.parametrize("part", [1, 5, 16, 1 << 17])
+def test_subwords_and_scores_do_not_depend_on_parts(monkeypatch, part):
+    """Cuts of long texts are no word boundaries; scoring equals plain sums over the distinct subwords."""
+    monkeypatch.setattr(toxicity, "PART_BYTES", part)
+    rnd = random.Random(12)
+    texts = [" ".join("".join(rnd.choice("abcDE9é-") for _ in range(rnd.randrange(1, 30))) for _ in range(rnd.randrange(0, 6))).encode() for _ in range(40)] + [b"", b"x", b"longword" * 9]
+    row, bucket = toxicity.subword_buckets(texts)
+    names = sorted(set().union(*map(brute_subwords, texts)))
+    framed = {}
+    for name in names:  # a subword's bucket: of a text that is the subword alone, open where it has no boundary
+        hashes, _ = toxicity.subword_hashes([name.strip(b" ")], (len(name),), np.array([name[:1] != b" "]), np.array([name[-1:] != b" "]))
+        (framed[name],) = (hashes >> np.uint64(64 - toxicity.BITS)).tolist()
+    got = defaultdict(set)
+    for r, b in zip(row.tolist(), bucket.tolist(), strict=True):
+        got[r].add(b)
+    assert all(got[i] == {framed[x] for x in brute_subwords(t)} for i, t in enumerate(texts))
+    kept = np.array(sorted(set(framed.values())))[::3]
+    chain = [toxicity.Linear(kept, np.linspace(-1, 1, len(kept)), np.zeros(0), 0.1), toxicity.Linear(kept[:5], np.ones(5), np.array([2.0]), -1.0)]
+    p = toxicity.chain_probabilities(chain, texts)
+    for i in range(len(texts)):
+        first = 1 / (1 + np.exp(-(sum(w for b, w in zip(kept, chain[0].weights, strict=True) if b in got[i]) + 0.1)))
+        second = 1 / (1 + np.exp(-(sum(b in got[i] for b in kept[:5].tolist()) + 2 * first - 1)))
+        assert np.allclose(p[i], [first, second], atol=1e-12)
+
+
+def test_the_chain_learns_from_out_of_fold_predictions(monkeypatch):
+    """The second model's training input is, row by row, what a model that never saw the row's fold predicts."""
+    rnd = np.random.default_rng(1)
+    rows = [np.unique(rnd.integers(0, 60, 12)) for _ in range(240)]
+    first = np.array([int(5 in r or 9 in r) for r in rows])
+    labels = np.column_stack([first, first ^ np.array([int(17 in r) for r in rows])])
+    seen = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda s, r, y, e: seen.append((r, y, e)) or fit(s, r, y, e))
+    sample = toxicity.Sample(rows)
+    toxicity.fit_chain(sample, labels)
+    assert len(seen) == 2 + toxicity.FOLDS
+    none = np.zeros((240, 0))
+    for f in range(toxicity.FOLDS):
+        inside = np.arange(240) % toxicity.FOLDS == f
+        model = fit(sample, np.flatnonzero(~inside), labels[:, 0], none)
+        want = [1 / (1 + np.exp(-(sum(dict(zip(model.buckets.tolist(), model.weights, strict=True)).get(b, 0.0) for b in rows[i].tolist()) + model.bias))) for i in np.flatnonzero(inside)]
+        assert np.allclose(seen[-1][2][inside, 0], want)
+
+
 def test_toxicity_of_odd_rows(shipped, odd_docs, no_docs):
     _, labels = toxic_docs(shipped)
     assert toxicity.toxicity(odd_docs, labels).count() == odd_docs.count()
