@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from chatloom.llm.batches import as_arrow, text_slices
 
-PIECE_CACHE = 150_000
-PAIR_CACHE = 250_000
+PIECE_CACHE = 200_000
+PAIR_CACHE = 400_000
 LONG_PIECE = 64
-"""Bounds of the tables of a task, which keep them at some tens of MB; they are made for a task and go with it."""
+"""Bounds of a worker's tables, which keep them at some tens of MB."""
 
 
 class PrefixCoder:
@@ -92,7 +92,10 @@ class PrefixCoder:
         return bound
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
-        """Add the last token of every prefix of ``piece`` that ``last`` doesn't have yet; exactly one candidate fits, short ones are tried first."""
+        """Add the last token of every prefix of ``piece`` that ``last`` doesn't have yet.
+
+        Exactly one candidate fits; short ones are tried first.
+        """
         rank, pair, longest = self.rank, self._pair, self.longest
         for end in range(len(last) + 1, len(piece) + 1):
             for start in range(end - 1, max(0, end - longest) - 1, -1):
@@ -134,27 +137,43 @@ class PrefixCoder:
 
 
 class _Pieces(dict):
-    """Piece of text -> its ids, joined by commas."""
+    """Piece of text -> its ids, joined by commas.  When it is full, what wasn't used since it last was goes."""
 
     def __init__(self, coder: PrefixCoder) -> None:
         super().__init__()
         self.coder = coder
+        self.older: dict[str, str] = {}
 
     def __missing__(self, piece: str) -> str:
-        ids = ",".join(map(str, self.coder.encode(piece.encode())))
-        if len(piece) <= LONG_PIECE:
-            if len(self) >= PIECE_CACHE:
-                self.clear()
-            self[piece] = ids
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = ",".join(map(str, self.coder.encode(piece.encode())))
+            if len(piece) > LONG_PIECE:
+                return ids
+        if len(self) >= PIECE_CACHE:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
+_LOADED: dict[bytes, tuple[_Pieces, dict[str, bytes]]] = {}
+
+
+def _loaded(rank_file: bytes) -> tuple[_Pieces, dict[str, bytes]]:
+    """A worker's tables, made once for each rank file."""
+    name = hashlib.sha256(rank_file).digest()
+    if name not in _LOADED:
+        coder = PrefixCoder(rank_file)
+        _LOADED[name] = _Pieces(coder), {str(r): t for r, t in coder.token.items()}
+    return _LOADED[name]
+
+
 def _coded(ranks, pattern: str, with_ids: bool):
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PrefixCoder(ranks.value)
-        pieces, tokens = _Pieces(coder), {str(r): t for r, t in coder.token.items()}
+        pieces, tokens = _loaded(ranks.value)
         split = regex.compile(pattern).findall
         schema = as_arrow(fields)
         if with_ids:
