@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -16,6 +17,12 @@ def is_duplicate(a: Column, b: Column, tolerance: float = 10.0, least: float = 0
     return share_within(a, b, tolerance) > least
 
 
+def without_adjacent_duplicates(rows: DataFrame, group: list[str], order: str, value: str, tolerance: float = 10.0, least: float = 0.98) -> DataFrame:
+    """Rows whose array isn't a duplicate of the row's just before it, kept or not."""
+    before = F.lag(value).over(W.partitionBy(*group).orderBy(order))
+    return rows.withColumn("_before", before).filter(F.col("_before").isNull() | ~is_duplicate(F.col("_before"), F.col(value), tolerance, least)).drop("_before")
+
+
 def overlap(a: Column, b: Column, row: int, step: int = 20, tolerance: float = 15.0, least: float = 0.85, most: float = 0.8) -> Column:
     """Rows at the end of ``a`` that the start of ``b`` repeats: the largest candidate whose share is high enough, else 0."""
     rows = F.least(F.size(a), F.size(b)) / row

@@ -31,12 +31,17 @@ def safe_name(c: Column) -> Column:
     return F.regexp_replace(c, "[^a-zA-Z0-9\\u4e00-\\u9fa5]", "_")
 
 
+KEY_CHARS = 50
+"""Characters of a content that count in the keys of the caches."""
+
+
 def dedup_key(room: Column, sender: Column, content: Column) -> Column:
-    return F.concat_ws(":", room, sender, F.substring(F.coalesce(content, F.lit("")), 1, 50))
+    """The cache key as text, for display: parts that hold its separator may look alike, so keys are compared by their parts."""
+    return F.concat_ws(":", room, sender, F.substring(F.coalesce(content, F.lit("")), 1, KEY_CHARS))
 
 
 def text_mode_key(target: Column, content: Column) -> Column:
-    return F.concat_ws("|", target, F.lit(UNKNOWN_TALKER), F.substring(F.coalesce(content, F.lit("")), 1, 50))
+    return F.concat_ws("|", target, F.lit(UNKNOWN_TALKER), F.substring(F.coalesce(content, F.lit("")), 1, KEY_CHARS))
 
 
 def fuzzy_match(text: Column, target: Column) -> Column:
@@ -85,5 +90,21 @@ def markers(content: Column) -> Column:
     )
 
 
+def all_markers(content: Column) -> Column:
+    """array<struct<kind, label, size>> of every picture and file marker in a content, in order."""
+    found = F.regexp_extract_all(content, F.lit("(【图片(?:：[^】]*)?】|【文件\\|[^|】]*\\|[^】]*】)"), F.lit(1))
+    return F.transform(found, markers)
+
+
+def truncated(c: Column, most: int) -> Column:
+    """The first characters, for display."""
+    return F.substring(c, 1, most)
+
+
+def random_delay(low: int, high: int, seed: int | None = None) -> Column:
+    """A whole number from ``low`` to ``high``, both included; it differs between runs unless seeded."""
+    return (F.floor(F.rand(seed) * (high - low + 1)) + low).cast("long")
+
+
 def js_round(c: Column) -> Column:
     return F.floor(c + 0.5)

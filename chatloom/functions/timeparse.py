@@ -133,7 +133,12 @@ def to_epoch_ms(parsed: Column, as_of_ms: int, tz: str = "UTC") -> Column:
     return epoch_of(F.coalesce(parsed["year"], F.lit(now.year)), F.coalesce(parsed["month"], F.lit(now.month)), F.coalesce(parsed["day"], F.lit(now.day)), parsed["hour"], parsed["minute"], tz)
 
 
-def checkpoint_stamp(c: Column) -> Column:
-    """YYYYMMDD_HHmm of a checkpoint struct; all zeros for null."""
-    stamp = F.concat(F.lpad(c["year"].cast("string"), 4, "0"), *(F.lpad(c[p].cast("string"), 2, "0") for p in ("month", "day")), F.lit("_"), *(F.lpad(c[p].cast("string"), 2, "0") for p in ("hour", "minute")))
-    return F.coalesce(stamp, F.lit("00000000_0000"))
+def checkpoint_stamp(c: Column, as_of_ms: int, tz: str = "UTC") -> Column:
+    """YYYYMMDD_HHmm of a checkpoint struct, with today's parts for those that are missing or 0; all zeros for null."""
+    now = _today(as_of_ms, tz)
+
+    def part(name: str, other: int) -> Column:
+        return F.lpad(F.coalesce(F.nullif(c[name], F.lit(0)), F.lit(other)).cast("string"), 4 if name == "year" else 2, "0")
+
+    stamp = F.concat(part("year", now.year), part("month", now.month), part("day", now.day), F.lit("_"), part("hour", 0), part("minute", 0))
+    return F.when(c.isNull(), F.lit("00000000_0000")).otherwise(stamp)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chatloom.session import written
+
 SHOT_NAME = "patrol_.+_([0-9]{6})_([0-9]+)\\.png\\z"
 
 
@@ -46,9 +48,19 @@ def overlapping_batches(rows: DataFrame, group: str, order: str, size: int = 5)
 
 
 def sink_batches(rows: DataFrame, order: str, batch_size: int, within: str | None = None) -> DataFrame:
-    """Number of the sink batch of each row, first in first out, per ``within``."""
-    w = W.partitionBy(within).orderBy(order) if within else W.orderBy(order)
-    return rows.withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / batch_size))
+    """Number of the sink batch of each row, first in first out, per ``within``.
+
+    Without ``within`` all rows are one queue: they are dealt by ranges of the order, written, and numbered in each
+    range after the rows of the ranges before it, so no task holds the queue.
+    """
+    if within:
+        return rows.withColumn("batch_no", F.floor((F.row_number().over(W.partitionBy(within).orderBy(order)) - 1) / batch_size))
+    ranged = written(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "sink-ranges")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(W.partitionBy("_range").orderBy(order)) - 1 + F.col("_before")
+    numbered = ranged.join(sizes.select("_range", before.alias("_before")), "_range").withColumn("batch_no", F.floor(nth / batch_size))
+    return numbered.select(*rows.columns, "batch_no")
 
 
 def retry_delays(retries: int = 3, base_ms: int = 1000) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chatloom.functions.text import dedup_key, norm_content
+from chatloom.functions.text import KEY_CHARS, norm_content
 from chatloom.operators.folds import fold_rows
 
 CLOCK_TAIL = "([0-9]{1,2}:[0-9]{2})\\z"
@@ -50,9 +50,9 @@ def known_in_room(batch: DataFrame, existing: DataFrame, as_of_ms: int, within_m
     return batch.join(recent, (F.col("room_name") == F.col("_room")) & (norm_content(F.col("content")) == F.col("_norm")), how)
 
 
-def first_by_key(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    """Unbounded deduplication: the first row of each key."""
-    return rows.withColumn("_nth", F.row_number().over(W.partitionBy(key).orderBy(order))).filter("_nth = 1").drop("_nth")
+def first_by_key(rows: DataFrame, keys: list[Column], order: str) -> DataFrame:
+    """Unbounded deduplication: the first row of each key, whose parts are compared one by one (nulls equal nulls)."""
+    return rows.withColumn("_nth", F.row_number().over(W.partitionBy(*keys).orderBy(order))).filter("_nth = 1").drop("_nth")
 
 
 def seen_cache(rows: DataFrame, keys: list[str], time: str, window_ms: int) -> DataFrame:
@@ -77,7 +77,7 @@ def ingest(batch: DataFrame, existing: DataFrame, as_of_ms: int, allowed: list[s
     for part in allowed:
         keep = keep | F.col("room_name").contains(part)
     rows = batch.filter(keep).withColumn("content", F.coalesce("content", F.lit(""))).withColumn("_norm", norm_content(F.col("content"))).filter("_norm <> ''")
-    rows = first_by_key(rows, dedup_key(F.col("room_name"), F.col("sender"), F.col("content")), "idx")
+    rows = first_by_key(rows, [F.col("room_name"), F.col("sender"), F.substring("content", 1, KEY_CHARS)], "idx")
     cutoff = as_of_ms - within_ms
     earlier = W.partitionBy("room_name", "_norm").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("_newest", F.max("timestamp").over(earlier))

@@ -77,3 +77,12 @@ def insert_ignore(existing: DataFrame, batch: DataFrame) -> DataFrame:
     first = F.row_number().over(W.partitionBy("message_id").orderBy("id"))
     once = batch.withColumn("_nth", first).filter((F.col("_nth") == 1) | F.col("message_id").isNull()).drop("_nth")
     return once.join(existing.select("message_id"), "message_id", "left_anti").select(batch.columns)
+
+
+# The fields of a webhook's payload and the columns they hold.
+PAYLOAD = (("messageId", "message_id"), ("roomId", "room_id"), ("roomName", "room_name"), ("talkerId", "talker_id"), ("talkerName", "talker_name"), ("content", "content"), ("messageType", "message_type"), ("timestamp", "timestamp"))
+
+
+def webhook_payload() -> Column:
+    """The JSON that a webhook receives for a message."""
+    return F.to_json(F.struct(*(F.col(c).alias(name) for name, c in PAYLOAD)))

@@ -60,11 +60,16 @@ def y_groups(fragments: DataFrame, page: str = "page", near: int = 8) -> DataFra
     return out.select(page, "line", F.col("g.y").alias("y"), F.array_join(F.transform(F.sort_array("g.parts"), lambda p: p["text"]), "").alias("text"))
 
 
-def ema(rows: DataFrame, key: str, order: str, value: str, confidence: str, least: float = 0.5, old: float = 0.65) -> DataFrame:
-    """(key, smoothed): rounded exponential mean of a sequence; rows of low confidence are skipped."""
+def ema(rows: DataFrame, key: str, order: str, value: str, confidence: str, least: float = 0.5, old: float = 0.65, fallback: float | None = None, decay: float = 0.9) -> DataFrame:
+    """(key, smoothed): rounded exponential mean of a sequence; rows of low confidence are skipped.
+
+    With ``fallback`` a row without a value, in which nothing was found, draws the mean there by a tenth, or begins it.
+    """
 
     def step(s: float | None, row: tuple) -> float | None:
         _, v, c = row
+        if v is None and fallback is not None:
+            return fallback if s is None else float(math.floor(s * decay + fallback * (1 - decay) + 0.5))
         if c is not None and c < least:
             return s
         if s is None or v is None:

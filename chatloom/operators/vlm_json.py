@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The room's default name, the fields, and the patterns that find JSON in prose.
 UNKNOWN_ROOM = "未知群聊"
 RECOGNIZED = "struct<roomName:string,messages:array<struct<index:int,sender:string,content:string,time:string,type:string,bounds:struct<x:int,y:int,w:int,h:int>>>>"
 EMPTY = json.dumps({"roomName": UNKNOWN_ROOM, "messages": []}, ensure_ascii=False, separators=(",", ":"))
@@ -32,9 +33,13 @@ def _balanced(text: str) -> str | None:
     return None
 
 
+def _no_number(name: str) -> object:
+    raise ValueError(f"{name} is no JSON")
+
+
 def _strict(text: str | None) -> object:
     try:
-        return json.loads(text) if text else None
+        return json.loads(text, parse_constant=_no_number) if text else None
     except ValueError:
         return None
 

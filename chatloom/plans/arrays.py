@@ -52,6 +52,13 @@ def q_adjacent_duplicates(spark, sf_dir):
     return p.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(A.is_duplicate(F.col("a"), F.col("b"), 0.5, 0.9)).alias("duplicates"))
 
 
+@query("""WITH p AS (SELECT vec_id, embedding AS b, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS a FROM embeddings)
+SELECT vec_id FROM p WHERE a IS NULL OR list_sum(list_transform(list_zip(a, b), lambda p: CASE WHEN abs(p[1] - p[2]) < 0.2 THEN 1 ELSE 0 END)) / len(a) <= 0.75""")
+def q_stitched_items(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return A.without_adjacent_duplicates(e, ["label"], "vec_id", "embedding", 0.2, 0.75).select("vec_id")
+
+
 @query("""WITH x AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
 h AS (SELECT vec_id, i, v > 0.05 AS above FROM x),
 g AS (SELECT vec_id, above, i - row_number() OVER (PARTITION BY vec_id, above ORDER BY i) AS island FROM h),

@@ -11,30 +11,33 @@ from chatloom.sources.messages import event_millis
 
 SHOTS_SQL = """(SELECT 'patrol_' || event_type || '_' || lpad(CAST(user_id AS VARCHAR), CASE WHEN event_id % 10 = 0 THEN 5 ELSE 6 END, '0') || '_' || event_id % 40 || CASE WHEN event_id % 17 = 0 THEN '.jpg' ELSE '.png' END AS name,
   event_type AS target, epoch_us(ts) // 1000 AS mtime FROM events)"""
-_GOOD = f"(SELECT *, CAST(regexp_extract(name, 'patrol_.+_([0-9]{{6}})_([0-9]+)\\.png$', 1) AS BIGINT) AS run_id, CAST(regexp_extract(name, 'patrol_.+_([0-9]{{6}})_([0-9]+)\\.png$', 2) AS BIGINT) AS shot FROM {SHOTS_SQL} WHERE regexp_matches(name, '^patrol_.+_([0-9]{{6}})_([0-9]+)\\.png$'))"
+GOOD_SHOTS_SQL = f"(SELECT *, CAST(regexp_extract(name, 'patrol_.+_([0-9]{{6}})_([0-9]+)\\.png$', 1) AS BIGINT) AS run_id, CAST(regexp_extract(name, 'patrol_.+_([0-9]{{6}})_([0-9]+)\\.png$', 2) AS BIGINT) AS shot FROM {SHOTS_SQL} WHERE regexp_matches(name, '^patrol_.+_([0-9]{{6}})_([0-9]+)\\.png$'))"
 
 
 def shots(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return shots_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def shots_of(e):
     name = F.concat(F.lit("patrol_"), "event_type", F.lit("_"), F.lpad(F.col("user_id").cast("string"), 6, "0"), F.lit("_"), (F.col("event_id") % 40).cast("string"), F.when(F.col("event_id") % 17 == 0, ".jpg").otherwise(".png"))
     short = F.concat(F.lit("patrol_"), "event_type", F.lit("_"), F.lpad(F.col("user_id").cast("string"), 5, "0"), F.lit("_"), (F.col("event_id") % 40).cast("string"), F.when(F.col("event_id") % 17 == 0, ".jpg").otherwise(".png"))
     return e.select(F.when(F.col("event_id") % 10 == 0, short).otherwise(name).alias("name"), F.col("event_type").alias("target"), event_millis().alias("mtime"))
 
 
-@query(f"SELECT name, run_id, shot FROM {_GOOD}")
+@query(f"SELECT name, run_id, shot FROM {GOOD_SHOTS_SQL}")
 def q_filename_parse(spark, sf_dir):
     return B.parse_shots(shots(spark, sf_dir)).select("name", "run_id", "shot")
 
 
-@query(f"""WITH w AS (SELECT target, CAST(quantile_disc(run_id, 0.5) AS BIGINT) AS last_run FROM {_GOOD} WHERE target <> 'view' GROUP BY target)
-SELECT name, g.target, run_id, shot FROM {_GOOD} g LEFT JOIN w USING (target) WHERE last_run IS NULL OR run_id > last_run""")
+@query(f"""WITH w AS (SELECT target, CAST(quantile_disc(run_id, 0.5) AS BIGINT) AS last_run FROM {GOOD_SHOTS_SQL} WHERE target <> 'view' GROUP BY target)
+SELECT name, g.target, run_id, shot FROM {GOOD_SHOTS_SQL} g LEFT JOIN w USING (target) WHERE last_run IS NULL OR run_id > last_run""")
 def q_watermark_runs(spark, sf_dir):
     good = B.parse_shots(shots(spark, sf_dir))
     marks = good.filter("target <> 'view'").groupBy("target").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY run_id)").cast("long").alias("last_run"))
     return B.new_runs(good, marks).select("name", "target", "run_id", "shot")
 
 
-@query(f"SELECT target, run_id, array_to_string(list(name ORDER BY shot DESC, mtime, name), ',') AS names, count(*) AS n FROM {_GOOD} GROUP BY target, run_id")
+@query(f"SELECT target, run_id, array_to_string(list(name ORDER BY shot DESC, mtime, name), ',') AS names, count(*) AS n FROM {GOOD_SHOTS_SQL} GROUP BY target, run_id")
 def q_run_lists(spark, sf_dir):
     return B.runs_old_to_new(B.parse_shots(shots(spark, sf_dir))).select("target", "run_id", F.array_join("names", ",").alias("names"), "n")
 
@@ -53,6 +56,11 @@ def q_webhook_batches(spark, sf_dir):
     return B.sink_batches(e, "event_id", 10, within="event_type")
 
 
+@query("SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 10 AS batch_no FROM events")
+def q_webhook_queue(spark, sf_dir):
+    return B.sink_batches(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id"), "event_id", 10)
+
+
 @query("SELECT r_regionkey, unnest([1000, 2000, 4000])::BIGINT AS delay_ms, unnest([0, 1, 2]) AS attempt FROM region")
 def q_retry_schedule(spark, sf_dir):
     r = spark.read.parquet(f"{sf_dir}/region.parquet")

@@ -70,18 +70,18 @@ def q_exists_anti(spark, sf_dir):
 @query(f"SELECT min(id) AS id FROM {DOCUMENTS_SQL} GROUP BY room_name, substring(content, 1, 50)")
 def q_text_mode_dedup(spark, sf_dir):
     m = messages_from_documents(spark, sf_dir)
-    return D.first_by_key(m, F.concat_ws("|", "room_name", F.substring("content", 1, 50)), "id").select("id")
+    return D.first_by_key(m, [F.col("room_name"), F.substring("content", 1, 50)], "id").select("id")
 
 
 @query(f"""WITH b AS (SELECT id AS idx, room_name, talker_name AS sender, content, timestamp, lower(replace(content, ' ', '')) AS norm FROM {EVENTS_SQL} WHERE id % 2 = 1 AND contains(room_name, 'i')),
 f AS (SELECT * FROM b WHERE norm <> '' QUALIFY row_number() OVER (PARTITION BY room_name, sender, substring(content, 1, 50) ORDER BY idx) = 1),
 g AS (SELECT *, max(timestamp) OVER (PARTITION BY room_name, norm ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM f)
 SELECT idx, room_name, sender, content, timestamp FROM g WHERE (newest IS NULL OR newest <= 1705276800000 - 864000000)
-AND NOT EXISTS (SELECT 1 FROM {EVENTS_SQL} e WHERE e.id % 8 = 0 AND e.room_name = g.room_name AND e.timestamp > 1705276800000 - 864000000 AND lower(replace(e.content, ' ', '')) = g.norm)""")
+AND NOT EXISTS (SELECT 1 FROM {EVENTS_SQL} e WHERE e.id % 2 = 0 AND e.room_name = g.room_name AND e.timestamp > 1705276800000 - 864000000 AND lower(replace(e.content, ' ', '')) = g.norm)""")
 def q_ingest(spark, sf_dir):
     m = messages_from_events(spark, sf_dir)
     batch = m.filter("id % 2 = 1").select(F.col("id").alias("idx"), "room_name", F.col("talker_name").alias("sender"), "content", "timestamp")
-    return D.ingest(batch, m.filter("id % 8 = 0"), 1705276800000, ["i"], 864000000)
+    return D.ingest(batch, m.filter("id % 2 = 0"), 1705276800000, ["i"], 864000000)
 
 
 _KEYED_SQL = "SELECT event_type, user_id % 5 AS u, epoch_us(ts) // 1000 AS t FROM events"

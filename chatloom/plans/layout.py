@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chatloom.functions import layout as L
 from chatloom.functions import timeparse as P
 from chatloom.plans.registry import query
-from chatloom.plans.times import TIMES_SQL, times
+from chatloom.plans.times import checkpoint_sql, times
 from chatloom.sources.messages import AS_OF_MS
 
 
@@ -51,8 +51,11 @@ def q_weighted_mean(spark, sf_dir):
     return e.groupBy("event_type").agg(L.weighted_mean(F.col("value"), F.col("event_id") % 5).alias("mean"))
 
 
-@query(f"""SELECT id, CASE WHEN regexp_matches(time_str, '昨') THEN '20240131_' || lpad(regexp_extract(time_str, '([0-9]{{1,2}}):', 1), 2, '0') || regexp_extract(time_str, ':([0-9]{{2}})', 1) ELSE '00000000_0000' END AS stamp
-FROM {TIMES_SQL} WHERE id % 13 IN (0, 1)""")
+_STAMP_SQL = f"""{checkpoint_sql("周|是期|星期", "0").partition(chr(10) + "SELECT")[0]}
+SELECT id, lpad(CAST(coalesce(year(day0), nullif(y, 0), 2024) AS VARCHAR), 4, '0') || lpad(CAST(coalesce(month(day0), nullif(m, 0), 2) AS VARCHAR), 2, '0')
+  || lpad(CAST(coalesce(day(day0), nullif(d, 0), 1) AS VARCHAR), 2, '0') || '_' || lpad(CAST(hour AS VARCHAR), 2, '0') || lpad(CAST(minute AS VARCHAR), 2, '0') AS stamp FROM x"""
+
+
+@query(_STAMP_SQL)
 def q_checkpoint_stamp(spark, sf_dir):
-    t = times(spark, sf_dir).filter("id % 13 IN (0, 1)")
-    return t.select("id", P.checkpoint_stamp(P.checkpoint(F.col("time_str"), AS_OF_MS)).alias("stamp"))
+    return times(spark, sf_dir).select("id", P.checkpoint_stamp(P.checkpoint(F.col("time_str"), AS_OF_MS), AS_OF_MS).alias("stamp"))

@@ -89,11 +89,10 @@ def q_incremental_poll(spark, sf_dir):
     return m.join(F.broadcast(last), F.col("timestamp") >= F.col("since")).drop("since")
 
 
-@query(f"""SELECT id, to_json({{'roomName': room_name, 'talkerName': talker_name, 'timestamp': timestamp, 'msgIndex': msg_index}}) AS payload FROM {EVENTS_SQL}""")
+@query(f"""SELECT id, to_json({{'messageId': message_id, 'roomId': room_id, 'roomName': room_name, 'talkerId': talker_id, 'talkerName': talker_name, 'content': content, 'messageType': message_type, 'timestamp': timestamp}}) AS payload FROM {EVENTS_SQL}""")
 def q_webhook_payload(spark, sf_dir):
     m = messages_from_events(spark, sf_dir)
-    fields = F.struct(F.col("room_name").alias("roomName"), F.col("talker_name").alias("talkerName"), "timestamp", F.col("msg_index").alias("msgIndex"))
-    return m.select("id", F.to_json(fields).alias("payload"))
+    return m.select("id", M.webhook_payload().alias("payload"))
 
 
 @query(f"""SELECT count(*) AS collected, count(*) FILTER (msg_index = 0) AS failed, count(*) FILTER (msg_index > 0) AS succeeded, count(DISTINCT room_name) AS targets FROM {EVENTS_SQL}""")

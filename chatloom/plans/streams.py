@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatloom.operators.batching import parse_shots
+from chatloom.plans.batches import GOOD_SHOTS_SQL, shots_of
 from chatloom.plans.registry import query
 from chatloom.session import shared_path
 from chatloom.sources.messages import event_millis
@@ -44,3 +46,10 @@ def q_rate_limit_stream(spark, sf_dir):
     S.use_rocksdb(spark)
     rows = _events_stream(spark, sf_dir).select(F.col("event_type").alias("key"), event_millis().alias("t"))
     return drained(S.rate_limit_stream(rows, 2, 1800000), "rate-limit")
+
+
+@query(f"SELECT target, run_id, name FROM {GOOD_SHOTS_SQL}")
+def q_new_runs_stream(spark, sf_dir):
+    S.use_rocksdb(spark)
+    e = _events_stream(spark, sf_dir)
+    return drained(S.new_runs_stream(parse_shots(shots_of(e)).select("target", "run_id", "name")), "new-runs")

@@ -55,7 +55,7 @@ def q_weekday_resolve(spark, sf_dir):
     return t.select("id", n.alias("number"), P.weekday_date(n, AS_OF_MS).alias("day"))
 
 
-def _checkpoint_sql(weekday_words: str, now_rule: str) -> str:
+def checkpoint_sql(weekday_words: str, now_rule: str) -> str:
     return f"""WITH t AS (SELECT id, time_str, trim(time_str) AS c FROM {TIMES_SQL}),
 k AS (SELECT *, coalesce(TRY_CAST(regexp_extract(c, '([0-9]{{1,2}}):([0-9]{{2}})', 1) AS INT), 0) AS hour, coalesce(TRY_CAST(regexp_extract(c, '([0-9]{{1,2}}):([0-9]{{2}})', 2) AS INT), 0) AS minute,
   CASE WHEN contains(c, '昨天') OR contains(c, '昨日') THEN 'y' WHEN regexp_matches(c, '{weekday_words}') THEN 'w'
@@ -72,19 +72,19 @@ _WALL = "CAST(days AS BIGINT) * 86400000 + hour * 3600000 + minute * 60000"
 _NOW = f"CASE WHEN kind = 't' AND NOT regexp_matches(c, '[0-9]{{1,2}}:[0-9]{{2}}') THEN {AS_OF_MS} ELSE {_WALL} END"
 
 
-@query(_checkpoint_sql("周|是期|星期", _NOW))
+@query(checkpoint_sql("周|是期|星期", _NOW))
 def q_checkpoint_epoch(spark, sf_dir):
     t = times(spark, sf_dir).withColumn("c", P.checkpoint(F.col("time_str"), AS_OF_MS))
     return t.select("id", "time_str", "c.epoch_ms", "c.hour", "c.minute")
 
 
-@query(_checkpoint_sql("周|是期", _WALL))
+@query(checkpoint_sql("周|是期", _WALL))
 def q_checkpoint_parity(spark, sf_dir):
     t = times(spark, sf_dir).withColumn("c", P.checkpoint(F.col("time_str"), AS_OF_MS, strict_parity=True))
     return t.select("id", "time_str", "c.epoch_ms", "c.hour", "c.minute")
 
 
-@query(_checkpoint_sql("周|是期|星期", f"CASE WHEN kind IN ('f', 'm') AND (y = 0 OR m = 0 OR d = 0) THEN 1706745600000 + hour * 3600000 + minute * 60000 ELSE {_NOW} END").replace("epoch_ms, hour, minute FROM x", "message_ms FROM x"))
+@query(checkpoint_sql("周|是期|星期", f"CASE WHEN kind IN ('f', 'm') AND (y = 0 OR m = 0 OR d = 0) THEN 1706745600000 + hour * 3600000 + minute * 60000 ELSE {_NOW} END").replace("epoch_ms, hour, minute FROM x", "message_ms FROM x"))
 def q_message_ts(spark, sf_dir):
     return times(spark, sf_dir).select("id", "time_str", P.message_epoch(F.col("time_str"), AS_OF_MS).alias("message_ms"))
 

@@ -32,6 +32,11 @@ def get_status(messages: DataFrame, limit: str | None = None) -> DataFrame:
     return M.status_feed(messages, limit)
 
 
+def patrol_status(counters: DataFrame, running: bool, settings: dict) -> DataFrame:
+    """One row: whether a patrol runs, its settings, and its counters."""
+    return counters.select(F.lit(running).alias("running"), *(F.lit(v).alias(k) for k, v in settings.items() if not isinstance(v, list)), F.array(*map(F.lit, settings.get("targets", []))).alias("targets"), F.struct(*counters.columns).alias("counters"))
+
+
 def patrol_settings(interval: int | None = None, cap: int | None = None, targets: list | None = None) -> dict:
     """Validated settings; a bad value is refused as a bad request would be."""
     if interval is not None and interval < 1000:

@@ -13,7 +13,8 @@ CHECKPOINT = "target string, timestamp long, timeStr string, epochMs long, year
 
 def log_records(spark: SparkSession, path: str, last: int = 20) -> DataFrame:
     """Of the last ``last`` non-blank lines of a log file, those that are records: time, level, message, in order."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("nth", "line"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(place.alias("nth"), F.col("value").alias("line")).filter(F.trim("line") != "")
     tail = lines.orderBy(F.desc("nth")).limit(last)
     return tail.withColumn("r", log_record(F.col("line"))).filter("r IS NOT NULL").orderBy("nth").select("r.*")
 
@@ -37,6 +38,11 @@ def screenshots(spark: SparkSession, folder: str) -> DataFrame:
     return parse_shots(files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("mtime")))
 
 
+def saved_checkpoints(old: DataFrame, new: DataFrame, path: str) -> None:
+    """Write the checkpoints of all targets as JSON lines, those of ``new`` in place of the same target's; ``path`` is a new folder."""
+    old.join(new, "target", "left_anti").unionByName(new).write.json(path)
+
+
 def checkpoints(spark: SparkSession, path: str) -> DataFrame:
     """Checkpoints of targets, one JSON object a line."""
     return spark.read.schema(CHECKPOINT).json(path)

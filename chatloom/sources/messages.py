@@ -1,6 +1,6 @@
 """The message table: schema, and message views over the event, conversation and document tables.
 
-Times are Unix milliseconds truncated to the minute, as displayed times are; ``created_at`` would be seconds.
+Times are Unix milliseconds truncated to the minute, as displayed times are; ``created_at`` is in seconds.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ MESSAGE = T.StructType(
         T.StructField("message_type", T.StringType()),
         T.StructField("timestamp", T.LongType()),
         T.StructField("msg_index", T.IntegerType()),
+        T.StructField("raw_data", T.StringType()),
+        T.StructField("created_at", T.LongType()),
     ]
 )
 
@@ -52,6 +54,8 @@ def messages_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("text").alias("message_type"),
         to_minute(event_millis()).alias("timestamp"),
         (F.col("event_id") % 10).cast("int").alias("msg_index"),
+        F.col("props").alias("raw_data"),
+        F.floor(event_millis() / 1000).alias("created_at"),
     )
 
 
@@ -69,6 +73,8 @@ def messages_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("text").alias("message_type"),
         (F.lit(1704067200000) + F.col("conv_id") * 3600000 + F.expr("turn div 2") * 60000).alias("timestamp"),
         F.col("turn").cast("int").alias("msg_index"),
+        F.lit(None).cast("string").alias("raw_data"),
+        (F.lit(1704067200) + F.col("conv_id") * 3600 + F.expr("turn div 2") * 60).alias("created_at"),
     )
 
 
@@ -85,14 +91,25 @@ def messages_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("text").alias("message_type"),
         (F.lit(AS_OF_MS) - (F.col("doc_id") % 7) * 20000).alias("timestamp"),
         F.lit(0).alias("msg_index"),
+        F.lit(None).cast("string").alias("raw_data"),
+        F.lit(AS_OF_MS // 1000).cast("long").alias("created_at"),
     )
 
 
+def message_view(messages: DataFrame, name: str = "messages") -> DataFrame:
+    """The rows by the schema of the table, as a view that ``spark.sql`` may name."""
+    table = messages.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in MESSAGE.fields))
+    table.createOrReplaceTempView(name)
+    return table
+
+
 EVENTS_SQL = """(SELECT event_id + 1 AS id, 'evt_' || event_id AS message_id, event_type AS room_id, event_type AS room_name,
   'user_' || user_id AS talker_id, 'user_' || user_id AS talker_name, props AS content, 'text' AS message_type,
-  (epoch_us(ts) // 60000000) * 60000 AS timestamp, CAST(event_id % 10 AS INT) AS msg_index FROM events)"""
+  (epoch_us(ts) // 60000000) * 60000 AS timestamp, CAST(event_id % 10 AS INT) AS msg_index, props AS raw_data, epoch_us(ts) // 1000000 AS created_at FROM events)"""
 CONVERSATIONS_SQL = """(SELECT conv_id * 1000 + turn AS id, 'msg_' || conv_id || '_' || turn AS message_id, 'conv_' || conv_id AS room_id,
   'conv_' || conv_id AS room_name, role AS talker_id, role AS talker_name, text AS content, 'text' AS message_type,
-  1704067200000 + conv_id * 3600000 + (turn // 2) * 60000 AS timestamp, CAST(turn AS INT) AS msg_index FROM conversations)"""
+  1704067200000 + conv_id * 3600000 + (turn // 2) * 60000 AS timestamp, CAST(turn AS INT) AS msg_index,
+  CAST(NULL AS VARCHAR) AS raw_data, 1704067200 + conv_id * 3600 + (turn // 2) * 60 AS created_at FROM conversations)"""
 DOCUMENTS_SQL = """(SELECT doc_id AS id, 'doc_' || doc_id AS message_id, source AS room_id, source AS room_name, lang AS talker_id,
-  lang AS talker_name, text AS content, 'text' AS message_type, 1706788800000 - (doc_id % 7) * 20000 AS timestamp, 0 AS msg_index FROM documents)"""
+  lang AS talker_name, text AS content, 'text' AS message_type, 1706788800000 - (doc_id % 7) * 20000 AS timestamp, 0 AS msg_index,
+  CAST(NULL AS VARCHAR) AS raw_data, 1706788800 AS created_at FROM documents)"""

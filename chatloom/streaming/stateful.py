@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -18,13 +18,18 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class SeenCache(StatefulProcessor):
-    """Keeps a row if its key's last kept row is at least ``window_ms`` older; dropped rows don't move that anchor."""
+    """Keeps a row if its key's last kept row is at least ``window_ms`` older; dropped rows don't move that anchor.
 
-    def __init__(self, window_ms: int) -> None:
-        self.window_ms = window_ms
+    With ``ttl_ms`` a key that had no kept row for that long (by the clock) is forgotten; no less than the window may be given.
+    """
+
+    def __init__(self, window_ms: int, ttl_ms: int | None = None) -> None:
+        if ttl_ms is not None and ttl_ms < window_ms:
+            raise ValueError("a key must be known for a window at least")
+        self.window_ms, self.ttl_ms = window_ms, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.anchor = handle.getValueState("anchor", "t long")
+        self.anchor = handle.getValueState("anchor", "t long", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         times = pd.concat(list(rows))["t"].sort_values()
@@ -67,9 +72,39 @@ class RateLimit(StatefulProcessor):
         pass
 
 
-def seen_cache_stream(rows: DataFrame, window_ms: int) -> DataFrame:
-    """``rows``: key, t (ms), in time order over micro-batches."""
-    return rows.groupBy("key").transformWithStateInPandas(SeenCache(window_ms), "key string, t long", "Append", "None")
+class RunWatermark(StatefulProcessor):
+    """Passes the rows of runs after a target's last one; the watermark moves to the newest run when a micro-batch ends."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "run_id long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else None
+        newest = last
+        for part in rows:
+            new = part if last is None else part[part["run_id"] > last]
+            if len(new):
+                newest = int(new["run_id"].max()) if newest is None else max(newest, int(new["run_id"].max()))
+                yield new[["target", "run_id", "name"]]
+        if newest is not None:
+            self.last.update((newest,))
+
+    def close(self) -> None:
+        pass
+
+
+def seen_cache_stream(rows: DataFrame, window_ms: int, ttl_ms: int | None = None) -> DataFrame:
+    """``rows``: key, t (ms), in time order over micro-batches.
+
+    A stream whose keys are forgotten by the clock also has micro-batches without data; where it is to end with what is
+    there now, switch these off (spark.sql.streaming.noDataMicroBatches.enabled).
+    """
+    return rows.groupBy("key").transformWithStateInPandas(SeenCache(window_ms, ttl_ms), "key string, t long", "Append", "None" if ttl_ms is None else "ProcessingTime")
+
+
+def new_runs_stream(rows: DataFrame) -> DataFrame:
+    """``rows``: target, run_id, name.  Rows of runs that are newer than their target's watermark before the micro-batch."""
+    return rows.groupBy("target").transformWithStateInPandas(RunWatermark(), "target string, run_id long, name string", "Append", "None")
 
 
 def rate_limit_stream(rows: DataFrame, limit: int, window_ms: int) -> DataFrame:
@@ -82,7 +117,7 @@ def activity_stream(rows: DataFrame, late: str = "10 minutes", every: str = "1 h
 
 
 def webhook_sink(batch_size: int, post: Callable[[int, list[str]], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that posts JSON payloads in batches from the tasks, in order of id within a task."""
+    """A foreachBatch function that posts the payloads of rows (id, payload) in batches from the tasks, in order of id within a task."""
 
     def sink(batch: DataFrame, epoch: int) -> None:
         def send(rows: Iterator) -> None:
@@ -95,6 +130,16 @@ def webhook_sink(batch_size: int, post: Callable[[int, list[str]], None]) -> Cal
             if held:
                 post(epoch, held)
 
-        batch.select("id", F.to_json(F.struct("*")).alias("payload")).sortWithinPartitions("id").foreachPartition(send)
+        batch.select("id", "payload").sortWithinPartitions("id").foreachPartition(send)
 
     return sink
+
+
+def webhook_query(rows: DataFrame, batch_size: int, interval: str | None, post: Callable[[int, list[str]], None], checkpoint: str) -> StreamingQuery:
+    """Start a webhook sink: what came in the ``interval`` is sent in batches of ``batch_size``, the last one as it is.
+
+    So a batch goes when it is full or when its time is over; without an interval, what is there now is sent.
+    A micro-batch that is tried again is posted again, under the same epoch.
+    """
+    trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
+    return rows.writeStream.foreachBatch(webhook_sink(batch_size, post)).option("checkpointLocation", checkpoint).trigger(**trigger).start()

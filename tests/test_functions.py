@@ -75,6 +75,26 @@ def test_targets_and_lists(spark):
     assert row.c == ["A|群聊", "B", "|x"]
 
 
+def test_stamps_take_missing_parts_from_today(spark):
+    df = spark.createDataFrame([("14:27",), ("2月17日 14:27",), ("2025/1/15 09:30",), ("昨天 8:05",), ("0月3日 10:00",)], "s string")
+    got = [r[0] for r in df.select(P.checkpoint_stamp(P.checkpoint(F.col("s"), AS_OF_MS), AS_OF_MS)).collect()]
+    assert got == ["20240201_1427", "20240217_1427", "20250115_0930", "20240131_0805", "20240203_1000"]
+    none = F.lit(None).cast("struct<year:int,month:int,day:int,hour:int,minute:int>")
+    assert df.select(P.checkpoint_stamp(none, AS_OF_MS).alias("x")).first().x == "00000000_0000"
+
+
+def test_every_marker_of_a_content(spark):
+    text = "a【图片：截图】b【文件|报表.xlsx|2.5MB】c【图片】【文件|x】"
+    row = spark.createDataFrame([(text,), ("none",)], "c string").select(X.all_markers(F.col("c")).alias("m"), X.truncated(F.col("c"), 3).alias("t"), X.random_delay(5, 7).alias("d")).collect()
+    assert [(m.kind, m.label, m.size) for m in row[0].m] == [("picture", "截图", ""), ("file", "报表.xlsx", "2.5MB"), ("picture", "", "")] and row[1].m == []
+    assert row[0].t == "a【图" and all(5 <= r.d <= 7 for r in row)
+
+
+def test_adjacent_duplicates_go(spark):
+    df = spark.createDataFrame([(1, 1, [1.0, 2.0]), (1, 2, [1.0, 2.0]), (1, 3, [9.0, 2.0]), (1, 4, [1.0, 2.0]), (2, 1, [1.0, 2.0])], "g int, i int, a array<double>")
+    assert sorted((r.g, r.i) for r in A.without_adjacent_duplicates(df, ["g"], "i", "a", 0.5, 0.9).collect()) == [(1, 1), (1, 3), (1, 4), (2, 1)]
+
+
 def test_log_record(spark):
     df = spark.createDataFrame([("2024-01-15 21:30:45 [INFO]: message",), ("junk",)], "s string")
     got = [r.r for r in df.select(X.log_record(F.col("s")).alias("r")).collect()]

@@ -119,6 +119,109 @@ def test_ingest_equals_a_loop(spark):
     assert sorted(r.idx for r in got.collect()) == want
 
 
+def test_ingest_compares_the_parts_of_a_key(spark):
+    """Names with a separator and missing senders are senders of their own."""
+    rows = [(0, "a:b", "c", "one"), (1, "a", "b:c", "one"), (2, "r", None, "x:y two"), (3, "r", "x", "y two"), (4, "r", None, "x:y two"), (5, "r", None, "z")]
+    batch = spark.createDataFrame([(*r, 5) for r in rows], "idx int, room_name string, sender string, content string, timestamp long")
+    none = spark.createDataFrame([], "room_name string, content string, timestamp long")
+    assert sorted(r.idx for r in D.ingest(batch, none, 10, []).collect()) == [0, 1, 2, 3, 5]
+
+
+def test_one_queue_is_numbered_over_its_ranges(spark):
+    rows = spark.range(0, 1000, 3).repartition(7)
+    got = {r.id: r.batch_no for r in B.sink_batches(rows, "id", 10).collect()}
+    assert got == {i: n // 10 for n, i in enumerate(range(0, 1000, 3))}
+    assert B.sink_batches(rows.limit(0), "id", 10).count() == 0
+
+
+def test_ema_falls_back_where_nothing_was_found(spark):
+    rows = [("a", 1, None, 1.0), ("a", 2, 200.0, 1.0), ("a", 3, None, 0.0), ("a", 4, 100.0, 0.1), ("b", 1, 10.0, 1.0), ("b", 2, None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, i int, v double, c double")
+    got = {r.k: r.smoothed for r in S.ema(df, "k", "i", "v", "c", fallback=320.0).collect()}
+    assert got == {"a": 282.0, "b": 41.0}  # 320, round(320 * 0.65 + 200 * 0.35) = 278, round(278 * 0.9 + 32), skipped
+
+
+def test_webhook_sends_full_batches_and_the_rest(spark, tmp_path):
+    from chatloom.streaming.stateful import webhook_query
+
+    (tmp_path / "posts").mkdir()
+    m = spark.range(25).select("id", *(F.lit(c).alias(c) for _, c in M.PAYLOAD))
+    m.select("id", M.webhook_payload().alias("payload")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    folder = str(tmp_path / "posts")
+
+    def post(epoch: int, payloads: list[str]) -> None:
+        import json
+        import uuid
+
+        with open(f"{folder}/{epoch}-{uuid.uuid4().hex}", "w") as f:
+            json.dump(payloads, f)
+
+    stream = spark.readStream.schema("id long, payload string").parquet(str(tmp_path / "in"))
+    webhook_query(stream, 10, None, post, str(tmp_path / "check")).awaitTermination()
+    import json
+
+    posts = [json.loads(p.read_text()) for p in (tmp_path / "posts").iterdir()]
+    assert sorted(map(len, posts)) == [5, 10, 10] and set(json.loads(posts[0][0])) == {name for name, _ in M.PAYLOAD}
+
+
+def test_run_watermarks_advance_over_micro_batches(spark, tmp_path):
+    from chatloom.streaming import stateful
+
+    stateful.use_rocksdb(spark)
+    batches = [[("a", 1), ("a", 3), ("b", 7)], [("a", 2), ("a", 3), ("a", 4), ("c", 1)], [("a", 4), ("b", 8), ("b", 6)]]
+    got = []
+    for i, rows in enumerate(batches):  # one run of the stream for each, so that the state comes from its checkpoint
+        spark.createDataFrame([(t, r, f"{i}-{t}-{r}") for t, r in rows], "target string, run_id long, name string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("target string, run_id long, name string").parquet(str(tmp_path / "in"))
+        out = stateful.new_runs_stream(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        out.awaitTermination()
+        got.append(sorted(r.name for r in spark.read.parquet(str(tmp_path / "out")).collect()))
+    first, second, third = ["0-a-1", "0-a-3", "0-b-7"], ["1-a-4", "1-c-1"], ["2-b-8"]
+    assert got == [first, sorted(first + second), sorted(first + second + third)]
+
+
+def test_forgotten_keys_of_the_seen_cache(spark, tmp_path):
+    from chatloom.streaming import stateful
+
+    stateful.use_rocksdb(spark)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    with pytest.raises(ValueError):
+        stateful.SeenCache(5000, 100)
+    found = []
+    for ttl, name in ((1, "short"), (3_600_000, "long")):
+        for i, t in enumerate((1000, 1001)):
+            spark.createDataFrame([("k", t)], "key string, t long").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in-{name}"))
+            stream = spark.readStream.schema("key string, t long").parquet(str(tmp_path / f"in-{name}"))
+            kept = stateful.seen_cache_stream(stream, 1 if ttl == 1 else 5000, ttl)
+            kept.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"check-{name}")).trigger(availableNow=True).start(str(tmp_path / f"out-{name}")).awaitTermination(60)
+        found.append(spark.read.parquet(str(tmp_path / f"out-{name}")).count())
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert found == [2, 1]
+
+
+def test_saved_checkpoints_and_status(spark, tmp_path):
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "target string, epochMs long")
+    new = spark.createDataFrame([("b", 3), ("c", 4)], "target string, epochMs long")
+    files.saved_checkpoints(old, new, str(tmp_path / "c"))
+    assert sorted((r.target, r.epochMs) for r in files.checkpoints(spark, str(tmp_path / "c")).collect()) == [("a", 1), ("b", 3), ("c", 4)]
+    row = api.patrol_status(spark.createDataFrame([(3, 1)], "collected long, targets long"), True, {"interval": 5000, "targets": ["x"]}).first()
+    assert (row.running, row.interval, row.targets, row.counters.collected) == (True, 5000, ["x"], 3)
+
+
+def test_the_message_view(spark):
+    from chatloom.sources import messages as source
+
+    for rows in (source.messages_from_events, source.messages_from_conversations, source.messages_from_documents):
+        source.message_view(rows(spark, "/root/testdata/sf0.001"), "m")
+        assert spark.table("m").schema.names == source.MESSAGE.names and spark.sql("SELECT created_at, raw_data FROM m WHERE timestamp > 0").count() > 0
+
+
+def test_reads(spark):
+    m = spark.createDataFrame([(1, "r", "u", "x", 5, 0), (2, "r", "u", "x", 6, 0), (3, "s", "u", "x", 7, 0)], "id long, room_name string, talker_name string, content string, timestamp long, msg_index int")
+    assert api.get_count(m).first()["count"] == 3 and len(api.get_status(m, "2").collect()) == 2
+    assert sorted(r.room_name for r in api.get_rooms(m).collect()) == ["r", "s"]
+
+
 def test_recover():
     body = '{"roomName":"R","messages":[{"index":0}]}'
     cases = [(body, 1), (f"x\n```json\n{body}\n```", 2), (f"see {body} there", 3), ('{"messages":[{"index":0}], "x', 4), ('{"messages":[{"index":0', 5), ("", 5), (None, 5), ('{"a":1} trailing', 3)]
