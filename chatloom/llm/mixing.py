@@ -12,8 +12,8 @@ if that is within ``TOLERANCE`` of its target's slots and no more than ``ceiling
 given back and sources with too few take them, each at the next number of its own; so a source's words are within
 ``TOLERANCE`` and two blocks of its target, and only sources of few blocks, under about a hundred thousand, are corrected at all.
 
-No step holds a source in one task: offsets are two-level prefix sums over ``BINS`` bins of a source, shards are
-summed up by chunks of ``CHUNK``.  The method draws for all sources at once in each shard, so one number per source is in
+No step holds a source in one task: offsets are prefix sums in three levels, over groups of bins, the ``BINS`` bins of a
+source and the documents of a bin; shards are summed up by chunks of ``CHUNK``.  The method draws for all sources at once in each shard, so one number per source is in
 every task and on the driver; over ``MOST_SOURCES`` sources are refused.  Every draw is keyed by the seed and indices
 alone, so reruns and retried tasks agree.
 
@@ -177,9 +177,14 @@ def mix_sources(
     wanted = np.minimum(np.round(target * blocks / np.maximum(size, 1)).astype(np.int64), blocks * ceiling)
     facts = spark.createDataFrame([(r.source, i, r.n, float(target[i])) for i, r in enumerate(found)], "s string, source_no long, source_size long, target double")
 
-    before = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    bins = bins.withColumn("bin_start", F.coalesce(F.sum("bin_size").over(before), F.lit(0)))
-    bins = bins.join(facts, F.col("source").eqNullSafe(F.col("s"))).drop("s", "bin_size").withColumnRenamed("source", "s").withColumnRenamed("bin", "b")
+    bins = bins.withColumn("high", F.shiftright("bin", BINS.bit_length() // 2))
+    highs = bins.groupBy("source", "high").agg(F.sum("bin_size").alias("n")).join(facts, F.col("source").eqNullSafe(F.col("s")))
+    before = W.partitionBy("source_no").orderBy("high").rowsBetween(W.unboundedPreceding, -1)
+    highs = highs.select("source_no", "source_size", "target", "s", F.col("high").alias("h"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("high_start"))
+    before = W.partitionBy("source", "high").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    bins = bins.withColumn("before", F.coalesce(F.sum("bin_size").over(before), F.lit(0)))
+    bins = bins.join(highs, F.col("source").eqNullSafe(F.col("s")) & (F.col("high") == F.col("h"))).withColumn("bin_start", F.col("high_start") + F.col("before"))
+    bins = bins.select("source_no", "source_size", "target", "s", F.col("bin").alias("b"), "bin_start")
     placed = sizes.join(bins, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b"))).drop("s", "b")
     before = F.sum("size").over(W.partitionBy("source", "bin").orderBy("doc_id", "tie").rowsBetween(W.unboundedPreceding, -1))
     placed = placed.withColumn("start", F.col("bin_start") + F.coalesce(before, F.lit(0)))
