@@ -9,9 +9,14 @@ Candidates of a bucket are never expanded into all pairs:
 
 1. every member is compared with its bucket's leader, the member that meets most others over all bands;
 2. the confirmed links give components, and a bucket whose members are all in one is done;
-3. in the other buckets, members outside the largest component are the queries: they are compared with all
-   members of other components in blocks of ``BLOCK`` rows, by signature first.  A pair is looked at in the first
-   band that both share, and in full only while its ends aren't connected, so a block gives at most a spanning forest.
+3. the members of the other buckets are told apart by their rarest shingles: two sets that are similar enough
+   share one of the ``n - ceil(percent * n / 100) + 1`` rarest of each, so boilerplate that brings many documents into a bucket
+   brings none of them together here.  Members of one such shingle are a group, groups of the same members are one, and
+   a group of more than ``BLOCK`` is dealt by the open bands of its members as well;
+4. in a group, members outside the largest component are compared with the members of other components in blocks of
+   about ``BLOCK`` rows, by signature first, if they share a band.  Of a group that was dealt by bands a pair is looked at
+   in the first band that both share, and in full only while its ends aren't connected, so a block gives at most
+   a spanning forest.  A set of many shingles counts as several rows, which bounds what a block holds.
 
 So every candidate pair between different components is decided, and no bucket is capped.
 
@@ -31,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chatloom.llm.batches import as_arrow, sorted_groups, text_slices
@@ -42,6 +48,8 @@ BANDS, ROWS, BITS = 25, 5, 4
 MINIMA = BANDS * ROWS
 MARGIN = 4.5
 BLOCK = 256
+ROW_SHINGLES = 4096
+"""Shingles that count as one row of a block."""
 SEED = 7
 _SIGNED = "doc_id long, n long, d1 long, d2 long, bands array<long>, sig array<long>"
 _NIBBLE = 0x1111111111111111
@@ -84,7 +92,7 @@ def _sign(size: int):
             bands, packed = np.zeros((len(some), BANDS), np.uint64), np.zeros((len(some), (MINIMA + 15) // 16), np.uint64)
             if some:
                 every, starts = np.concatenate(some), np.concatenate([[0], np.cumsum(n[n > 0])[:-1]])
-                d1[n > 0], d2[n > 0] = np.add.reduceat(mix64(every), starts), np.bitwise_xor.reduceat(mix64(every + np.uint64(0x5851F42D4C957F2D)), starts)
+                d1[n > 0], d2[n > 0] = _digests(every, starts)
                 least = _minima(some)
                 for b in range(BANDS):
                     key = np.full(len(some), b, np.uint64)
@@ -103,11 +111,23 @@ def _sign(size: int):
     return sign
 
 
+def _digests(every: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each set of a concatenation."""
+    return np.add.reduceat(mix64(every), starts), np.bitwise_xor.reduceat(mix64(every + np.uint64(0x5851F42D4C957F2D)), starts)
+
+
 def _sets(size: int):
+    """The sets of the texts whose digests are those of the class that ``doc_id`` stands for."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = as_arrow("doc_id long, shingles array<long>")
         for batch in text_slices(batches, "text"):
             found = shingle_sets(batch, size)
+            asked = zip(batch.column("d1").to_pylist(), batch.column("d2").to_pylist(), strict=True)
+            meant = [len(s) > 0 and tuple(int(d.view(np.int64)[0]) for d in _digests(s, np.zeros(1, np.int64))) == want for s, want in zip(found, asked, strict=True)]
+            batch, found = batch.filter(pa.array(meant)), [s for s, m in zip(found, meant, strict=True) if m]
+            if not found:
+                continue
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
             values = np.concatenate(found).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], schema=schema)
@@ -137,7 +157,7 @@ def _candidates(table: pa.Table, percent: int) -> list[tuple[int, int]]:
     i, j = table["i"][0].as_py(), table["j"][0].as_py()
     own = table["side"].to_numpy()
     root = table["root"].to_numpy()
-    key = table["key"][0].as_py()
+    band = table["band"].to_numpy()
     doc = table["doc_id"].to_numpy()
     bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
     sig = table["sig"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(doc), -1)
@@ -157,11 +177,11 @@ def _candidates(table: pa.Table, percent: int) -> list[tuple[int, int]]:
     order = np.argsort(-score[a, b], kind="stable")
     a, b = left[a[order]], right[b[order]]
     same = bands[a] == bands[b]
-    first = bands[a, same.argmax(1)] == key  # the band in which this pair is looked at
+    first = same.any(1) & ((band[a] == 0) | (bands[a, same.argmax(1)] == band[a]))  # the band in which this pair is looked at
     return list(zip(a[first].tolist(), b[first].tolist(), strict=True))
 
 
-_MEMBER = "key long, i long, j long, side long, doc_id long, root long, bands array<long>, sig array<long>"
+_MEMBER = "key long, band long, i long, j long, side long, doc_id long, root long, bands array<long>, sig array<long>"
 
 
 def _active(percent: int):
@@ -209,21 +229,49 @@ def _leaders(members: DataFrame) -> DataFrame:
     return best.select("key", (-F.col("m.minus")).alias("leader"))
 
 
-def _blocks(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of buckets with several components, dealt to block pairs (i, j) of queries and others."""
-    rooted = members.join(roots, members["doc_id"] == roots["node"], "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, doc_id, root): the members of buckets that have several components."""
+    rooted = members.join(roots, members["doc_id"] == roots["node"], "left").select(F.col("key").alias("band"), "doc_id", F.coalesce("root", "doc_id").alias("root"))
     rooted = written(rooted, "mh-rooted")
-    per_root = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    several = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    return written(rooted.join(several, "band", "left_semi"), "mh-open")
+
+
+def _groups(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, band, doc_id, root, weight): the members of open buckets by rare shingles; band is 0 in undealt groups."""
+    nodes = opened.select("doc_id", "root").distinct()
+    held = sets.join(nodes, "doc_id").select("doc_id", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    common = written(held.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "mh-common")
+    by_doc = W.partitionBy("doc_id")
+    ranked = held.join(common, "key").withColumn("rank", F.dense_rank().over(by_doc.orderBy("times", "key")))
+    ranked = ranked.withColumn("alone", F.col("n") - F.max("rank").over(by_doc))  # shingles of this document only are rarer than all others
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    rare = ranked.filter(F.col("alone") + F.col("rank") <= prefix)
+    rare = written(rare.select("key", "doc_id", "root", (1 + F.floor(F.col("n") / ROW_SHINGLES)).alias("weight")).distinct(), "mh-rare")
+
+    per_key = rare.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"),
+        F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"),
+    )
+    kept = per_key.filter("low < high").groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
+    grouped = written(rare.join(kept, "key"), "mh-groups")
+    small = grouped.filter(F.col("size") <= BLOCK).select("key", F.lit(0).cast("long").alias("band"), "doc_id", "root", "weight")
+    dealt = grouped.filter(F.col("size") > BLOCK).join(opened.select("doc_id", "band"), "doc_id")
+    return written(small.unionByName(dealt.select(F.xxhash64("key", "band").alias("key"), "band", "doc_id", "root", "weight")), "mh-dealt")
+
+
+def _blocks(groups: DataFrame) -> DataFrame:
+    """Members of groups with several components, dealt to block pairs (i, j) of queries and others."""
+    per_root = groups.groupBy("key", "root").agg(F.sum("weight").alias("n"))
     per_key = per_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"))
     split = per_key.filter("n > m.n").select("key", F.col("m.root").alias("major"), F.ceil(F.col("m.n") / BLOCK).alias("major_blocks"), F.ceil((F.col("n") - F.col("m.n")) / BLOCK).alias("query_blocks"))
-    split = written(split, "mh-open")
-    rows = rooted.join(split, "key")
+    rows = groups.join(written(split, "mh-split"), "key")
     spread = F.xxhash64("doc_id")
     is_major = F.col("root") == F.col("major")
     side = F.when(is_major, F.col("query_blocks") + F.pmod(spread, "major_blocks")).otherwise(F.pmod(spread, "query_blocks"))
     partners = F.when(is_major, F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") + F.col("major_blocks") - 1))
-    rows = rows.select("key", "doc_id", "root", side.cast("long").alias("side"), F.explode(partners).alias("other"))
-    return rows.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "root")
+    rows = rows.select("key", "band", "doc_id", "root", side.cast("long").alias("side"), F.explode(partners).alias("other"))
+    return rows.select("key", "band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "root")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
@@ -235,7 +283,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = written(rows.mapInArrow(_sign(words), _SIGNED), "mh-signed")
     classes = written(signed.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "mh-classes")
-    reps = signed.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).select("doc_id", "bands", "sig").dropDuplicates(["doc_id"])
+    one = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min(F.struct("d1", "d2")).alias("d")).select("doc_id", "d.d1", "d.d2")
+    reps = signed.join(one, ["doc_id", "d1", "d2"]).select("doc_id", "d1", "d2", "bands", "sig").dropDuplicates(["doc_id"])
     reps = written(reps, "mh-reps")
 
     keyed = reps.select("doc_id", F.explode("bands").alias("key"))
@@ -247,15 +296,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     near = stars.join(reps.select("doc_id", F.col("sig").alias("sig_a")), "doc_id").join(reps.select(F.col("doc_id").alias("leader"), F.col("sig").alias("sig_b")), "leader")
     near = near.filter(estimated("sig_a", "sig_b") >= least_estimate(percent)).select("doc_id", "leader")
 
-    wanted = members.select("doc_id").distinct()
-    sets = written(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles array<long>"), "mh-sets")
+    wanted = reps.select("doc_id", "d1", "d2").join(members, "doc_id", "left_semi")
+    sets = written(rows.join(wanted, "doc_id").mapInArrow(_sets(words), "doc_id long, shingles array<long>"), "mh-sets")
     pairs = near.join(sets.withColumnRenamed("shingles", "a"), "doc_id").join(sets.select(F.col("doc_id").alias("leader"), F.col("shingles").alias("b")), "leader")
     both = F.size(F.array_intersect("a", "b"))
     links = pairs.withColumn("both", both).filter(F.col("both") * 100 >= (F.size("a") + F.size("b") - F.col("both")) * percent)
     links = written(links.select(F.col("doc_id").alias("u"), F.col("leader").alias("v")), "mh-links")
     roots = written(components(links), "mh-roots")
 
-    blocks = _blocks(members, roots).join(reps, "doc_id").select(*(c.split()[0] for c in _MEMBER.split(", ")))
+    blocks = _blocks(_groups(_open(members, roots), sets, percent)).join(reps, "doc_id").select(*(c.split()[0] for c in _MEMBER.split(", ")))
     blocks = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     active = written(blocks.mapInArrow(_active(percent), _MEMBER), "mh-active")
     full = active.join(sets, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")

@@ -165,6 +165,47 @@ def test_near_duplicates_in_small_blocks(shipped, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == brute_components(rows, 3, 85)
 
 
+def boilerplate(n: int) -> list[str]:
+    """Texts that share most of their words and come nowhere near the threshold."""
+    core = " ".join(f"c{i}" for i in range(60))
+    return [core + " " + " ".join(f"u{i}x{j}" for j in range(20)) for i in range(n)]
+
+
+def test_open_buckets_of_boilerplate_bring_nobody_together(shipped, monkeypatch):
+    seen = []
+    blocks = minhash._blocks
+    monkeypatch.setattr(minhash, "_blocks", lambda groups: seen.append(groups.count()) or blocks(groups))
+    texts = boilerplate(10000)
+    texts[9000] = texts[3].replace("u3x5", "other")
+    got = minhash.near_duplicates(shipped.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), words=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: 3 if i == 9000 else i for i in range(10000)}
+    assert seen[0] <= 200  # rows to compare in blocks; the buckets themselves hold thousands
+
+
+@pytest.mark.parametrize("block", [256, 8])
+def test_near_duplicates_made_of_frequent_lines(shipped, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rnd = random.Random(17)
+    lines = [" ".join(f"w{i}q{j}" for j in range(8)) for i in range(24)]
+    texts = [" ".join(lines[k] for k in sorted(rnd.sample(range(24), 14))) for _ in range(220)]
+    rows = list(enumerate(texts))
+    got = minhash.near_duplicates(shipped.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()
+    want = brute_components(rows, 3, 85)
+    assert len(set(want.values())) < len(set(texts))
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_of_texts_under_one_identifier_one_stands_for_it(shipped):
+    a, b = family(21, 1, 1)[0], family(22, 1, 1)[0]
+    rows = [(1, a), (1, b), (1, a), (2, a.replace(" v", " V", 3) + " end"), (3, b + " end")]
+    runs = []
+    for order in (rows, rows[::-1]):
+        got = minhash.near_duplicates(shipped.createDataFrame(order, "doc_id long, text string").repartition(3), words=3, percent=85).collect()
+        runs.append(sorted((r.doc_id, r.n_shingles, r.component_id) for r in got))
+    assert runs[0] == runs[1]
+    assert len({c for i, _, c in runs[0] if i > 1}) == 2 and {c for _, _, c in runs[0]} >= {1}
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     got = minhash.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
