@@ -187,7 +187,9 @@ def test_near_duplicates_made_of_frequent_lines(shipped, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
     rnd = random.Random(17)
     lines = [" ".join(f"w{i}q{j}" for j in range(8)) for i in range(24)]
-    texts = [" ".join(lines[k] for k in sorted(rnd.sample(range(24), 14))) for _ in range(220)]
+    picks = [sorted(rnd.sample(range(24), 14)) for _ in range(160)]
+    picks += [rnd.choice(picks)[:-1] for _ in range(60)]  # linked with what they were cut from
+    texts = [" ".join(lines[k] for k in p) for p in picks]
     rows = list(enumerate(texts))
     got = minhash.near_duplicates(shipped.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()
     want = brute_components(rows, 3, 85)
