@@ -24,9 +24,9 @@ Miss rate: a pair at the threshold shares no band with probability (1 - s**ROWS)
 0.8), and its estimate falls short of ``MARGIN`` standard deviations with about 3e-6.
 
 Defined results: null or blank texts have an empty set and are linked with nothing; a text with fewer words than
-a shingle is one shingle; rows that share an identifier are one node; a row with a null identifier takes the
-component of its equals (null if there are none) and is not kept unless that is null too; an empty table gives no
-rows; other columns are not read.
+a shingle is one shingle; rows that share an identifier are one node; rows with a null identifier are compared like
+others and pass links on, take the least identifier that they reach (null if there is none) and are not kept unless that is
+null too; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,11 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chatloom.llm.batches import as_arrow, sorted_groups, text_slices
+from chatloom.llm.batches import as_arrow, column, sorted_groups, text_slices
 from chatloom.llm.components import components
 from chatloom.llm.words import mix64, shingle_hashes, utf8_buffers, word_hashes
 from chatloom.session import written
@@ -51,7 +51,7 @@ BLOCK = 256
 ROW_SHINGLES = 4096
 """Shingles that count as one row of a block."""
 SEED = 7
-_SIGNED = "doc_id long, n long, d1 long, d2 long, bands array<long>, sig array<long>"
+_SIGNED = "doc_id long, t long, n long, d1 long, d2 long, bands array<long>, sig array<long>"
 _NIBBLE = 0x1111111111111111
 
 
@@ -106,7 +106,7 @@ def _sign(size: int):
             def lists(values: np.ndarray) -> pa.Array:
                 return pa.ListArray.from_arrays(pa.array(offsets * values.shape[1], pa.int32()), pa.array(values.view(np.int64).reshape(-1)))
 
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists(bands), lists(packed)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), lists(bands), lists(packed)], schema=schema)
 
     return sign
 
@@ -274,18 +274,20 @@ def _blocks(groups: DataFrame) -> DataFrame:
     return rows.select("key", "band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "root")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+def _decided(docs: DataFrame, text: str, doc_id: str, words: int, percent: int) -> DataFrame:
+    """doc_id, t (hash of the text), n_shingles, component_id, kept: one row per input row.
 
-    Two documents are linked if 100 * |A and B| >= percent * |A or B|; component_id is the smallest identifier
-    reachable over links.
+    A class is a node by its smallest identifier; one of rows without any, by a hash of its digests.  ``key`` is a row's
+    identifier or, where that is null, the hash of its text; with ``t`` it tells texts apart.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(column(doc_id).cast("long").alias("doc_id"), column(text).alias("text")).withColumn("t", F.xxhash64("text"))
+    key = F.coalesce("doc_id", "t").alias("key")
     signed = written(rows.mapInArrow(_sign(words), _SIGNED), "mh-signed")
-    classes = written(signed.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "mh-classes")
-    one = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min(F.struct("d1", "d2")).alias("d")).select("doc_id", "d.d1", "d.d2")
-    reps = signed.join(one, ["doc_id", "d1", "d2"]).select("doc_id", "d1", "d2", "bands", "sig").dropDuplicates(["doc_id"])
-    reps = written(reps, "mh-reps")
+    classes = signed.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min(F.when(F.col("doc_id").isNull(), F.col("t"))).alias("nameless"))
+    classes = written(classes.withColumn("node", F.coalesce("rep", F.xxhash64("d1", "d2"))), "mh-classes")
+    one = classes.groupBy("node").agg(F.min(F.struct("d1", "d2", F.coalesce("rep", "nameless").alias("key"))).alias("c")).select("node", "c.*")
+    reps = signed.select("t", "d1", "d2", "bands", "sig", key).join(one, ["key", "d1", "d2"])
+    reps = written(reps.select(F.col("node").alias("doc_id"), "key", "t", "d1", "d2", "bands", "sig").dropDuplicates(["doc_id"]), "mh-reps")
 
     keyed = reps.select("doc_id", F.explode("bands").alias("key"))
     met = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("met")).filter("met > 1"), "mh-buckets")
@@ -296,15 +298,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     near = stars.join(reps.select("doc_id", F.col("sig").alias("sig_a")), "doc_id").join(reps.select(F.col("doc_id").alias("leader"), F.col("sig").alias("sig_b")), "leader")
     near = near.filter(estimated("sig_a", "sig_b") >= least_estimate(percent)).select("doc_id", "leader")
 
-    wanted = reps.select("doc_id", "d1", "d2").join(members, "doc_id", "left_semi")
-    sets = written(rows.join(wanted, "doc_id").mapInArrow(_sets(words), "doc_id long, shingles array<long>"), "mh-sets")
+    wanted = reps.select("doc_id", "key", "t", "d1", "d2").join(members, "doc_id", "left_semi")
+    texts = rows.groupBy(key, "t").agg(F.first("text").alias("text"))  # copies are put together before the shuffle
+    sets = written(texts.join(wanted, ["key", "t"]).select("doc_id", "d1", "d2", "text").mapInArrow(_sets(words), "doc_id long, shingles array<long>"), "mh-sets")
     pairs = near.join(sets.withColumnRenamed("shingles", "a"), "doc_id").join(sets.select(F.col("doc_id").alias("leader"), F.col("shingles").alias("b")), "leader")
     both = F.size(F.array_intersect("a", "b"))
     links = pairs.withColumn("both", both).filter(F.col("both") * 100 >= (F.size("a") + F.size("b") - F.col("both")) * percent)
     links = written(links.select(F.col("doc_id").alias("u"), F.col("leader").alias("v")), "mh-links")
     roots = written(components(links), "mh-roots")
 
-    blocks = _blocks(_groups(_open(members, roots), sets, percent)).join(reps, "doc_id").select(*(c.split()[0] for c in _MEMBER.split(", ")))
+    blocks = _blocks(_groups(_open(members, roots), sets, percent)).join(reps.select("doc_id", "bands", "sig"), "doc_id").select(*(c.split()[0] for c in _MEMBER.split(", ")))
     blocks = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     active = written(blocks.mapInArrow(_active(percent), _MEMBER), "mh-active")
     full = active.join(sets, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -312,7 +315,33 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     if not more.isEmpty():
         roots = written(components(links.unionByName(more)), "mh-all-roots")
 
-    found = written(classes.join(roots, classes["rep"] == roots["node"], "left").select("d1", "d2", "n", F.coalesce("root", "rep").alias("component")), "mh-found")
-    out = signed.select("doc_id", "n", "d1", "d2").join(found, ["d1", "d2", "n"], "left")
+    least = written(roots.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component")), "mh-least")
+    found = classes.join(roots.join(least, "root").select("node", "component"), "node", "left")
+    found = written(found.select("d1", "d2", "n", F.coalesce("component", "rep").alias("component")), "mh-found")
+    out = signed.select("doc_id", "t", "n", "d1", "d2").join(found, ["d1", "d2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "t", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    Two documents are linked if 100 * |A and B| >= percent * |A or B|; component_id is the smallest identifier
+    reachable over links.
+    """
+    return _decided(docs, text, doc_id, words, percent).drop("t")
+
+
+def without_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns: of each component those of its smallest identifier.
+
+    Rows without an identifier go if their component has one; a component of such rows alone stays whole.
+    """
+
+    def keys(identifier: Column, text_hash: Column) -> list[Column]:
+        return [identifier.isNull().alias("nameless"), F.coalesce(identifier, text_hash).alias("key")]
+
+    dropped = _decided(docs, text, doc_id, words, percent).filter(~F.col("kept") & F.col("component_id").isNotNull())
+    dropped = dropped.select(*keys(F.col("doc_id"), F.col("t"))).distinct()
+    rows = docs.select(F.struct(*map(column, docs.columns)).alias("row"), *keys(column(doc_id).cast("long"), F.xxhash64(column(text))))
+    return rows.join(dropped, ["nameless", "key"], "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

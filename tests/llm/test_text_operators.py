@@ -208,6 +208,26 @@ def test_of_texts_under_one_identifier_one_stands_for_it(shipped):
     assert len({c for i, _, c in runs[0] if i > 1}) == 2 and {c for _, _, c in runs[0]} >= {1}
 
 
+def test_rows_without_an_identifier_are_linked_and_pass_links_on(shipped):
+    """The middle text links two identified ones that are too far apart; a pair without identifiers has no component."""
+    words = [f"v{i}" for i in range(100)]
+    chain = [" ".join(words[i * 6 :] + [f"n{j}" for j in range(i * 6)]) for i in range(3)]
+    alone = [" ".join(f"q{i}" for i in range(40)), " ".join(f"q{i}" for i in range(41))]
+    texts = {7: chain[0], 4: chain[2], 9: "some lone text of a few words"}
+    nameless = [chain[1], chain[1].upper(), chain[1], *alone]
+    numbered = [*texts.items(), *((100 + i, t) for i, t in enumerate(nameless))]
+    want = brute_components(numbered, 3, 85)
+    assert want[7] == want[4] == want[100] == 4
+    assert brute_components(list(texts.items()), 3, 85) == {7: 7, 4: 4, 9: 9}
+    docs = shipped.createDataFrame([*texts.items(), *((None, t) for t in nameless)], "doc_id long, text string").withColumn("a.key", F.lit(1)).repartition(3)
+    got = minhash.near_duplicates(docs, words=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id} == {7: 4, 4: 4, 9: 9}
+    assert sorted((str(r.component_id), r.kept) for r in got if r.doc_id is None) == [("4", False)] * 3 + [("None", True)] * 2
+    stay = minhash.without_near_duplicates(docs, words=3, percent=85)
+    assert stay.columns == docs.columns
+    assert sorted(r.text for r in stay.collect()) == sorted([texts[4], texts[9], *alone])
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     got = minhash.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
