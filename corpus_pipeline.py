@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from chatloom.llm.batches import column, unused
 from chatloom.llm.line_dedup import line_dedup
-from chatloom.llm.minhash import near_duplicates
+from chatloom.llm.minhash import without_near_duplicates
 from chatloom.llm.mixing import mixed_documents
 from chatloom.llm.prefix_bpe import encode_and_decode
 from chatloom.llm.toxicity import clean_documents
@@ -46,12 +46,11 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that of the least identifier; rows that repeat an identifier are one document.
 
-    Null and empty texts are in no group.  Rows without an identifier stay: without one, none of them can be told from
-    its group's other rows.
+    Null and empty texts are in no group.  Rows without an identifier go if their group has one; a group of only such rows
+    stays whole, as none of them can be told from the others.
     """
     ship(spark)
-    dropped = near_duplicates(docs).filter(~F.col("kept") & F.col("component_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*map(column, docs.columns))
+    return without_near_duplicates(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
