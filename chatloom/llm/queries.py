@@ -17,6 +17,7 @@ from chatloom.llm.minhash import near_duplicates
 from chatloom.llm.mixing import mix_sources, taken_words
 from chatloom.llm.prefix_bpe import encode_and_decode
 from chatloom.llm.toxicity import toxicity
+from chatloom.llm.vector_codes import compress
 from chatloom.llm.warc import archived
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,3 +156,48 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(chars + length(role) + 18) AS BIGINT) AS formatted_chars
 FROM escaped GROUP BY conv_id
 """
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+QUERIES["op12_vector_codes"] = op12_vector_codes
+
+
+def _assignment(parts: str, books: str) -> str:
+    """SQL of the nearest entry of every part: a squared distance for each pair, the least by (distance, entry)."""
+    return f"""
+  SELECT i, p, x, arg_min(e, d * 64 + e) AS e, min(d) AS d FROM (
+    SELECT i, p, x, e, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda k: (x[k] - c[k]) * (x[k] - c[k]))) AS BIGINT) AS d
+    FROM {parts} JOIN {books} USING (p)) GROUP BY i, p, x"""
+
+
+def _moved(assigned: str, books: str) -> str:
+    """SQL of the codebooks after a round: floors of means, and entries without parts as they were."""
+    return f"""
+  SELECT p, e, CASE WHEN m IS NULL THEN c ELSE m END AS c FROM {books} LEFT JOIN (
+    SELECT p, e, list(CAST(floor(CAST(s AS DOUBLE) / n) AS BIGINT) ORDER BY k) AS m FROM (
+      SELECT p, e, k, sum(x[k]) AS s, count(*) AS n FROM {assigned}, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM parts))) AS k) GROUP BY p, e, k)
+    GROUP BY p, e) USING (p, e)"""
+
+
+ORACLE_SQL["op12_vector_codes"] = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT i, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS x FROM kept, (SELECT unnest(range(16)) AS p)),
+books0 AS MATERIALIZED (SELECT p, i - 1 AS e, x AS c FROM parts WHERE i <= 64),
+near0 AS MATERIALIZED ({_assignment("parts", "books0")}),
+books1 AS MATERIALIZED ({_moved("near0", "books0")}),
+near1 AS MATERIALIZED ({_assignment("parts", "books1")}),
+books2 AS MATERIALIZED ({_moved("near1", "books1")}),
+near2 AS MATERIALIZED ({_assignment("parts", "books2")}),
+coded AS (
+  SELECT vec_id, label, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM near2 JOIN kept USING (i) GROUP BY i, vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM books2) AS codebooks_sha256
+FROM coded
+"""
