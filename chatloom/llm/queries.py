@@ -15,6 +15,7 @@ from chatloom.llm.line_dedup import line_dedup
 from chatloom.llm.media import media_column, media_features
 from chatloom.llm.minhash import near_duplicates
 from chatloom.llm.mixing import mix_sources, taken_words
+from chatloom.llm.neighbour_votes import quality_votes
 from chatloom.llm.prefix_bpe import encode_and_decode
 from chatloom.llm.toxicity import toxicity
 from chatloom.llm.vector_codes import compress
@@ -201,3 +202,11 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
   (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM books2) AS codebooks_sha256
 FROM coded
 """
+
+
+def op11_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return quality_votes(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+
+
+QUERIES["op11_neighbour_votes"] = op11_neighbour_votes
