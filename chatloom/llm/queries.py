@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.llm.chat import format_chats, read_chats, threads
+from chatloom.llm.collocations import collocations
 from chatloom.llm.content_sort import content_sort
 from chatloom.llm.language_id import identify
 from chatloom.llm.line_dedup import line_dedup
@@ -210,3 +211,34 @@ def op11_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op11_neighbour_votes"] = op11_neighbour_votes
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op13_collocations"] = op13_collocations
+ORACLE_SQL["op13_collocations"] = r"""
+WITH pieces AS MATERIALIZED (
+  SELECT row_number() OVER () AS piece, lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+    FROM documents)),
+runs AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase
+  FROM pieces, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM runs GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS MATERIALIZED (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.size, c.a, h.k, h.f AS l, r.f AS r, CAST(1000000::HUGEINT * c.a * c.a // (h.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM candidates c JOIN f h ON h.lang = c.lang AND h.k < c.size AND h.phrase = array_to_string(c.w[1 : h.k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.k = c.size - h.k AND r.phrase = array_to_string(c.w[h.k + 1 : c.size], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, part AS phrase, max(a) AS longer FROM (
+    SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS part FROM candidates WHERE size = 3) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM lowest LEFT JOIN inside USING (lang, phrase) JOIN totals USING (lang)
+WHERE longer IS NULL OR 100 * longer < 50 * a
+QUALIFY rank <= 2000
+"""
