@@ -198,10 +198,16 @@ def _sparse_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def train(rows: DataFrame, labels: DataFrame, stratum_rows: int = STRATUM_ROWS) -> Voters:
     """``rows``: doc_id, text, held_out of all documents; ``labels``: doc_id, label (0 or 1)."""
-    known = labels.dropna().groupBy("doc_id").agg(F.min("label").cast("long").alias("label")).join(rows.filter(~F.col("held_out")).select("doc_id").distinct(), "doc_id", "left_semi")
+    learned = rows.filter(~F.col("held_out")).select("doc_id").distinct()
+    known = labels.filter("label IN (0, 1)").groupBy("doc_id").agg(F.min("label").cast("long").alias("label")).join(learned, "doc_id", "left_semi")
     sizes = dict(known.groupBy("label").count().collect())  # two labels
-    nth = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64(F.lit("votes"), "doc_id"), "doc_id"))  # its limit is applied before the shuffle
-    picked = known.withColumn("nth", nth).filter(F.col("nth") <= stratum_rows).select("doc_id", "label").collect()
+    order = F.xxhash64(F.lit("votes"), "doc_id")
+    few = F.lit(False)
+    for y, n in sizes.items():  # by their hashes, somewhat more rows than wanted, so that what is ranked is small too
+        few |= (F.col("label") == y) & (F.pmod(order, F.lit(1 << 32)) < int((1 << 32) * min(1.0, 1.3 * (stratum_rows + 100) / n)))
+    order = [F.pmod(order, F.lit(1 << 32)), F.col("doc_id")]
+    nth = F.row_number().over(W.partitionBy("label").orderBy(*order))
+    picked = known.filter(few).withColumn("nth", nth).filter(F.col("nth") <= stratum_rows).select("doc_id", "label").collect()
     idf = inverse_frequencies(rows)
     spark = rows.sparkSession
     strata = {y: n / min(n, stratum_rows) for y, n in sizes.items()}
