@@ -2,7 +2,7 @@
 
 Every step is a grouped minimum (pre-aggregated before the shuffle, so a hub of any degree is safe) and a join of
 the edges with those minima; both sides are written tables, so a hub's edges are split by Spark's skew join.
-The number of steps grows with the logarithm of the longest path; nothing is collected.
+The number of steps grows with the logarithm of the longest path, and none is made once the edges are stars; nothing is collected.
 """
 
 from __future__ import annotations
@@ -19,15 +19,18 @@ def _ordered(edges: DataFrame) -> DataFrame:
     return edges.filter("u <> v").select(u.alias("u"), v.alias("v")).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u: nothing is left to do."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+
 def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable, for every node that has an edge.  ``edges``: u, v, both long."""
     now = written(_ordered(edges.select("u", "v")), "cc-edges")
-    before = None
     for step in range(most_steps):
-        digest = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
-        if digest[0] == 0 or digest == before:
+        if _are_stars(now):
             break
-        before = digest
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"cc-large-{step}")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

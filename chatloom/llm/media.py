@@ -73,6 +73,9 @@ def _decode_netpbm(media: bytes) -> np.ndarray:
     w, h = numbers[:2]
     if not w or not h or not bitmap and not 0 < numbers[2] < 65536:
         raise ValueError("broken Netpbm header")
+    per_byte = 8 if kind == 4 else 1
+    if w * h * channels > (len(media) - at + 1) * per_byte:  # also in text forms a sample takes a byte at least
+        raise ValueError("fewer samples than the header says")
     if kind == 4:
         bits = np.unpackbits(np.frombuffer(media, np.uint8, h * ((w + 7) // 8), at).reshape(h, -1), axis=1)[:, :w]
         out = (1 - bits) * 255
@@ -81,9 +84,11 @@ def _decode_netpbm(media: bytes) -> np.ndarray:
         out = (1 - np.array(bits, np.int64).reshape(h, w)) * 255
     else:
         if kind < 4:
-            flat = np.array(media[at - 1 :].split()[: w * h * channels], np.int64)
+            flat = np.array([int(x) for x in media[at - 1 :].split()[: w * h * channels]], np.int64)
         else:
             flat = np.frombuffer(media, ">u2" if numbers[2] > 255 else np.uint8, w * h * channels, at)
+        if flat.min() < 0 or flat.max() > numbers[2]:
+            raise ValueError("a sample is out of range")
         out = flat if numbers[2] == 255 else (flat.astype(np.int64) * 255 + numbers[2] // 2) // numbers[2]
         out = out.reshape((h, w, 3) if channels == 3 else (h, w))
     return out.astype(np.uint8)
@@ -202,7 +207,7 @@ def features(media: bytes | None) -> tuple:
     stored = (len(media), hashlib.sha256(media).hexdigest())
     try:
         samples = decode(media)
-    except (ValueError, struct.error):
+    except (ValueError, OverflowError, struct.error):
         return (None, None, None, *stored, None, None)
     payload = samples.tobytes()
     return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *stored, difference_hash(samples), npy_tile(samples))

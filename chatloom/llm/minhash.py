@@ -24,7 +24,8 @@ Miss rate: a pair at the threshold shares no band with probability (1 - s**ROWS)
 0.8), and its estimate falls short of ``MARGIN`` standard deviations with about 3e-6.
 
 Defined results: null or blank texts have an empty set and are linked with nothing; a text with fewer words than
-a shingle is one shingle; rows that share an identifier are one node; rows with a null identifier are compared like
+a shingle is one shingle; texts of rows that share an identifier are linked; very long texts are worked on whole, in pieces; of equals the
+least identifier stands for a class; rows with a null identifier are compared like
 others and pass links on, take the least identifier that they reach (null if there is none) and are not kept unless that is
 null too; an empty table gives no rows; other columns are not read.
 """
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from chatloom.llm.batches import as_arrow, column, sorted_groups, text_slices
 from chatloom.llm.components import components
 from chatloom.llm.words import mix64, shingle_hashes, utf8_buffers, word_hashes
-from chatloom.session import written
+from chatloom.session import ship, written
 
 BANDS, ROWS, BITS = 25, 5, 4
 MINIMA = BANDS * ROWS
@@ -274,19 +275,41 @@ def _blocks(groups: DataFrame) -> DataFrame:
     return rows.select("key", "band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "root")
 
 
+def _classes(signed: DataFrame) -> DataFrame:
+    """d1, d2, n, rep (least identifier), key (of a row of it), node: the classes of equal sets.
+
+    A class is a node by its least identifier; where several have the same one, or none, by a hash of its digests.
+    """
+    classes = signed.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min(F.when(F.col("doc_id").isNull(), F.col("t"))).alias("nameless"))
+    several = classes.groupBy("rep").agg(F.min(F.struct("d1", "d2", "n")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    named = F.col("first").isNull() | (F.col("first") == F.struct("d1", "d2", "n"))
+    node = F.coalesce(F.when(named, F.col("rep")), F.xxhash64("d1", "d2", "n"))
+    return classes.join(several, "rep", "left").select("d1", "d2", "n", "rep", F.coalesce("rep", "nameless").alias("key"), node.alias("node"))
+
+
+def _same_identifier(signed: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (u, v) of the classes that have rows of one identifier, None if there are none."""
+    rows, one = signed.filter("n > 0 AND doc_id IS NOT NULL"), F.struct("d1", "d2", "n")
+    shared = written(rows.groupBy("doc_id").agg(F.min(one).alias("low"), F.max(one).alias("high")).filter("low < high").select("doc_id", "low"), "mh-shared")
+    if shared.isEmpty():
+        return None
+    nodes = classes.select("d1", "d2", "n", "node")
+    ends = rows.select("doc_id", "d1", "d2", "n").join(shared, "doc_id").distinct().join(nodes, ["d1", "d2", "n"])
+    first = nodes.select(F.struct("d1", "d2", "n").alias("low"), F.col("node").alias("v"))
+    return written(ends.join(first, "low").filter("node <> v").select(F.col("node").alias("u"), "v"), "mh-identifiers")
+
+
 def _decided(docs: DataFrame, text: str, doc_id: str, words: int, percent: int) -> DataFrame:
     """doc_id, t (hash of the text), n_shingles, component_id, kept: one row per input row.
 
-    A class is a node by its smallest identifier; one of rows without any, by a hash of its digests.  ``key`` is a row's
-    identifier or, where that is null, the hash of its text; with ``t`` it tells texts apart.
+    ``key`` is a row's identifier or, where that is null, the hash of its text; with ``t`` it tells texts apart.
     """
+    ship(docs.sparkSession)
     rows = docs.select(column(doc_id).cast("long").alias("doc_id"), column(text).alias("text")).withColumn("t", F.xxhash64("text"))
     key = F.coalesce("doc_id", "t").alias("key")
     signed = written(rows.mapInArrow(_sign(words), _SIGNED), "mh-signed")
-    classes = signed.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min(F.when(F.col("doc_id").isNull(), F.col("t"))).alias("nameless"))
-    classes = written(classes.withColumn("node", F.coalesce("rep", F.xxhash64("d1", "d2"))), "mh-classes")
-    one = classes.groupBy("node").agg(F.min(F.struct("d1", "d2", F.coalesce("rep", "nameless").alias("key"))).alias("c")).select("node", "c.*")
-    reps = signed.select("t", "d1", "d2", "bands", "sig", key).join(one, ["key", "d1", "d2"])
+    classes = written(_classes(signed), "mh-classes")
+    reps = signed.select("t", "d1", "d2", "n", "bands", "sig", key).join(classes.select("d1", "d2", "n", "key", "node"), ["key", "d1", "d2", "n"])
     reps = written(reps.select(F.col("node").alias("doc_id"), "key", "t", "d1", "d2", "bands", "sig").dropDuplicates(["doc_id"]), "mh-reps")
 
     keyed = reps.select("doc_id", F.explode("bands").alias("key"))
@@ -305,15 +328,15 @@ def _decided(docs: DataFrame, text: str, doc_id: str, words: int, percent: int)
     both = F.size(F.array_intersect("a", "b"))
     links = pairs.withColumn("both", both).filter(F.col("both") * 100 >= (F.size("a") + F.size("b") - F.col("both")) * percent)
     links = written(links.select(F.col("doc_id").alias("u"), F.col("leader").alias("v")), "mh-links")
-    roots = written(components(links), "mh-roots")
+    same = _same_identifier(signed, classes)
+    links = links if same is None else links.unionByName(same)
+    roots = components(links)
 
-    blocks = _blocks(_groups(_open(members, roots), sets, percent)).join(reps.select("doc_id", "bands", "sig"), "doc_id").select(*(c.split()[0] for c in _MEMBER.split(", ")))
-    blocks = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    active = written(blocks.mapInArrow(_active(percent), _MEMBER), "mh-active")
-    full = active.join(sets, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = written(full.mapInArrow(_confirmed(percent), "u long, v long"), "mh-more-links")
-    if not more.isEmpty():
-        roots = written(components(links.unionByName(more)), "mh-all-roots")
+    opened = _open(members, roots)
+    if not opened.isEmpty():
+        more = _links_of_open_buckets(opened, sets, reps, percent)
+        if not more.isEmpty():
+            roots = components(roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 
     least = written(roots.join(classes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("component")), "mh-least")
     found = classes.join(roots.join(least, "root").select("node", "component"), "node", "left")
@@ -323,6 +346,15 @@ def _decided(docs: DataFrame, text: str, doc_id: str, words: int, percent: int)
     return out.select("doc_id", "t", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _links_of_open_buckets(opened: DataFrame, sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links between the components of open buckets, at most a spanning forest from each block."""
+    blocks = _blocks(_groups(opened, sets, percent)).join(reps.select("doc_id", "bands", "sig"), "doc_id").select(*(c.split()[0] for c in _MEMBER.split(", ")))
+    blocks = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    active = written(blocks.mapInArrow(_active(percent), _MEMBER), "mh-active")
+    full = active.join(sets, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return written(full.mapInArrow(_confirmed(percent), "u long, v long"), "mh-more-links")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 

@@ -197,15 +197,42 @@ def test_near_duplicates_made_of_frequent_lines(shipped, monkeypatch, block):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
-def test_of_texts_under_one_identifier_one_stands_for_it(shipped):
-    a, b = family(21, 1, 1)[0], family(22, 1, 1)[0]
-    rows = [(1, a), (1, b), (1, a), (2, a.replace(" v", " V", 3) + " end"), (3, b + " end")]
+def test_texts_under_one_identifier_are_linked(shipped):
+    """Copies of both texts reach each other over the identifier that they share, whatever the order of rows."""
+    a, b, c = (family(seed, 1, 1)[0] for seed in (21, 22, 23))
+    rows = [(5, a), (5, b), (5, a), (7, a.replace(" v", " V", 3) + " end"), (9, b + " end"), (3, c), (11, c), (11, b + " end end"), (20, None), (20, "alone but for a null")]
     runs = []
     for order in (rows, rows[::-1]):
         got = minhash.near_duplicates(shipped.createDataFrame(order, "doc_id long, text string").repartition(3), words=3, percent=85).collect()
-        runs.append(sorted((r.doc_id, r.n_shingles, r.component_id) for r in got))
+        runs.append(sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got))
     assert runs[0] == runs[1]
-    assert len({c for i, _, c in runs[0] if i > 1}) == 2 and {c for _, _, c in runs[0]} >= {1}
+    assert {i: c for i, _, c, _ in runs[0]} == {5: 3, 7: 3, 9: 3, 3: 3, 11: 3, 20: 20}
+    assert {i for i, _, _, kept in runs[0] if kept} == {3, 20}
+
+
+def test_repeated_identifiers_equal_brute_force(shipped):
+    rnd = random.Random(77)
+    base = [[f"b{k}w{rnd.randrange(200)}" for _ in range(60)] for k in range(6)]
+    rows = []
+    for i in range(80):
+        words = list(rnd.choice(base))
+        for _ in range(rnd.randrange(4)):
+            words[rnd.randrange(60)] = f"n{i}"
+        rows.append((rnd.randrange(60), " ".join(words)))
+    numbered = list(enumerate(t for _, t in rows))
+    root = brute_components(numbered, 3, 85)
+    up = {i: i for i, _ in rows}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for group in {r: [rows[k][0] for k in root if root[k] == r] for r in root.values()}.values():
+        for other in group:
+            up[max(top(group[0]), top(other))] = min(top(group[0]), top(other))
+    got = minhash.near_duplicates(shipped.createDataFrame(rows, "doc_id long, text string").repartition(4), words=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: top(i) for i, _ in rows}
 
 
 def test_rows_without_an_identifier_are_linked_and_pass_links_on(shipped):
@@ -645,6 +672,19 @@ def test_null_and_broken_media(shipped):
         assert (got[i].media_bytes, got[i].media_sha256, got[i].payload_sha256, got[i].feature, got[i].tile_npy) == (len(m), sha(m), None, None, None)
 
 
+def test_no_header_or_sample_raises():
+    huge = [b"P5\n99999999999 99999999999\n255\n", b"P4\n99999999999999999999 9\n", b"P2\n1 1\n255\n99999999999999999999999", b"P2\n1 1\n255\n-5", b"P2\n1 1\n255\n256", b"P5\n2 1\n9\n\x09\x0a"]
+    for m in huge:
+        assert media.features(m)[0] is None and media.features(m)[4] == sha(m)
+    assert media.decode(b"P2\n2 1\n9\n0 9").tolist() == [[0, 255]]
+    rnd = random.Random(4)
+    bmp = media.encode_bmp(np.zeros((3, 3, 3), np.uint8))
+    for _ in range(3000):
+        head = b"P%d" % rnd.randrange(8) + b"".join(rnd.choice([b" ", b"\n", b"#c\n", b""]) + b"%d" % rnd.choice([0, 1, 2, 3, 255, 65535, 65536, rnd.randrange(10**30)]) for _ in range(rnd.randrange(5))) + b"\n"
+        m = rnd.choice([head + rnd.randbytes(rnd.randrange(40)), head + b" ".join(b"%d" % rnd.randrange(-3, 10**rnd.randrange(1, 25)) for _ in range(9)), bytes(rnd.choice([b, rnd.randrange(256)]) if rnd.random() < 0.1 else b for b in bmp)])
+        assert media.features(m)[3] == len(m)
+
+
 def test_bmp_with_masks():
     rgb = np.random.default_rng(5).integers(0, 256, (3, 5, 3), dtype=np.uint8)
     packed = np.zeros((3, 5), "<u4")
