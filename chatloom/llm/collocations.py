@@ -5,8 +5,9 @@ Texts have A-Z lower-cased, are split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and
 1. Every task counts its word runs of 1 to ``words`` words in a sketch of one row of 2^``SKETCH_BITS`` cells, saturated at ``least``.  Only cells in use are
    sent, in chunks, and summed in two steps; what is left of a cell is whether it reaches ``least``, so the broadcast is 2^``SKETCH_BITS`` bits whatever the corpus.
    A run can only be a candidate if its own cell and those of all shorter runs inside it are set: an upper bound, so no candidate is lost.
-2. A task takes its texts in shards of ``SHARD_BYTES``.  The runs of a shard that pass the bound are compiled into an Aho-Corasick automaton, each with a blank
-   before and behind it, so that it matches whole words of one piece only; the shard is scanned once and all matches, overlapping ones too, are counted.
+2. A task takes its texts in shards of ``SHARD_BYTES``.  The runs of two words and more that pass the bound are compiled into the shard's Aho-Corasick automaton,
+   each with a blank before and behind it, so that it matches whole words of one piece only; the shard is scanned once and all matches, overlapping ones too, are
+   counted.  Words that pass are counted by their numbers in the shard.
    A run that can be frequent passes in every shard that holds it, so the sums over shards are exact counts, and a worker's memory is that of a shard.
 3. Counts are summed with map-side aggregation and those under ``least`` go.  Cuts look their parts up by key, in exact decimal arithmetic.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import itemgetter
 from zlib import crc32
 
 import ahocorasick
@@ -32,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chatloom.llm.batches import as_arrow, column
-from chatloom.llm.words import mix64, word_hashes
+from chatloom.llm.words import mix64, utf8_buffers, word_hashes
 from chatloom.session import ship, written
 
 LEAST = 10
@@ -41,7 +43,7 @@ SHARE = 50
 TOP = 2000
 UNKNOWN = "und"
 SKETCH_BITS = 26
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 8 << 20
 CHUNK_BITS = 16
 SALTS = 64
 
@@ -52,8 +54,10 @@ _SEPARATOR = re.compile(rb"[ \t.,;:!?\n\x0b\x0c\r]")
 
 def framed(text: bytes) -> bytes:
     """Pieces on lines of their own, every word between single blanks."""
-    text = re.sub(rb" *\n[ \n]*", b" \n ", b"\n" + text.translate(_PLAIN) + b"\n")
-    return re.sub(rb"  +", b" ", text)
+    text = text.translate(_PLAIN)
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    return b" \n ".join([b"", *filter(None, (piece.strip(b" ") for piece in text.split(b"\n"))), b""])
 
 
 class Shard:
@@ -67,9 +71,13 @@ class Shard:
         blank = (codes == 32) | (codes == 10)
         self.starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
         self.ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
-        self.piece = np.cumsum(codes == 10)[self.starts] if len(self.starts) else np.zeros(0, np.int64)
+        self.piece = np.searchsorted(np.flatnonzero(codes == 10), self.starts)
         self.own = len(self.starts) - len(self.ahead.split())
-        self.hashes = word_hashes(codes, np.array([0, len(codes)]))[0] ^ mix64(np.array([crc32(lang.encode())], np.uint64))
+        edges = np.concatenate([[0], np.cumsum(self.ends - self.starts)])
+        words = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(edges), pa.py_buffer(codes[~blank])]).dictionary_encode()
+        self.words, self.ids = words.dictionary, words.indices.to_numpy().astype(np.int64)
+        hashes = word_hashes(*utf8_buffers(self.words))[0] ^ mix64(np.array([crc32(lang.encode())], np.uint64))
+        self.hashes = hashes[self.ids] if len(self.ids) else np.zeros(0, np.uint64)
 
     def runs(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Number of the first word, and hash, of every run of ``size`` words inside a piece."""
@@ -80,6 +88,16 @@ class Shard:
         first = np.flatnonzero(self.piece[:m] == self.piece[size - 1 : size - 1 + m])
         return first, mix64(value[first])
 
+    def keys(self, first: np.ndarray, size: int) -> np.ndarray:
+        """Numbers that are equal for equal runs only."""
+        key, most = self.ids[first], len(self.words)
+        for k in range(1, size):
+            if most * len(self.words) >= 1 << 62:
+                distinct, key = np.unique(key, return_inverse=True)
+                most = len(distinct)
+            key, most = key * len(self.words) + self.ids[first + k], most * len(self.words)
+        return key
+
 
 def shards(batches: Iterator[pa.RecordBatch], words: int, most: int | None = None) -> Iterator[Shard]:
     """The texts of a task, by language, in shards of about ``most`` bytes."""
@@ -163,21 +181,27 @@ def frequent_cells(rows: DataFrame, words: int, least: int, bits: int = SKETCH_B
     return np.packbits(reached)
 
 
-def passing(shard: Shard, words: int, reached: np.ndarray, bits: int) -> set[bytes]:
-    """The runs of a shard whose upper bound reaches the threshold, with a blank before and behind."""
-    found: set[bytes] = set()
-    shorter = np.ones(len(shard.starts) + 1, bool)
-    for size in range(1, words + 1):
+def _set_cells(hashes: np.ndarray, reached: np.ndarray, bits: int) -> np.ndarray:
+    slot = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    return (reached[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+
+
+def passing(shard: Shard, words: int, reached: np.ndarray, bits: int) -> tuple[np.ndarray, list[bytes]]:
+    """What in a shard has an upper bound that reaches the threshold: which words (by id), and the longer runs, with a blank before and behind."""
+    found: list[bytes] = []
+    shorter = np.zeros(len(shard.starts) + 1, bool)
+    first, hashes = shard.runs(1)
+    shorter[first] = _set_cells(hashes, reached, bits)
+    likely = np.zeros(len(shard.words), bool)
+    likely[shard.ids[shorter[:-1]]] = True
+    for size in range(2, words + 1):
         first, hashes = shard.runs(size)
-        slot = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-        hit = (reached[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
-        if size > 1:
-            hit &= shorter[first] & shorter[first + 1]
-        first = first[hit]
+        first = first[_set_cells(hashes, reached, bits) & shorter[first] & shorter[first + 1]]
         shorter = np.zeros(len(shard.starts) + 1, bool)
         shorter[first] = True
-        found.update(shard.data[a:b] for a, b in zip((shard.starts[first] - 1).tolist(), (shard.ends[first + size - 1] + 1).tolist(), strict=True))
-    return found
+        first = first[np.unique(shard.keys(first, size), return_index=True)[1]]
+        found += [shard.data[a:b] for a, b in zip((shard.starts[first] - 1).tolist(), (shard.ends[first + size - 1] + 1).tolist(), strict=True)]
+    return likely, found
 
 
 def count_matches(shard: Shard, patterns: list[bytes]) -> np.ndarray:
@@ -190,7 +214,7 @@ def count_matches(shard: Shard, patterns: list[bytes]) -> np.ndarray:
     automaton.make_automaton()
 
     def scan(data: bytes) -> np.ndarray:
-        matches = np.fromiter((i for _, i in automaton.iter(data.decode("latin-1"))), np.int64)
+        matches = np.fromiter(map(itemgetter(1), automaton.iter(data.decode("latin-1"))), np.int64)
         return np.bincount(matches, minlength=len(patterns))
 
     return scan(shard.data) - scan(shard.ahead) if shard.ahead else scan(shard.data)
@@ -199,10 +223,11 @@ def count_matches(shard: Shard, patterns: list[bytes]) -> np.ndarray:
 def _counted(words: int, reached, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, words):
-            patterns = list(passing(shard, words, reached.value, bits))
-            counts = count_matches(shard, patterns)
-            phrases = pa.array([b"", *(p[1:-1] for p in patterns)], pa.binary())
-            arrays = [pa.repeat(shard.lang, len(phrases)).cast(pa.string()), phrases, pa.array(np.append(shard.own, counts))]
+            likely, patterns = passing(shard, words, reached.value, bits)
+            of_words = np.bincount(shard.ids[: shard.own], minlength=len(shard.words))
+            phrases = pa.array([b"", *shard.words.filter(pa.array(likely)).to_pylist(), *(p[1:-1] for p in patterns)], pa.binary())
+            counts = np.concatenate([[shard.own], of_words[likely], count_matches(shard, patterns)])
+            arrays = [pa.repeat(shard.lang, len(phrases)).cast(pa.string()), phrases, pa.array(counts)]
             yield pa.RecordBatch.from_arrays(arrays, schema=as_arrow("lang string, phrase binary, f long"))
 
     return run

@@ -75,9 +75,12 @@ def test_shards_count_every_run_once_wherever_they_are_cut(most):
     batch = pa.RecordBatch.from_pydict({"lang": [x or "und" for _, x in rows], "text": [t for t, _ in rows]})
     got: dict[str, Counter] = {}
     for shard in co.shards(iter([batch]), 3, most):
-        patterns = list(co.passing(shard, 3, np.full(1 << 13, 255, np.uint8), 16))
+        likely, patterns = co.passing(shard, 3, np.full(1 << 13, 255, np.uint8), 16)
+        assert likely.all() and len(set(patterns)) == len(patterns)
         counts = co.count_matches(shard, patterns)
-        got.setdefault(shard.lang, Counter()).update({tuple(p[1:-1].decode().split(" ")): int(c) for p, c in zip(patterns, counts, strict=True) if c})
+        own = got.setdefault(shard.lang, Counter())
+        own.update({tuple(p[1:-1].decode().split(" ")): int(c) for p, c in zip(patterns, counts, strict=True) if c})
+        own.update((shard.words[i].as_py().decode(),) for i in shard.ids[: shard.own].tolist())
         got[shard.lang][()] += shard.own
     want: dict[str, Counter] = {}
     for text, lang in rows:
@@ -96,7 +99,8 @@ def test_bounds_never_lose_a_frequent_run(shipped):
         frequent.setdefault(lang or "und", Counter()).update(plain_runs(text, 3))
     for text, lang in rows:
         shard = co.Shard(lang or "und", (text or "").encode())
-        found = co.passing(shard, 3, reached, 16)
+        likely, found = co.passing(shard, 3, reached, 16)
+        found = {*found, *(b" " + w + b" " for w in shard.words.filter(pa.array(likely)).to_pylist())}
         for run in plain_runs(text, 3):
             if frequent[lang or "und"][run] >= 5:
                 assert (" " + " ".join(run) + " ").encode() in found
@@ -114,3 +118,11 @@ def test_odd_rows(odd_docs, no_docs):
     want = plain([(r["text"], r["lang"]) for r in odd_docs.select("text", "lang").collect()], 3, 2, 50, 2000)
     assert sorted(map(tuple, got)) == sorted(want)
     assert co.collocations(no_docs, bits=16).count() == 0
+
+
+def test_keys_of_many_words_stay_exact():
+    shard = co.Shard("en", " ".join(f"w{i}" for i in range(3000)).encode() * 2)
+    first = shard.runs(6)[0]
+    keys = shard.keys(first, 6)
+    runs = [tuple(shard.ids[i : i + 6].tolist()) for i in first.tolist()]
+    assert len(np.unique(keys)) == len(set(runs))
