@@ -26,10 +26,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chatloom.llm.batches import as_arrow, column, text_slices
+from chatloom.llm.sampling import smallest_hashes
 from chatloom.llm.words import mix64, utf8_buffers, word_hashes
 from chatloom.session import ship
 
@@ -200,17 +200,10 @@ def train(rows: DataFrame, labels: DataFrame, stratum_rows: int = STRATUM_ROWS)
     """``rows``: doc_id, text, held_out of all documents; ``labels``: doc_id, label (0 or 1)."""
     learned = rows.filter(~F.col("held_out")).select("doc_id").distinct()
     known = labels.filter("label IN (0, 1)").groupBy("doc_id").agg(F.min("label").cast("long").alias("label")).join(learned, "doc_id", "left_semi")
-    sizes = dict(known.groupBy("label").count().collect())  # two labels
-    order = F.xxhash64(F.lit("votes"), "doc_id")
-    few = F.lit(False)
-    for y, n in sizes.items():  # by their hashes, somewhat more rows than wanted, so that what is ranked is small too
-        few |= (F.col("label") == y) & (F.pmod(order, F.lit(1 << 32)) < int((1 << 32) * min(1.0, 1.3 * (stratum_rows + 100) / n)))
-    order = [F.pmod(order, F.lit(1 << 32)), F.col("doc_id")]
-    nth = F.row_number().over(W.partitionBy("label").orderBy(*order))
-    picked = known.filter(few).withColumn("nth", nth).filter(F.col("nth") <= stratum_rows).select("doc_id", "label").collect()
+    picked, sizes = smallest_hashes(known, ["label"], "doc_id", stratum_rows, "votes")
     idf = inverse_frequencies(rows)
     spark = rows.sparkSession
-    strata = {y: n / min(n, stratum_rows) for y, n in sizes.items()}
+    strata = {y: n / min(n, stratum_rows) for (y,), n in sizes.items()}
     chosen = spark.createDataFrame([(d, y, strata[y]) for d, y in picked], "doc_id long, label long, stands_for double")
     texts = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "stands_for").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     found = texts.mapInArrow(_sparse_counts, "label long, stands_for double, buckets array<long>, counts array<long>").toArrow().combine_chunks()

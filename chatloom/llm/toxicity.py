@@ -7,28 +7,31 @@ separate its category, chosen by chi-square and scaled by their log-odds inside
 ones are learned as fast as common ones.
 
 Training uses a bounded sample of labelled documents, at most ``STRATUM_ROWS`` for each combination of categories,
-those of the smallest hash of doc_id; their bucket numbers come to the driver, never texts.  Scoring is one pass over all
-documents with the weights (a fixed size) in the task's closure.
+those of the smallest hash of doc_id; of rows that repeat an identifier the least text is the document's.  Subwords are counted on the
+executors; the driver gets the ``KEPT`` best buckets of each fit and, for each row of the sample, which of these it has, never texts.
+Scoring is one pass over all documents with the weights (a fixed size) in the task's closure.
 
 Defined results: null and empty texts have no subwords and get the models' intercepts; rows with a null label in any
 category aren't used in training; repeated labels of a document count once, as positive if any is; a category with
 only one class in the sample always predicts that class; with no labels every probability is 0; repeated rows
-repeat their result; other columns are not read.
+repeat their result; a probability of exactly the threshold is positive; very long texts count whole, in parts; an empty ``docs`` gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.llm.batches import as_arrow, column, text_slices
+from chatloom.llm.sampling import smallest_hashes
 from chatloom.llm.words import subword_hashes
+from chatloom.session import ship, written
 
 BITS = 21
 BUCKETS = 1 << BITS
@@ -178,36 +181,77 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).fill_null(b"").to_pylist()
 
 
-def _to_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _row_buckets(chosen: np.ndarray | None):
+    """The distinct buckets (only the ``chosen`` ones where given) of every row's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text"):
+            row, bucket = subword_buckets(_bytes(batch.column("text")), chosen)
+            offsets = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bucket.astype(np.int32)))], names=["doc_id", "buckets"])
+
+    return run
+
+
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many rows of a cell (a fold and combination of categories) each bucket is, for the rows at hand."""
     for batch in text_slices(batches, "text"):
         row, bucket = subword_buckets(_bytes(batch.column("text")))
-        offsets = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bucket.astype(np.int32)))], names=["doc_id", "buckets"])
+        cells = batch.column("cell").to_numpy()
+        key, n = np.unique(cells[row] * BUCKETS + bucket, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key % BUCKETS), pa.array(key // BUCKETS), pa.array(n)], schema=as_arrow("bucket long, cell long, n long"))
+
+
+def _telling_buckets(texts: DataFrame, cells: dict[int, tuple[int, list[int]]], sizes: dict[int, int], categories: int) -> np.ndarray:
+    """The buckets that any fit may choose: those of each fit's KEPT highest chi-squares.
+
+    ``cells``: fold and categories of each cell; ``sizes``: its rows.  Counts stay on the executors; KEPT buckets for each fit come back.
+    """
+    counts = texts.select("text", "cell").mapInArrow(_cell_counts, "bucket long, cell long, n long")
+    fits = [(c, f) for c in range(categories) for f in (None, *range(FOLDS))]
+
+    def total(test: Callable[[int, list[int]], bool]) -> Column:
+        own = [cell for cell, (fold, y) in cells.items() if test(fold, y)]
+        return F.coalesce(F.sum(F.when(F.col("cell").isin(own), F.col("n"))), F.lit(0))
+
+    sums = []
+    for i, (c, f) in enumerate(fits):
+        sums.append(total(lambda fold, y, f=f: fold != f).alias(f"s{i}"))
+        sums.append(total(lambda fold, y, c=c, f=f: fold != f and y[c] == 1).alias(f"h{i}"))
+    table = written(counts.groupBy("bucket").agg(F.sum("n").alias("rows"), *sums).filter(F.col("rows") >= LEAST_ROWS), "toxicity-buckets")
+    chosen = np.zeros(BUCKETS, bool)
+    for i, (c, f) in enumerate(fits):
+        n = sum(sizes[cell] for cell, (fold, _) in cells.items() if fold != f)
+        share = sum(sizes[cell] for cell, (fold, y) in cells.items() if fold != f and y[c] == 1) / max(n, 1)
+        if 0 < share < 1:
+            expected = F.col(f"s{i}") * share
+            chi = (F.col(f"h{i}") - expected) ** 2 / (expected * (1 - share) * (1 - F.col(f"s{i}") / n + 1e-9))
+            best = table.filter(F.col(f"s{i}") >= LEAST_ROWS).select("bucket", chi.alias("chi")).filter(F.col("chi") > 0.99 * LEAST_CHI)
+            chosen[[r["bucket"] for r in best.orderBy(F.desc("chi"), "bucket").limit(2 * KEPT).collect()]] = True  # beyond KEPT, so that rounding decides nothing
+    return chosen
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], text: str = "text", doc_id: str = "doc_id") -> list[Linear]:
     """Fit the chain of ``categories``, 0/1 columns of ``labels``, on the bounded sample."""
+    spark = ship(docs.sparkSession)
     known = labels.dropna(subset=[doc_id, *categories]).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(*(F.max(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)))
-    order = F.xxhash64(F.lit("toxicity"), "doc_id")
     ys = [f"y{i}" for i in range(len(categories))]
-    nth = F.row_number().over(W.partitionBy(*ys).orderBy(order, "doc_id"))  # its limit is applied before the shuffle
-    picked = known.withColumn("nth", nth).filter(F.col("nth") <= STRATUM_ROWS).drop("nth").collect()
+    known = known.join(docs.select(F.col(doc_id).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    picked, _ = smallest_hashes(known, ys, "doc_id", STRATUM_ROWS, "toxicity")
     if not picked:
         return []
-    spark = docs.sparkSession
-    sample = F.broadcast(spark.createDataFrame(picked, known.schema).select("doc_id"))  # at most STRATUM_ROWS for each combination
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(sample, "doc_id")
-    found = texts.mapInArrow(_to_buckets, "doc_id long, buckets array<int>").toArrow().combine_chunks()
-    ids = found["doc_id"].to_numpy()
-    order = np.argsort(ids, kind="stable")
-    lists = [found["buckets"][int(i)].values.to_numpy() for i in order]
-    seen = np.zeros(BUCKETS, np.int32)
-    for x in lists:
-        seen[x] += 1
-    lists = [x[seen[x] >= LEAST_ROWS] for x in lists]  # rarer subwords are never chosen
-    del found
-    y = {r["doc_id"]: [r[c] for c in ys] for r in picked}
-    return fit_chain(Sample(lists), np.array([y[int(ids[i])] for i in order]).reshape(len(lists), len(ys)))
+    picked = sorted(picked, key=lambda r: r["doc_id"])
+    labelled = np.array([[r[y] for y in ys] for r in picked]).reshape(len(picked), len(ys))
+    folds = np.arange(len(picked)) % FOLDS
+    cell = folds * (1 << len(ys)) + ((labelled > 0) << np.arange(len(ys))).sum(1)
+    cells = {int(k): (int(k) >> len(ys), [int(k) >> i & 1 for i in range(len(ys))]) for k in set(cell.tolist())}
+    sizes = dict(zip(*(v.tolist() for v in np.unique(cell, return_counts=True)), strict=True))
+    sample = spark.createDataFrame([(r["doc_id"], int(k)) for r, k in zip(picked, cell, strict=True)], "doc_id long, cell long")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")  # STRATUM_ROWS for each combination
+    texts = written(texts.groupBy("doc_id", "cell").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "toxicity-sample")
+    chosen = _telling_buckets(texts, cells, sizes, len(ys))
+    found = texts.select("doc_id", "text").mapInArrow(_row_buckets(chosen), "doc_id long, buckets array<int>").orderBy("doc_id").toArrow().combine_chunks()
+    return fit_chain(Sample([found["buckets"][i].values.to_numpy() for i in range(found.num_rows)]), labelled)
 
 
 def _score(chain: list[Linear], n: int):

@@ -866,6 +866,59 @@ def test_the_chain_learns_from_out_of_fold_predictions(monkeypatch):
         assert np.allclose(seen[-1][2][inside, 0], want)
 
 
+def test_a_fit_is_the_penalised_optimum():
+    """Against Newton's method on the same scaled features, in plain matrices."""
+    rnd = np.random.default_rng(12)
+    label = rnd.integers(0, 2, 200)
+    rows = [np.flatnonzero(rnd.random(40) < np.where(np.arange(40) < 12, 0.2 + 0.5 * y, 0.4)) for y in label]
+    earlier = rnd.random((200, 1))
+    model = toxicity.fit(toxicity.Sample(rows), np.arange(200), label, earlier)
+    assert len(model.buckets) >= 6
+    x = np.array([[b in r for b in model.buckets] for r in map(set, (r.tolist() for r in rows))], float)
+    hit, seen, positive = x[label == 1].sum(0), x.sum(0), label.sum()
+    chi = [(h - s * positive / 200) ** 2 / (s * positive / 200 * (1 - positive / 200) * (1 - s / 200)) for h, s in zip(hit, seen)]
+    assert min(chi) > toxicity.LEAST_CHI * 0.99
+    odds = np.log((hit + 0.5) / (positive + 1)) - np.log((seen - hit + 0.5) / (200 - positive + 1))
+    a = np.column_stack([x * odds, earlier, np.ones(200)])
+    penalty = np.diag([toxicity.PENALTY] * (a.shape[1] - 1) + [0.0])
+    w = np.zeros(a.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ w))
+        w -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + penalty, a.T @ (p - label) + penalty @ w)
+    want = 1 / (1 + np.exp(-a @ w))
+    got = toxicity._sigmoid(toxicity.Sample(rows).scores(model, earlier))
+    assert np.abs(got - want).max() < 0.02
+
+
+def test_repeats_of_a_labelled_document_change_no_probability(shipped):
+    docs, labels = toxic_docs(shipped)
+    one = docs.limit(1)
+    copies = one.crossJoin(shipped.range(2500)).drop("id")
+    want = {r.doc_id: r.p_toxic for r in toxicity.toxicity(docs, labels).collect()}
+    got = toxicity.toxicity(docs.unionByName(copies), labels).collect()
+    assert len(got) == len(want) + 2500
+    assert all(r.p_toxic == want[r.doc_id] for r in got)
+
+
+def test_other_texts_under_a_labelled_identifier_are_no_further_rows(shipped, monkeypatch):
+    docs, labels = toxic_docs(shipped)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda sample, y: seen.append((len(sample.rows), len(y))) or [])
+    toxicity.train(docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" more")))), labels, ["low_quality", "toxic"])
+    assert seen == [(labels.select("doc_id").distinct().count(),) * 2]
+
+
+def test_buckets_kept_by_executors_hold_all_that_a_fit_chooses(shipped, monkeypatch):
+    docs, labels = toxic_docs(shipped)
+    chains = []
+    for every in (False, True):
+        if every:
+            monkeypatch.setattr(toxicity, "_telling_buckets", lambda *_: np.ones(toxicity.BUCKETS, bool))
+        chains.append(toxicity.train(docs, labels, ["low_quality", "toxic"]))
+    for a, b in zip(*chains, strict=True):
+        assert a.buckets.tolist() == b.buckets.tolist() and np.allclose(a.weights, b.weights)
+
+
 def test_toxicity_of_odd_rows(shipped, odd_docs, no_docs):
     _, labels = toxic_docs(shipped)
     assert toxicity.toxicity(odd_docs, labels).count() == odd_docs.count()
