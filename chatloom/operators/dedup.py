@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import KEY_CHARS, norm_content
-from chatloom.operators.folds import fold_rows
+from chatloom.operators.windows import window_starts
 
 CLOCK_TAIL = "([0-9]{1,2}:[0-9]{2})\\z"
 
@@ -57,14 +57,24 @@ def first_by_key(rows: DataFrame, keys: list[Column], order: str) -> DataFrame:
 
 def seen_cache(rows: DataFrame, keys: list[str], time: str, window_ms: int) -> DataFrame:
     """Rows kept by a cache in which a key is a duplicate for ``window_ms`` after its last *kept* row."""
+    windows = window_starts(rows, keys, time, window_ms)
+    return windows.filter(F.col("start") == F.col(time)).select(*keys, time)
 
-    def step(anchor: int | None, row: tuple) -> tuple[int, bool]:
-        (t,) = row
-        keep = anchor is None or t - anchor >= window_ms
-        return t if keep else anchor, keep
 
-    rows = rows.select(*keys, F.col(time).cast("long").alias(time)).filter(F.col(time).isNotNull())
-    return fold_rows(rows, keys, step, "_kept").filter("_kept").drop("_kept")
+def first_of_cache_keys(batch: DataFrame, allowed: list[str]) -> DataFrame:
+    """The rows of allowed rooms that say something, the first of each cache key.  ``batch``: idx, room_name, sender, content, timestamp."""
+    keep = F.lit(not allowed)
+    for part in allowed:
+        keep = keep | F.col("room_name").contains(part)
+    rows = batch.filter(keep).withColumn("content", F.coalesce("content", F.lit(""))).filter(norm_content(F.col("content")) != "")
+    return first_by_key(rows, [F.col("room_name"), F.col("sender"), F.substring("content", 1, KEY_CHARS)], "idx")
+
+
+def unknown_in_room(rows: DataFrame, as_of_ms: int, within_ms: int = 60000) -> DataFrame:
+    """Rows whose content no row before them (by idx) has in the room within the window."""
+    earlier = W.partitionBy("room_name", "_norm").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_norm", norm_content(F.col("content"))).withColumn("_newest", F.max("timestamp").over(earlier))
+    return rows.filter(F.col("_newest").isNull() | (F.col("_newest") <= as_of_ms - within_ms)).drop("_newest", "_norm")
 
 
 def ingest(batch: DataFrame, existing: DataFrame, as_of_ms: int, allowed: list[str], within_ms: int = 60000) -> DataFrame:
@@ -73,13 +83,5 @@ def ingest(batch: DataFrame, existing: DataFrame, as_of_ms: int, allowed: list[s
 
     ``batch``: idx, room_name, sender, content, timestamp.
     """
-    keep = F.lit(not allowed)
-    for part in allowed:
-        keep = keep | F.col("room_name").contains(part)
-    rows = batch.filter(keep).withColumn("content", F.coalesce("content", F.lit(""))).withColumn("_norm", norm_content(F.col("content"))).filter("_norm <> ''")
-    rows = first_by_key(rows, [F.col("room_name"), F.col("sender"), F.substring("content", 1, KEY_CHARS)], "idx")
-    cutoff = as_of_ms - within_ms
-    earlier = W.partitionBy("room_name", "_norm").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_newest", F.max("timestamp").over(earlier))
-    rows = rows.filter(F.col("_newest").isNull() | (F.col("_newest") <= cutoff)).drop("_newest", "_norm")
+    rows = unknown_in_room(first_of_cache_keys(batch, allowed), as_of_ms, within_ms)
     return known_in_room(rows, existing, as_of_ms, within_ms)

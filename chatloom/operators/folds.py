@@ -7,8 +7,6 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-Step = Callable[[object, tuple], tuple[object, object]]
-
 
 def _changes(batch: pa.RecordBatch, n_keys: int) -> Iterator[tuple[tuple, tuple]]:
     for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -19,27 +17,6 @@ def _sorted(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*rows.columns)
 
 
-def fold_rows(rows: DataFrame, keys: list[str], step: Step, out: str) -> DataFrame:
-    """``rows`` (the keys first, then the columns of the order) with a boolean column ``out``.
-
-    ``step`` takes the state, None at the start of a key, and the row's other columns, and gives the next state and the value.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = None, None
-        for batch in batches:
-            values = []
-            for key, row in _changes(batch, len(keys)):
-                if key != last:
-                    last, state = key, None
-                state, value = step(state, row)
-                values.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.bool_())], names=[*batch.schema.names, out])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return _sorted(rows, keys).mapInArrow(run, f"{schema}, `{out}` boolean")
-
-
 def fold_keys(rows: DataFrame, keys: list[str], step: Callable[[object, tuple], object], out: str) -> DataFrame:
     """The keys and a double column ``out``, the state after each key's last row."""
 

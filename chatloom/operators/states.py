@@ -8,20 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chatloom.operators.folds import fold_keys, fold_rows
+from chatloom.operators.folds import fold_keys
+from chatloom.operators.windows import window_starts
 
 
 def rate_limit(rows: DataFrame, key: str, time: str, limit: int, window_ms: int) -> DataFrame:
-    """(key, time, allowed): a window begins at its first event and takes ``limit`` of them; rejected ones don't count."""
-
-    def step(state: tuple[int, int] | None, row: tuple) -> tuple[tuple[int, int], bool]:
-        (t,) = row
-        if state is None or t >= state[0]:
-            return (t + window_ms, 1), True
-        reset, count = state
-        return (reset, min(count + 1, max(limit, 1))), count < limit
-
-    return fold_rows(rows.select(key, F.col(time).cast("long").alias(time)).filter(F.col(time).isNotNull()), [key], step, "allowed")
+    """(key, time, allowed): a window begins at its first event and takes ``limit`` of them (one at least); rejected ones don't count."""
+    windows = window_starts(rows, [key], time, window_ms)
+    taken = F.least(F.greatest(F.lit(max(limit, 1)) - F.col("before"), F.lit(0)), F.col("n"))
+    nth = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
+    return windows.select(key, time, taken.alias("_taken"), nth.alias("_nth")).select(key, time, (F.col("_nth") <= F.col("_taken")).alias("allowed"))
 
 
 def backoff(rounds: DataFrame, key: str, order: str, idle: str, top: int = 3) -> DataFrame:

@@ -73,15 +73,28 @@ def q_text_mode_dedup(spark, sf_dir):
     return D.first_by_key(m, [F.col("room_name"), F.substring("content", 1, 50)], "id").select("id")
 
 
-@query(f"""WITH b AS (SELECT id AS idx, room_name, talker_name AS sender, content, timestamp, lower(replace(content, ' ', '')) AS norm FROM {EVENTS_SQL} WHERE id % 2 = 1 AND contains(room_name, 'i')),
+NOTES_SQL = """(SELECT event_id + 1 AS idx, event_type AS room_name, 'user_' || user_id % 11 AS sender, 'Note ' || (event_id * 31) % 307 AS content, (epoch_us(ts) // 60000000) * 60000 AS timestamp FROM events)"""
+NOTES_NOW_MS, NOTES_WITHIN_MS = 1706659200000, 777600000
+INGEST_SQL = f"""WITH b AS (SELECT *, lower(replace(content, ' ', '')) AS norm FROM {NOTES_SQL} WHERE idx % 2 = 1 AND contains(room_name, 'i')),
 f AS (SELECT * FROM b WHERE norm <> '' QUALIFY row_number() OVER (PARTITION BY room_name, sender, substring(content, 1, 50) ORDER BY idx) = 1),
 g AS (SELECT *, max(timestamp) OVER (PARTITION BY room_name, norm ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM f)
-SELECT idx, room_name, sender, content, timestamp FROM g WHERE (newest IS NULL OR newest <= 1705276800000 - 864000000)
-AND NOT EXISTS (SELECT 1 FROM {EVENTS_SQL} e WHERE e.id % 2 = 0 AND e.room_name = g.room_name AND e.timestamp > 1705276800000 - 864000000 AND lower(replace(e.content, ' ', '')) = g.norm)""")
+SELECT idx, room_name, sender, content, timestamp FROM g WHERE (newest IS NULL OR newest <= {NOTES_NOW_MS - NOTES_WITHIN_MS})
+AND NOT EXISTS (SELECT 1 FROM {NOTES_SQL} e WHERE e.idx % 2 = 0 AND e.room_name = g.room_name AND e.timestamp > {NOTES_NOW_MS - NOTES_WITHIN_MS} AND lower(replace(e.content, ' ', '')) = g.norm)"""
+
+
+def notes(spark, sf_dir):
+    """Events as short notes that senders repeat: some by themselves, some by others in the room."""
+    content = F.concat(F.lit("Note "), (F.col("event_id") * 31 % 307).cast("string"))
+    sender = F.concat(F.lit("user_"), (F.col("user_id") % 11).cast("string"))
+    minute = (F.floor(event_millis() / 60000) * 60000).alias("timestamp")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") + 1).alias("idx"), F.col("event_type").alias("room_name"), sender.alias("sender"), content.alias("content"), minute)
+
+
+@query(INGEST_SQL)
 def q_ingest(spark, sf_dir):
-    m = messages_from_events(spark, sf_dir)
-    batch = m.filter("id % 2 = 1").select(F.col("id").alias("idx"), "room_name", F.col("talker_name").alias("sender"), "content", "timestamp")
-    return D.ingest(batch, m.filter("id % 2 = 0"), 1705276800000, ["i"], 864000000)
+    n = notes(spark, sf_dir)
+    existing = n.filter("idx % 2 = 0")
+    return D.ingest(n.filter("idx % 2 = 1"), existing, NOTES_NOW_MS, ["i"], NOTES_WITHIN_MS)
 
 
 _KEYED_SQL = "SELECT event_type, user_id % 5 AS u, epoch_us(ts) // 1000 AS t FROM events"

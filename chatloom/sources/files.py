@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import log_record
-from chatloom.operators.batching import parse_shots
+from chatloom.operators.batching import SHOT_NAME, parse_shots
 
 CHECKPOINT = "target string, timestamp long, timeStr string, epochMs long, year int, month int, day int, hour int, minute int"
 
@@ -38,6 +38,14 @@ def screenshots(spark: SparkSession, folder: str) -> DataFrame:
     return parse_shots(files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("mtime")))
 
 
+def screenshots_stream(spark: SparkSession, folder: str, files_at_a_time: int = 1000) -> DataFrame:
+    """target, run_id, shot, name, mtime of the screenshots that come into a folder, as a stream; the content isn't read."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "patrol_*.png").option("maxFilesPerTrigger", files_at_a_time).load(folder)
+    shots = parse_shots(files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("mtime")))
+    return shots.select(F.regexp_extract("name", SHOT_NAME.replace(".+", "(.+)", 1), 1).alias("target"), "run_id", "shot", "name", "mtime")
+
+
 def saved_checkpoints(old: DataFrame, new: DataFrame, path: str) -> None:
     """Write the checkpoints of all targets as JSON lines, those of ``new`` in place of the same target's; ``path`` is a new folder."""
     old.join(new, "target", "left_anti").unionByName(new).write.json(path)

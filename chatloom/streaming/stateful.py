@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,16 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def window_positions(times: np.ndarray, after: int | None, window_ms: int) -> list[int]:
+    """Where windows begin in sorted times, the first one at or after ``after``; one binary search for each."""
+    at = 0 if after is None else int(np.searchsorted(times, after))
+    starts = []
+    while at < len(times):
+        starts.append(at)
+        at = int(np.searchsorted(times, times[at] + window_ms))
+    return starts
+
+
 class SeenCache(StatefulProcessor):
     """Keeps a row if its key's last kept row is at least ``window_ms`` older; dropped rows don't move that anchor.
 
@@ -32,16 +43,11 @@ class SeenCache(StatefulProcessor):
         self.anchor = handle.getValueState("anchor", "t long", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = pd.concat(list(rows))["t"].sort_values()
-        anchor = self.anchor.get()[0] if self.anchor.exists() else None
-        kept = []
-        for t in times:
-            if anchor is None or t - anchor >= self.window_ms:
-                anchor = int(t)
-                kept.append(anchor)
-        if kept:
-            self.anchor.update((anchor,))
-            yield pd.DataFrame({"key": [key[0]] * len(kept), "t": kept})
+        times = np.sort(np.concatenate([part["t"].to_numpy() for part in rows]))
+        starts = window_positions(times, self.anchor.get()[0] + self.window_ms if self.anchor.exists() else None, self.window_ms)
+        if starts:
+            self.anchor.update((int(times[starts[-1]]),))
+            yield pd.DataFrame({"key": [key[0]] * len(starts), "t": times[starts]})
 
     def close(self) -> None:
         pass
@@ -57,27 +63,37 @@ class RateLimit(StatefulProcessor):
         self.window = handle.getValueState("window", "reset long, n int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = pd.concat(list(rows))["t"].sort_values()
+        times = np.sort(np.concatenate([part["t"].to_numpy() for part in rows]))
         reset, n = self.window.get() if self.window.exists() else (None, 0)
-        allowed = []
-        for t in times:
-            if reset is None or t >= reset:
-                reset, n = int(t) + self.window_ms, 0
-            allowed.append(n < self.limit)
-            n += allowed[-1]
-        self.window.update((reset, int(n)))
-        yield pd.DataFrame({"key": [key[0]] * len(allowed), "t": times.to_list(), "allowed": allowed})
+        starts = window_positions(times, reset, self.window_ms)
+        place = np.arange(len(times)) + n  # among the rows of the window that was open
+        for a, b in zip(starts, [*starts[1:], len(times)], strict=True):
+            place[a:b] = np.arange(b - a)
+        allowed = place < self.limit
+        last = int(place[-1]) + 1
+        self.window.update((int(times[starts[-1]]) + self.window_ms if starts else reset, min(last, self.limit)))
+        yield pd.DataFrame({"key": [key[0]] * len(times), "t": times, "allowed": allowed})
 
     def close(self) -> None:
         pass
 
 
 class RunWatermark(StatefulProcessor):
-    """Passes the rows of runs after a target's last one; the watermark moves to the newest run when a micro-batch ends."""
+    """Passes the rows of runs after a target's last one; the watermark moves to the newest run when a micro-batch ends.
+
+    With ``open_runs`` it stays before the newest run, which is done with only when a newer one has begun, so that shots of a run
+    may come in over several micro-batches.  Saved watermarks (target, last_run) are the state to begin with.
+    """
+
+    def __init__(self, open_runs: bool = False) -> None:
+        self.open_runs = open_runs
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "run_id long")
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.last.update((int(initialState["last_run"].max()),))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
         newest = last
@@ -86,13 +102,59 @@ class RunWatermark(StatefulProcessor):
             if len(new):
                 newest = int(new["run_id"].max()) if newest is None else max(newest, int(new["run_id"].max()))
                 yield new[["target", "run_id", "name"]]
-        if newest is not None:
-            self.last.update((newest,))
+        if newest is not None and newest != last:
+            self.last.update((newest - self.open_runs,))
 
     def close(self) -> None:
         pass
 
 
+class BoundedCache(StatefulProcessor):
+    """The last time of each key of a lane; when a lane has more than ``most`` entries, those older than ``age_ms`` before the newest row go.
+
+    Gives (key, t, size): the rows whose key wasn't there, and how many entries the lane had after them.
+    """
+
+    def __init__(self, most: int, age_ms: int) -> None:
+        self.most, self.age_ms = most, age_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.entries = handle.getMapState("entries", "key string", "t long")
+        self.size = handle.getValueState("size", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        size = self.size.get()[0] if self.size.exists() else 0
+        newest, fresh = None, []
+        for part in rows:
+            for name, t in zip(part["key"], part["t"].tolist(), strict=True):
+                known = self.entries.containsKey((name,))
+                if not known:
+                    size += 1
+                    fresh.append((name, t))
+                self.entries.updateValue((name,), (max(t, self.entries.getValue((name,))[0]) if known else t,))
+                newest = t if newest is None else max(newest, t)
+        if size > self.most and newest is not None:
+            old = [name for name, value in self.entries.iterator() if value[0] < newest - self.age_ms]
+            for name in old:
+                self.entries.removeKey(name)
+            size -= len(old)
+        self.size.update((size,))
+        if fresh:
+            yield pd.DataFrame(fresh, columns=["key", "t"]).assign(size=size)
+
+    def close(self) -> None:
+        pass
+
+
+def bounded_cache_stream(rows: DataFrame, most: int = 1000, age_ms: int = 60000, lanes: int = 64) -> DataFrame:
+    """key, t, size: the rows (key: string, t: ms) that a cache hadn't met, from ``lanes`` caches that share ``most`` entries.
+
+    Old entries go when a micro-batch ends, from a lane that has more than its part; young ones stay whatever their number, as in the rule for batches.
+    """
+    lane = F.pmod(F.xxhash64("key"), F.lit(lanes)).alias("lane")
+    return rows.select(lane, "key", "t").groupBy("lane").transformWithStateInPandas(BoundedCache(most // lanes, age_ms), "key string, t long, size long", "Append", "None")
+
+
 def seen_cache_stream(rows: DataFrame, window_ms: int, ttl_ms: int | None = None) -> DataFrame:
     """``rows``: key, t (ms), in time order over micro-batches.
 
@@ -102,9 +164,14 @@ def seen_cache_stream(rows: DataFrame, window_ms: int, ttl_ms: int | None = None
     return rows.groupBy("key").transformWithStateInPandas(SeenCache(window_ms, ttl_ms), "key string, t long", "Append", "None" if ttl_ms is None else "ProcessingTime")
 
 
-def new_runs_stream(rows: DataFrame) -> DataFrame:
-    """``rows``: target, run_id, name.  Rows of runs that are newer than their target's watermark before the micro-batch."""
-    return rows.groupBy("target").transformWithStateInPandas(RunWatermark(), "target string, run_id long, name string", "Append", "None")
+def new_runs_stream(rows: DataFrame, watermarks: DataFrame | None = None, open_runs: bool = False) -> DataFrame:
+    """``rows``: target, run_id, name.  Rows of runs that are newer than their target's watermark before the micro-batch.
+
+    ``watermarks`` (target, last_run) are what was saved before the stream's first run; ``open_runs``: see :class:`RunWatermark`.
+    """
+    begin = None if watermarks is None else watermarks.select("target", F.col("last_run").cast("long").alias("last_run")).groupBy("target")
+    out = "target string, run_id long, name string"
+    return rows.groupBy("target").transformWithStateInPandas(RunWatermark(open_runs), out, "Append", "None", initialState=begin)
 
 
 def rate_limit_stream(rows: DataFrame, limit: int, window_ms: int) -> DataFrame:
