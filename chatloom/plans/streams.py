@@ -128,3 +128,21 @@ def q_bounded_cache_stream(spark, sf_dir):
     S.use_rocksdb(spark)
     rows = _events_stream(spark, sf_dir).select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("key"), event_millis().alias("t"))
     return drained(S.bounded_cache_stream(rows), "bounded-cache").select("key")
+
+
+def _timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events_stream(spark, sf_dir).withColumn("ts", F.timestamp_millis(event_millis()))
+
+
+@query("""WITH w AS (SELECT event_type AS room_name, epoch_us(ts) // 1000 // 3600000 * 3600000 AS start_ms, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT room_name, start_ms, n FROM w WHERE start_ms + 3600000 <= (SELECT max(epoch_us(ts) // 1000) FROM events) - 600000""")
+def q_activity_stream(spark, sf_dir):
+    rows = _timed_events(spark, sf_dir).select("ts", F.col("event_type").alias("room_name"))
+    return drained(S.activity_stream(rows), "activity")
+
+
+@query("""SELECT a.user_id AS key, a.event_id AS cause, b.event_id AS effect FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase'
+AND epoch_us(b.ts) // 1000 BETWEEN epoch_us(a.ts) // 1000 AND epoch_us(a.ts) // 1000 + 21600000""")
+def q_followed_stream(spark, sf_dir):
+    rows = _timed_events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts", "event_type")
+    return drained(S.followed_stream(rows.filter("event_type = 'view'"), rows.filter("event_type = 'purchase'"), "6 hours"), "followed")

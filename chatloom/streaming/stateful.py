@@ -179,8 +179,25 @@ def rate_limit_stream(rows: DataFrame, limit: int, window_ms: int) -> DataFrame:
 
 
 def activity_stream(rows: DataFrame, late: str = "10 minutes", every: str = "1 hour") -> DataFrame:
-    """Messages per room and hour with a bound on lateness.  ``rows``: ts (timestamp), room_name."""
-    return rows.withWatermark("ts", late).groupBy(F.window("ts", every), "room_name").agg(F.count(F.lit(1)).alias("n"))
+    """room_name, start_ms, n: messages per room and window, once the watermark has passed its end.  ``rows``: ts (timestamp), room_name."""
+    counts = rows.withWatermark("ts", late).groupBy(F.window("ts", every), "room_name").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("room_name", F.unix_millis(F.col("window.start")).alias("start_ms"), "n")
+
+
+def followed_stream(causes: DataFrame, effects: DataFrame, within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Pairs (key, cause, effect) of the same key of which the effect comes no later than ``within`` after the cause.
+
+    Both streams (key, id, ts) have a watermark, so a cause is forgotten ``within`` after its time, an effect at once.
+    """
+    a = causes.select(F.col("key"), F.col("id").alias("cause"), F.col("ts").alias("cause_ts")).withWatermark("cause_ts", late)
+    b = effects.select(F.col("key").alias("effect_key"), F.col("id").alias("effect"), F.col("ts").alias("effect_ts")).withWatermark("effect_ts", late)
+    near = (F.col("key") == F.col("effect_key")) & F.col("effect_ts").between(F.col("cause_ts"), F.col("cause_ts") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, near).select("key", "cause", "effect")
+
+
+def late_rows(run: StreamingQuery) -> int:
+    """How many rows came after the watermark and were left out, in the micro-batches that the query remembers."""
+    return sum(o["numRowsDroppedByWatermark"] for p in run.recentProgress for o in p["stateOperators"])
 
 
 def webhook_sink(batch_size: int, post: Callable[[int, list[str]], None]) -> Callable[[DataFrame, int], None]:

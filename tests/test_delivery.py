@@ -205,3 +205,37 @@ def test_a_bounded_cache_forgets_old_entries_when_it_is_full(stateful, tmp_path)
         assert len(cache) <= max(most, young)
     got = sorted(map(tuple, stateful.read.parquet(str(tmp_path / "out")).collect()))
     assert got == sorted(want) and i == 4
+
+
+def test_late_rows_are_left_out_and_counted(spark, tmp_path):
+    def add(rows):
+        spark.createDataFrame(rows, "ms long, room_name string").select(F.timestamp_millis("ms").alias("ts"), "room_name").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("ts timestamp, room_name string").parquet(str(tmp_path / "in"))
+        out = S.activity_stream(stream, "10 minutes", "1 hour")
+        run = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        run.awaitTermination()
+        return S.late_rows(run)
+
+    hour = 3600000
+    assert add([(10, "a"), (20, "a"), (hour + 5, "b"), (3 * hour, "a")]) == 0
+    assert add([(30, "a"), (40, "b"), (3 * hour + 1, "a")]) == 2  # one for each window that is closed
+    assert add([(9 * hour, "a")]) == 0
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == [("a", 0, 2), ("a", 3 * hour, 2), ("b", hour, 1)]
+
+
+def test_category_decisions(spark):
+    from chatloom.operators.categories import category_positions
+
+    pages = {
+        "selected": [(10, "群聊"), (60, "one team"), (110, "other team")],
+        "suggested": [(10, "搜索网络结果"), (60, "some words"), (110, "more words"), (160, "群获"), (210, "team")],
+        "top": [(8, "some words"), (40, "群 聊"), (90, "team")],
+        "item": [(10, "sidebar"), (50, "sidebar two"), (90, "群聊"), (131, "搜一搜 it"), (170, "team"), (210, "联系人"), (250, "person")],
+        "none before the next": [(10, "sidebar"), (90, "群聊"), (130, "联系人"), (170, "person")],
+        "noise": [(2, "群聊"), (70, "群聊"), (75, "x"), (120, "team")],
+        "absent": [(10, "联系人"), (60, "person")],
+    }
+    rows = [(p, i, y, t) for p, lines in pages.items() for i, (y, t) in enumerate(lines)]
+    got = {r.page: (r.category_y, r.down_count) for r in category_positions(spark.createDataFrame(rows, "page string, line int, y int, text string"), "群聊").collect()}
+    assert got == {"selected": (10, 0), "suggested": (160, 3), "top": (40, 1), "item": (90, 3), "none before the next": (90, 1), "noise": (2, 0)}
