@@ -8,7 +8,7 @@ Texts are lower-cased, framed by spaces and handled in pieces of ``PIECE_BYTES``
 n-gram counts once and a text of any length takes the memory of a piece.
 
 Defined results: null texts and texts without letters are ``und`` with score 0; the languages are those of training
-rows with a language; without any, all is ``und``; of equal scores the first language by code point wins; rows whose
+rows with a language; without any, all is ``und``; more than ``MOST_LANGUAGES`` are an error; of equal scores the first language by code point wins; rows whose
 ``held_out`` is null (those without an identifier) are not learned from and come back as not held out; very long texts
 count whole; repeated rows repeat their result; an empty table gives no rows; other columns, whatever their names, are not read.
 """
@@ -27,12 +27,15 @@ from pyspark.sql import functions as F
 
 from chatloom.llm.batches import as_arrow, column, text_slices
 from chatloom.llm.words import mix64, utf8_buffers
+from chatloom.session import ship
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 SMOOTHING = 0.5
 PIECE_BYTES = 1 << 17
+MOST_LANGUAGES = 1000
+"""More languages are refused, not cut: the matrix on the driver and in the tasks has a column for each."""
 PRIOR = -1
 """The bucket that stands for a language's documents in the counts."""
 
@@ -125,7 +128,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, their log shares of documents, and the (BUCKETS, languages) matrix of log probabilities.  ``docs``: text, lang, all for training."""
-    counts = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).mapInArrow(_count, "lang string, bucket long, n long")
+    docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    if docs.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; put dirty values of lang in order first")
+    counts = docs.mapInArrow(_count, "lang string, bucket long, n long")
     rows = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS + 1 rows for each language
     names = sorted(set(rows["lang"].to_pylist()))
     matrix, prior = np.full((BUCKETS, len(names)), SMOOTHING), np.zeros(len(names))
@@ -164,6 +170,7 @@ def _predict(names: list[str], prior: np.ndarray, model):
 
 def identify(docs: DataFrame, held_out: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, lang_pred, score.  Only rows where ``held_out`` is false are learned from."""
+    ship(docs.sparkSession)
     rows = docs.select(column(doc_id).cast("long").alias("doc_id"), column(text).alias("text"), column(lang).alias("lang"), held_out.alias("held_out"))
     names, prior, matrix = train(rows.filter(~F.col("held_out")).select("text", "lang"))
     model = docs.sparkSession.sparkContext.broadcast(matrix)

@@ -11,7 +11,9 @@ Records are lines of a text sink whose separator is the two line ends after a re
 Of records with equal payloads, the one of the largest page_id is the response and the others are revisits without
 a payload.  Only digests and identifiers are grouped, so a payload that a third of all pages share is no burden.
 
-Defined results: a null payload is empty; a null url is left out; rows that repeat a page_id and a payload are
+Pages without an identifier that share a payload are numbered by groups of their urls, so these are no single group either.
+
+Defined results: a null payload is empty; a null url is left out; a very long payload is many segments; of ties in page_id the first url is the response; rows that repeat a page_id and a payload are
 records of their own, one of them the response; rows with a null page_id are responses unless others with the
 payload have one; an empty table gives no records; other columns are not read.
 """
@@ -29,11 +31,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chatloom.llm.batches import as_arrow, text_slices
-from chatloom.session import shared_path, written
+from chatloom.session import shared_path, ship, written
 
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
 FILE_RECORDS = 1024
+SALTS = 1024
 DATE = "2024-02-01T12:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n"
@@ -216,12 +219,14 @@ def write_archives(pages: DataFrame, path: str, payload: str = "html", page_id:
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("size"), F.coalesce("page_id", F.lit(0)).alias("page"), F.col("page_id").isNull().alias("no_page"))
-    narrow = rows.select("page_id", "page", "no_page", "sha1", "size")
+    rows = rows.withColumn("salt", F.when(F.col("no_page"), F.pmod(F.xxhash64("url"), F.lit(SALTS))).otherwise(0).cast("long"))
+    narrow = rows.select("page_id", "page", "no_page", "sha1", "salt", "size")
     shared = narrow.filter(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND keeper IS NOT NULL")
     shared = written(shared.drop("n"), "warc-shared")
-    key = ["page", "no_page", "sha1"]  # never null, so numbering and joining share one shuffle of the payloads
+    key = ["page", "no_page", "sha1", "salt"]  # never null, so numbering and joining share one shuffle of the payloads
     roles = narrow.join(shared, ["sha1", "size"]).select(*key, "keeper").distinct()
-    rows = rows.withColumn("nth", (F.row_number().over(W.partitionBy(key).orderBy("url")) - 1).cast("long"))
+    nth = (F.row_number().over(W.partitionBy(key).orderBy("url")) - 1).cast("long")
+    rows = rows.withColumn("nth", F.when(F.col("no_page"), nth * SALTS + F.col("salt")).otherwise(nth))
     roled = rows.join(roles, key, "left")
     own = F.col("page_id").eqNullSafe(F.col("keeper")) & (F.col("nth") == 0)
     refers_to = F.when(~own, F.col("keeper"))
@@ -242,6 +247,7 @@ def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
 
 def archived(pages: DataFrame, **options: object) -> DataFrame:
     """Write archives of ``pages`` to the shared folder and read them back."""
+    ship(pages.sparkSession)
     path = shared_path(pages.sparkSession, "warc")
     write_archives(pages, path, **options)
     return read_archives(pages.sparkSession, path, with_payload=False)

@@ -181,3 +181,14 @@ def test_pipeline_stages_equal_brute_force(shipped):
         else:
             assert len(rows) == wide.count()
     assert sorted((r.doc_id, r.ids_sha256) for r in P.run(shipped, SF).collect()) == sorted((r.doc_id, r.ids_sha256) for r in out)
+
+
+def test_pages_without_an_identifier_that_share_a_payload(shipped):
+    """Each is a record of its own, whatever their urls, and they refer to the identified page if there is one."""
+    rows = [(None, f"http://h/{i % 40}", "same") for i in range(120)] + [(None, None, "same")] * 3 + [(None, "http://h/1", "other")] * 2 + [(4, "u", "same"), (2, "u", "same")]
+    got = warc.archived(shipped.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert len(got) == len(rows) and all(r.verified for r in got)
+    same = [r for r in got if r.payload_bytes == 4]
+    assert sorted((r.record_type, str(r.refers_to)) for r in same if r.page_id is None) == [("revisit", "4")] * 123
+    assert sorted((r.page_id, r.record_type) for r in same if r.page_id) == [(2, "revisit"), (4, "response")]
+    assert [r.record_type for r in got if r.payload_bytes == 5] == ["response"] * 2

@@ -784,6 +784,14 @@ def test_language_of_odd_rows(odd_docs, no_docs):
     assert language_id.identify(no_docs, F.lit(False)).count() == 0
 
 
+def test_too_many_languages_are_refused(shipped, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
+    docs = shipped.createDataFrame([(i, "some text", f"l{i % 3}") for i in range(9)], "doc_id long, text string, lang string")
+    assert language_id.identify(docs, F.lit(False)).count() == 9
+    with pytest.raises(ValueError, match="languages"):
+        language_id.identify(docs.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id").cast("string"))), F.lit(False))
+
+
 # toxicity
 
 
