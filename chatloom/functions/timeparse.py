@@ -96,8 +96,11 @@ def looks_like_time(clean: Column) -> Column:
     return clean.rlike(CLOCK_END) & (F.length(clean) <= 20) & (clean.rlike(DATE_SIGNS) | clean.rlike("^[0-9]{1,2}:[0-9]{2}\\z"))
 
 
-def parse_timestamp(text: Column, as_of_ms: int, tz: str = "UTC") -> Column:
-    """struct<hour, minute, month, day, year> by the first grammar rule that fits and is in range, else null."""
+def parse_timestamp(text: Column, as_of_ms: int, tz: str = "UTC", signs_only: bool = False) -> Column:
+    """struct<hour, minute, month, day, year> by the first grammar rule that fits and is in range, else null.
+
+    ``signs_only``: for texts that can only be a month and a day with their signs and a clock time, the one rule for these.
+    """
     now = _today(as_of_ms, tz)
     clean = without_space(text)
 
@@ -116,6 +119,8 @@ def parse_timestamp(text: Column, as_of_ms: int, tz: str = "UTC") -> Column:
     before, weekday, alone = f"^(昨天|昨日){skip}{CLOCK_END}", f"^(周|星期)([一二三四五六日天]){skip}{CLOCK_END}", "^([0-9]{1,2})[:：]([0-9]{2})\\z"
     y1, m1, d1 = _date_parts(F.date_sub(F.lit(now.date()), 1))
     y2, m2, d2 = _date_parts(weekday_date(weekday_number(F.regexp_extract(clean, weekday, 2)), as_of_ms, tz))
+    if signs_only:
+        return F.when(looks_like_time(clean), rule(cjk, 3, 4, part(cjk, 1), part(cjk, 2), None))
     rules = [
         rule(full, 4, 5, part(full, 2), part(full, 3), part(full, 1)),
         rule(cjk, 3, 4, part(cjk, 1), part(cjk, 2), None),
