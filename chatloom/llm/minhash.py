@@ -48,7 +48,9 @@ from chatloom.session import ship, written
 BANDS, ROWS, BITS = 25, 5, 4
 MINIMA = BANDS * ROWS
 MARGIN = 4.5
-BLOCK = 256
+BLOCK = 1024
+MOST_BLOCKS = 8
+"""Members of a group of more blocks are dealt by bands first, so a member meets no more than so many blocks of a group that isn't."""
 ROW_SHINGLES = 4096
 """Shingles that count as one row of a block."""
 SEED = 7
@@ -256,8 +258,8 @@ def _groups(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     kept = per_key.filter("low < high").groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
     grouped = written(rare.join(kept, "key"), "mh-groups")
-    small = grouped.filter(F.col("size") <= BLOCK).select("key", F.lit(0).cast("long").alias("band"), "doc_id", "root", "weight")
-    dealt = grouped.filter(F.col("size") > BLOCK).join(opened.select("doc_id", "band"), "doc_id")
+    small = grouped.filter(F.col("size") <= MOST_BLOCKS * BLOCK).select("key", F.lit(0).cast("long").alias("band"), "doc_id", "root", "weight")
+    dealt = grouped.filter(F.col("size") > MOST_BLOCKS * BLOCK).join(opened.select("doc_id", "band"), "doc_id")
     return written(small.unionByName(dealt.select(F.xxhash64("key", "band").alias("key"), "band", "doc_id", "root", "weight")), "mh-dealt")
 
 
