@@ -59,7 +59,7 @@ t AS (SELECT frame, center, coalesce(max(n) FILTER (above), 0) AS run, coalesce(
 l AS (SELECT b.frame, center, coalesce(avg(d) FILTER (x >= greatest(1, center - 10) AND x < greatest(1, center - 2)), 0) - coalesce(avg(d) FILTER (x >= least(62, center + 2) AND x < least(62, center + 10)), 0) AS delta
   FROM e JOIN b ON b.frame = e.frame GROUP BY b.frame, center),
 z AS (SELECT * FROM b JOIN t USING (frame, center) JOIN l USING (frame, center) QUALIFY row_number() OVER (PARTITION BY frame ORDER BY round(run / 15 * 100 + coverage * 20 + greatest(0, delta) + peak * CAST(0.05 AS DOUBLE), 9) DESC, center) = 1)
-SELECT f.frame, CAST(center AS INT) AS center, CAST(run AS BIGINT) AS run, coalesce(delta >= 0 AND run / 15 >= 0.55 AND coverage >= 0.1, false) AS confident,
+SELECT f.frame, CAST(coalesce(center, -1) AS INT) AS center, CAST(coalesce(run, -1) AS BIGINT) AS run, coalesce(delta >= 0 AND run / 15 >= 0.55 AND coverage >= 0.1, false) AS confident,
   CAST(CASE WHEN delta >= 0 AND run / 15 >= 0.55 AND coverage >= 0.1 THEN center ELSE 20 END AS INT) AS divider FROM (SELECT DISTINCT frame FROM px) f LEFT JOIN z USING (frame)""")
 def q_dividers(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -67,7 +67,8 @@ def q_dividers(spark, sf_dir):
     px = e.select(frame.alias("frame"), (F.col("vec_id") % 20).cast("int").alias("y"), edge.alias("edge"), F.posexplode("embedding").alias("x", "z"))
     v = F.floor(128 + F.col("z") * F.when(F.col("x") < F.col("edge"), 90).otherwise(30)) + F.when((F.col("x") >= F.col("edge")) & (F.col("frame") % 5 != 4), 60).otherwise(0)
     rules = DividerRules(right_pad=4, panel=8, gap=2, strength_step=1)
-    return dividers(px.select("frame", "y", "x", v.cast("double").alias("v")), 64, 20, rules).select("frame", "center", "run", "confident", "divider")
+    found = dividers(px.select("frame", "y", "x", v.cast("double").alias("v")), 64, 20, rules)
+    return found.select("frame", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("center", "run")), "confident", "divider")
 
 
 _PAGES_SQL = """(SELECT vec_id // 50 AS frame, CAST(vec_id % 50 AS INT) AS y, CAST(x - 1 AS INT) AS x,
