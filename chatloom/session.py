@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,13 +43,27 @@ def written(df: DataFrame, name: str, **options: object) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``written`` of what ``make`` gives; the tables that were written on the way go as soon as it is there."""
+    before = set(_WRITTEN)
+    out = written(make(), name)
+    *on_the_way, _ = [path for path in _WRITTEN if path not in before]  # in the order of writing
+    for path in on_the_way:
+        _remove(path, _WRITTEN.pop(path))
+    return out
+
+
+def _remove(path: str, spark: SparkSession) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).delete(target, True)
+
+
 @atexit.register
 def _remove_written() -> None:
     for path, spark in _WRITTEN.items():
         try:
-            jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+            _remove(path, spark)
         except Exception:  # the session has ended or the folder can't be reached; a cluster's own clean-up takes it
             continue
 

@@ -46,3 +46,23 @@ def test_against_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).columns[0] == "id"
     assert set(catalogue.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_no_oracle_is_empty():
+    c = duckdb.connect()
+    for path in glob.glob("/root/testdata/sf0.01/*.parquet"):
+        c.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    assert [name for name, sql in catalogue.ORACLE_SQL.items() if not c.sql(sql).fetchone()] == []
+
+
+def test_tables_on_the_way_go(spark):
+    from chatloom import session
+
+    def make():
+        half = session.written(spark.range(10), "half")
+        make.path = list(session._WRITTEN)[-1]
+        return half.filter("id > 4")
+
+    out = session.written_alone(make, "whole")
+    assert make.path not in session._WRITTEN and not os.path.exists(make.path.removeprefix("file://"))
+    assert out.count() == 5 and list(session._WRITTEN)[-1].endswith("-whole")
