@@ -52,7 +52,7 @@ def test_no_oracle_is_empty():
     c = duckdb.connect()
     for path in glob.glob("/root/testdata/sf0.01/*.parquet"):
         c.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
-    assert [name for name, sql in catalogue.ORACLE_SQL.items() if not c.sql(sql).fetchone()] == []
+    assert [name for name, sql in catalogue.ORACLE_SQL.items() if not c.sql(sql).fetchall()] == []
 
 
 def test_tables_on_the_way_go(spark):
