@@ -18,7 +18,7 @@ from chatloom.llm.minhash import without_near_duplicates
 from chatloom.llm.mixing import mixed_documents
 from chatloom.llm.prefix_bpe import encode_and_decode
 from chatloom.llm.toxicity import clean_documents
-from chatloom.session import ship, written
+from chatloom.session import ship, written_alone
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,5 +87,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = written_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
