@@ -37,26 +37,28 @@ def _no_number(name: str) -> object:
     raise ValueError(f"{name} is no JSON")
 
 
-def _strict(text: str | None) -> object:
+def _is_json(text: str | None) -> bool:
+    """``null`` is JSON like any other value."""
     try:
-        return json.loads(text, parse_constant=_no_number) if text else None
+        json.loads(text or "", parse_constant=_no_number)
     except ValueError:
-        return None
+        return False
+    return True
 
 
 def recover(text: str | None) -> tuple[int, str]:
     """(step, JSON) of one output."""
     if not text:
         return 5, EMPTY
-    if _strict(text) is not None:
+    if _is_json(text):
         return 1, text
     for step, pattern, group in ((2, _FENCED, 1), (3, _BRACES, 0)):
         found = pattern.search(text)
-        if found and _strict(found[group]) is not None:
+        if found and _is_json(found[group]):
             return step, found[group]
     found = _ARRAY.search(text)
     array = _balanced(found[1]) if found else None
-    if array and _strict(array) is not None:
+    if array and _is_json(array):
         return 4, f'{{"roomName":"{UNKNOWN_ROOM}","messages":{array}}}'
     return 5, EMPTY
 

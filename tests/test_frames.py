@@ -109,3 +109,9 @@ def test_pixels_of_arrays(spark):
     got = sorted(tuple(r) for r in R.pixels_of(df, 3).select("y", "x", "v").collect())
     assert got == [(0, 0, 1.0), (0, 1, 2.0), (0, 2, 3.0), (1, 0, 4.0), (1, 1, 5.0), (1, 2, 6.0)]
     assert R.dividers(R.pixels_of(df.limit(0), 3), 70, 40).count() == 0
+
+
+def test_null_is_json():
+    from chatloom.operators.vlm_json import recover
+
+    assert recover("null") == (1, "null") and recover("```json\nnull\n```") == (2, "null") and recover("nul")[0] == 5
