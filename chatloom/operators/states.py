@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,23 +39,41 @@ def backoff(rounds: DataFrame, key: str, order: str, idle: str, top: int = 3) ->
 def y_groups(fragments: DataFrame, page: str = "page", near: int = 8) -> DataFrame:
     """(page, line, y, text): fragments within ``near`` of the rounded running mean of a line belong to it, joined by x.
 
-    The mean depends on what the line has so far, so it is a fold over a page's fragments in order of (y, x).
+    The mean depends on what the line has so far, so it is a fold over a page's fragments in order of (y, x), of which a task holds a batch and one line.
     """
-    kind = "array<struct<y:double,n:int,parts:array<struct<x:double,text:string>>>>"
-    sorted_rows = F.sort_array(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), "text")))
-    pages = fragments.groupBy(page).agg(sorted_rows.alias("rows"))
-
-    def step(lines: Column, f: Column) -> Column:
-        last = F.try_element_at(lines, F.lit(-1))
-        joins = F.coalesce(F.abs(f["y"] - last["y"]) <= near, F.lit(False))
-        part = F.array(F.struct(f["x"].alias("x"), f["text"].alias("text")))
-        grown = F.struct(F.floor((last["y"] * last["n"] + f["y"]) / (last["n"] + 1) + 0.5).cast("double").alias("y"), (last["n"] + 1).alias("n"), F.concat(last["parts"], part).alias("parts"))
-        new = F.struct(f["y"].alias("y"), F.lit(1).alias("n"), part.alias("parts"))
-        return F.when(joins, F.concat(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(lines, F.array(new))).cast(kind)
-
-    lines = F.aggregate("rows", F.array().cast(kind), step)
-    out = pages.select(page, F.posexplode(lines).alias("line", "g"))
-    return out.select(page, "line", F.col("g.y").alias("y"), F.array_join(F.transform(F.sort_array("g.parts"), lambda p: p["text"]), "").alias("text"))
+    kind = fragments.schema[page].dataType.simpleString()
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, line, mean, parts = None, -1, None, []
+        field = None
+        for batch in batches:
+            field, done = batch.schema.field(0).type, []
+            for on, y, x, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if parts and on == now and y is not None and mean is not None and abs(y - mean) <= near:
+                    mean = float(math.floor((mean * len(parts) + y) / (len(parts) + 1) + 0.5))
+                else:
+                    if parts:
+                        done.append((now, line, mean, _joined(parts)))
+                    line = line + 1 if parts and on == now else 0
+                    now, mean, parts = on, y, []
+                parts.append((x, text))
+            yield _lines(done, field, page)
+        if parts:
+            yield _lines([(now, line, mean, _joined(parts))], field, page)
+
+    rows = fragments.select(F.col(page), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), "text")
+    return rows.repartition(page).sortWithinPartitions(page, "y", "x", "text").mapInArrow(lines, f"`{page}` {kind}, line int, y double, text string")
+
+
+def _joined(parts: list[tuple[float | None, str | None]]) -> str:
+    """Texts in order of x, missing ones first."""
+    ordered = sorted(parts, key=lambda p: (p[0] is not None, p[0] or 0.0, p[1] is not None, (p[1] or "").encode()))
+    return "".join(t for _, t in ordered if t is not None)
+
+
+def _lines(done: list[tuple], key: pa.DataType, page: str) -> pa.RecordBatch:
+    kinds = (key, pa.int32(), pa.float64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], kind) for i, kind in enumerate(kinds)], names=[page, "line", "y", "text"])
 
 
 def ema(rows: DataFrame, key: str, order: str, value: str, confidence: str, least: float = 0.5, old: float = 0.65, fallback: float | None = None, decay: float = 0.9) -> DataFrame:

@@ -115,3 +115,27 @@ def test_null_is_json():
     from chatloom.operators.vlm_json import recover
 
     assert recover("null") == (1, "null") and recover("```json\nnull\n```") == (2, "null") and recover("nul")[0] == 5
+
+
+def test_lines_of_fragments_in_any_batches(spark):
+    from chatloom.operators.states import y_groups
+
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, *range(0, 60, 3)]), rnd.choice([None, *range(9)]), rnd.choice(["u", "v", None])) for _ in range(200)]
+    want = []
+    for p in ("a", "b", None):
+        mine = sorted((r[1:] for r in rows if r[0] == p), key=lambda r: tuple((c is not None, c or 0) if i < 2 else (c is not None, c or "") for i, c in enumerate(r)))
+        lines = []
+        for y, x, t in mine:
+            if lines and y is not None and lines[-1][0] is not None and abs(y - lines[-1][0]) <= 8:
+                mean, parts = lines[-1]
+                lines[-1] = (float((mean * len(parts) + y) / (len(parts) + 1) + 0.5) // 1, [*parts, (x, t)])
+            else:
+                lines.append((y, [(x, t)]))
+        for k, (mean, parts) in enumerate(lines):
+            text = "".join(t for _, t in sorted(parts, key=lambda q: (q[0] is not None, q[0] or 0, q[1] is not None, q[1] or "")) if t is not None)
+            want.append((p, k, None if mean is None else float(mean), text))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    got = [tuple(r) for r in y_groups(spark.createDataFrame(rows, "pg string, y int, x int, text string"), "pg").collect()]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
