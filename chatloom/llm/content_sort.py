@@ -8,7 +8,7 @@ Only runs at a partition's edges can go on in another partition.  They are summe
 for each, told apart by the SHA-256 of their texts, and rows of such runs are joined with the sums by digest and
 partition: a key of this join has the rows of one partition at most, however large its group is.
 
-Defined results: a null text counts as empty; null identifiers never win over others; of rows that repeat an
+Defined results: a null text counts as empty; a very long text is compared and hashed whole; null identifiers never win over others; of rows that repeat an
 identifier and a text, one is kept; an empty table gives no rows; other columns are not read.
 """
 
