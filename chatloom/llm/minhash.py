@@ -14,8 +14,8 @@ Candidates of a bucket are never expanded into all pairs:
    brings none of them together here.  Members of one such shingle are a group, groups of the same members are one, and
    a group of more than ``BLOCK`` is dealt by the open bands of its members as well;
 4. in a group, members outside the largest component are compared with the members of other components in blocks of
-   about ``BLOCK`` rows, by signature first, if they share a band.  Of a group that was dealt by bands a pair is looked at
-   in the first band that both share, and in full only while its ends aren't connected, so a block gives at most
+   about ``BLOCK`` rows, by signature first, if they share a band.  A pair is looked at in one group only, that of the least shingle by
+   which both are in groups, and of a group that was dealt by bands in the first band that both share; and in full only while its ends aren't connected, so a block gives at most
    a spanning forest.  A set of many shingles counts as several rows, which bounds what a block holds.
 
 So every candidate pair between different components is decided, and no bucket is capped.
@@ -181,10 +181,12 @@ def _candidates(table: pa.Table, percent: int) -> list[tuple[int, int]]:
     a, b = left[a[order]], right[b[order]]
     same = bands[a] == bands[b]
     first = same.any(1) & ((band[a] == 0) | (bands[a, same.argmax(1)] == band[a]))  # the band in which this pair is looked at
-    return list(zip(a[first].tolist(), b[first].tolist(), strict=True))
+    shared = table["shared"][0].as_py()
+    groups = [frozenset(g.values.to_pylist()) for g in table["groups"]]
+    return [(x, y) for x, y in zip(a[first].tolist(), b[first].tolist(), strict=True) if min(groups[x] & groups[y]) == shared]  # and the group
 
 
-_MEMBER = "key long, band long, i long, j long, side long, doc_id long, root long, bands array<long>, sig array<long>"
+_MEMBER = "key long, band long, shared long, i long, j long, side long, doc_id long, root long, bands array<long>, sig array<long>, groups array<long>"
 
 
 def _active(percent: int):
@@ -240,8 +242,11 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return written(rooted.join(several, "band", "left_semi"), "mh-open")
 
 
-def _groups(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, band, doc_id, root, weight): the members of open buckets by rare shingles; band is 0 in undealt groups."""
+def _groups(opened: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(key, band, shared, doc_id, root, weight): the members of open buckets by the rare shingle that they share; band is 0 in undealt groups.
+
+    And (doc_id, groups): the shingles by which each one is in a group.
+    """
     nodes = opened.select("doc_id", "root").distinct()
     held = sets.join(nodes, "doc_id").select("doc_id", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
     common = written(held.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "mh-common")
@@ -258,9 +263,10 @@ def _groups(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     kept = per_key.filter("low < high").groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
     grouped = written(rare.join(kept, "key"), "mh-groups")
-    small = grouped.filter(F.col("size") <= MOST_BLOCKS * BLOCK).select("key", F.lit(0).cast("long").alias("band"), "doc_id", "root", "weight")
+    small = grouped.filter(F.col("size") <= MOST_BLOCKS * BLOCK).select("key", F.lit(0).cast("long").alias("band"), F.col("key").alias("shared"), "doc_id", "root", "weight")
     dealt = grouped.filter(F.col("size") > MOST_BLOCKS * BLOCK).join(opened.select("doc_id", "band"), "doc_id")
-    return written(small.unionByName(dealt.select(F.xxhash64("key", "band").alias("key"), "band", "doc_id", "root", "weight")), "mh-dealt")
+    dealt = dealt.select(F.xxhash64("key", "band").alias("key"), "band", F.col("key").alias("shared"), "doc_id", "root", "weight")
+    return written(small.unionByName(dealt), "mh-dealt"), grouped.groupBy("doc_id").agg(F.collect_set("key").alias("groups"))
 
 
 def _blocks(groups: DataFrame) -> DataFrame:
@@ -273,8 +279,8 @@ def _blocks(groups: DataFrame) -> DataFrame:
     is_major = F.col("root") == F.col("major")
     side = F.when(is_major, F.col("query_blocks") + F.pmod(spread, "major_blocks")).otherwise(F.pmod(spread, "query_blocks"))
     partners = F.when(is_major, F.sequence(F.lit(0).cast("long"), F.col("query_blocks") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("query_blocks") + F.col("major_blocks") - 1))
-    rows = rows.select("key", "band", "doc_id", "root", side.cast("long").alias("side"), F.explode(partners).alias("other"))
-    return rows.select("key", "band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "root")
+    rows = rows.select("key", "band", "shared", "doc_id", "root", side.cast("long").alias("side"), F.explode(partners).alias("other"))
+    return rows.select("key", "band", "shared", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "root")
 
 
 def _classes(signed: DataFrame) -> DataFrame:
@@ -350,7 +356,9 @@ def _decided(docs: DataFrame, text: str, doc_id: str, words: int, percent: int)
 
 def _links_of_open_buckets(opened: DataFrame, sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(u, v): links between the components of open buckets, at most a spanning forest from each block."""
-    blocks = _blocks(_groups(opened, sets, percent)).join(reps.select("doc_id", "bands", "sig"), "doc_id").select(*(c.split()[0] for c in _MEMBER.split(", ")))
+    dealt, groups = _groups(opened, sets, percent)
+    facts = reps.select("doc_id", "bands", "sig").join(groups, "doc_id")
+    blocks = _blocks(dealt).join(facts, "doc_id").select(*(c.split()[0] for c in _MEMBER.split(", ")))
     blocks = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     active = written(blocks.mapInArrow(_active(percent), _MEMBER), "mh-active")
     full = active.join(sets, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
