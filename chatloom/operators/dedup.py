@@ -44,10 +44,19 @@ def dedup_batch(rows: DataFrame, batch: str = "batch", order: str = "idx") -> Da
     return normalize_tokens(fill_times(rows, batch, order), batch, order)
 
 
+def content_digest(c: Column) -> Column:
+    """32 bytes that tell apart what :func:`norm_content` tells apart (SHA-256); never null."""
+    return F.coalesce(F.unhex(F.sha2(norm_content(c), 256)), F.lit(b""))
+
+
 def known_in_room(batch: DataFrame, existing: DataFrame, as_of_ms: int, within_ms: int = 60000, how: str = "left_anti") -> DataFrame:
-    """Rows of ``batch`` that no (anti) or some (semi) message of the room with equal content, newer than the window's start, matches."""
-    recent = existing.filter(F.col("timestamp") > as_of_ms - within_ms).select(F.col("room_name").alias("_room"), norm_content(F.col("content")).alias("_norm")).distinct()
-    return batch.join(recent, (F.col("room_name") == F.col("_room")) & (norm_content(F.col("content")) == F.col("_norm")), how)
+    """Rows of ``batch`` that no (anti) or some (semi) message of the room with equal content, newer than the window's start, matches.
+
+    Contents are compared by digests that are columns before the join: each is normalised once, and its text is neither sorted nor, for the join, moved.
+    """
+    recent = existing.filter(F.col("timestamp") > as_of_ms - within_ms).select(F.col("room_name").alias("_room"), content_digest(F.col("content")).alias("_known")).distinct()
+    same = (F.col("room_name") == F.col("_room")) & (F.col("_digest") == F.col("_known"))
+    return batch.withColumn("_digest", content_digest(F.col("content"))).join(recent, same, how).drop("_digest")
 
 
 def first_by_key(rows: DataFrame, keys: list[Column], order: str) -> DataFrame:

@@ -300,3 +300,19 @@ def test_folds_carry_their_state_over_small_batches_and_collect_no_key(spark):
     assert got == [sorted(w, key=repr) for w in want]
     for x in (limited, seen, smooth, upper):
         assert "collect_list" not in x._jdf.queryExecution().toString()
+
+
+def test_known_contents_are_normalised_once_before_the_join(spark):
+    from chatloom.operators.dedup import known_in_room
+
+    rows = [(1, "r", "A b", 95), (2, "r", None, 95), (3, None, "ab", 95), (4, "r", "c", 95), (5, "s", "ab", 95)]
+    known = [(6, "r", "a　B", 95), (7, "r", "", 95), (8, None, "ab", 95), (9, "r", "c", 40), (10, "s", "b", 95)]
+    batch, existing = (spark.createDataFrame(x, "id int, room_name string, content string, timestamp long") for x in (rows, known))
+    for how, want in (("left_semi", [1, 2]), ("left_anti", [3, 4, 5])):
+        out = known_in_room(batch, existing, 100, 50, how)
+        assert out.columns == batch.columns and sorted(r.id for r in out.collect()) == want
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id AS id", "source AS room_name", "text AS content", "doc_id AS timestamp")
+    out = known_in_room(table.hint("merge"), table, 100).select("id")
+    plan = out._jdf.queryExecution().sparkPlan().toString().splitlines()
+    assert any("Join" in line for line in plan)
+    assert not any("regexp_replace" in line for line in plan if "Project" not in line)
