@@ -109,10 +109,27 @@ class RunWatermark(StatefulProcessor):
         pass
 
 
+def times_by_key(parts: Iterator[pd.DataFrame], most: int = 100_000) -> Iterator[dict[str, tuple[int, int]]]:
+    """For each key of rows (key, t) the time that came first and the greatest one; whenever ``most`` keys are together, they are given and forgotten."""
+    met: dict[str, tuple[int, int]] = {}
+    for part in parts:
+        firsts = part.drop_duplicates("key").set_index("key")["t"]
+        greatest = part.groupby("key", sort=False, dropna=False)["t"].max()  # in the order of the firsts
+        for name, first, last in zip(firsts.index, firsts.tolist(), greatest.tolist(), strict=True):
+            before = met.get(name)
+            met[name] = (first, last) if before is None else (before[0], max(before[1], last))
+        if len(met) >= most:
+            yield met
+            met = {}
+    if met:
+        yield met
+
+
 class BoundedCache(StatefulProcessor):
     """The last time of each key of a lane; when a lane has more than ``most`` entries, those older than ``age_ms`` before the newest row go.
 
-    Gives (key, t, size): the rows whose key wasn't there, and how many entries the lane had after them.
+    Gives (key, t, size): the rows whose key wasn't there, and how many entries the lane had after them.  The state is asked once for each
+    key of a micro-batch (of 100,000 keys at a time), not for each row.
     """
 
     def __init__(self, most: int, age_ms: int) -> None:
@@ -125,14 +142,15 @@ class BoundedCache(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         size = self.size.get()[0] if self.size.exists() else 0
         newest, fresh = None, []
-        for part in rows:
-            for name, t in zip(part["key"], part["t"].tolist(), strict=True):
-                known = self.entries.containsKey((name,))
-                if not known:
+        for met in times_by_key(rows):
+            for name, (first, last) in met.items():
+                known = self.entries.getValue((name,))
+                if known is None:
                     size += 1
-                    fresh.append((name, t))
-                self.entries.updateValue((name,), (max(t, self.entries.getValue((name,))[0]) if known else t,))
-                newest = t if newest is None else max(newest, t)
+                    fresh.append((name, first))
+                if known is None or last > known[0]:
+                    self.entries.updateValue((name,), (last,))
+                newest = last if newest is None else max(newest, last)
         if size > self.most and newest is not None:
             old = [name for name, value in self.entries.iterator() if value[0] < newest - self.age_ms]
             for name in old:

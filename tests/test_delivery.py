@@ -239,3 +239,100 @@ def test_category_decisions(spark):
     rows = [(p, i, y, t) for p, lines in pages.items() for i, (y, t) in enumerate(lines)]
     got = {r.page: (r.category_y, r.down_count) for r in category_positions(spark.createDataFrame(rows, "page string, line int, y int, text string"), "群聊").collect()}
     assert got == {"selected": (10, 0), "suggested": (160, 3), "top": (40, 1), "item": (90, 3), "none before the next": (90, 1), "noise": (2, 0)}
+
+
+class Kept:
+    """A state variable in memory that counts what it is asked."""
+
+    def __init__(self):
+        self.value, self.asked = None, 0
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.asked += 1
+        return iter(self.value) if isinstance(self.value, list) else self.value
+
+    def update(self, value):
+        self.value = value
+
+    def put(self, values):
+        self.asked += len(values)
+        self.value = list(values)
+
+    def appendList(self, values):
+        self.asked += len(values)
+        self.value = [*(self.value or []), *values]
+
+    def clear(self):
+        self.value = None
+
+
+class KeptMap(Kept):
+    def __init__(self):
+        super().__init__()
+        self.value = {}
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in self.value
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.value.get(key)
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self.value[key] = value
+
+    def removeKey(self, key):
+        del self.value[key]
+
+    def iterator(self):
+        return iter(list(self.value.items()))
+
+
+class Handle:
+    """Gives states in memory; also the clock."""
+
+    def __init__(self):
+        self.states, self.timers, self.now = {}, set(), 1000
+
+    def _state(self, name, kind=Kept):
+        return self.states.setdefault(name, kind())
+
+    def getValueState(self, name, schema, **_):
+        return self._state(name)
+
+    def getListState(self, name, schema, **_):
+        return self._state(name)
+
+    def getMapState(self, name, key, value, **_):
+        return self._state(name, KeptMap)
+
+    def registerTimer(self, due):
+        self.timers.add(due)
+
+    def deleteTimer(self, due):
+        self.timers.discard(due)
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def test_a_bounded_cache_asks_its_state_once_for_a_key():
+    import pandas as pd
+
+    handle, cache = Handle(), S.BoundedCache(5, 50)
+    cache.init(handle)
+    rows = [(f"k{i % 7}", 1000 + (i * 37) % 40) for i in range(900)]
+    parts = [pd.DataFrame(rows[a : a + 300], columns=["key", "t"]) for a in range(0, 900, 300)]
+    (out,) = cache.handleInputRows((0,), iter(parts), handle)
+    assert out.values.tolist() == [[f"k{i}", rows[i][1], 7] for i in range(7)]
+    assert handle.states["entries"].value == {(f"k{i}",): (max(t for k, t in rows if k == f"k{i}"),) for i in range(7)}
+    assert handle.states["entries"].asked == 14
+    (out,) = cache.handleInputRows((0,), iter([pd.DataFrame([("k1", 5000), ("new", 4999), ("k1", 4000)], columns=["key", "t"])]), handle)
+    assert out.values.tolist() == [["new", 4999, 2]] and handle.states["entries"].value == {("k1",): (5000,), ("new",): (4999,)}
+    small = list(S.times_by_key(iter(parts), most=3))
+    assert len(small) == 3 and all(len(m) == 7 for m in small)
