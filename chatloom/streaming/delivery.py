@@ -11,7 +11,10 @@ import time
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -19,6 +22,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 RETRIES = 3
 BASE_MS = 1000
 DELIVERED, FAILED = "delivered", "failed"
+PACK = 10_000
+"""Rows that go to the state or come out of a queue together, at most."""
 
 Post = Callable[[str, str, int], None]
 """Takes a message's identifier, its payload and the number of the attempt; raises if the message didn't arrive."""
@@ -86,10 +91,13 @@ class Delivery(StatefulProcessor):
         pass
 
 
+QUEUED = pa.schema([("id", pa.int64()), ("payload", pa.large_string())])
+
+
 class SizeOrTimeQueue(StatefulProcessor):
     """A first-in first-out queue for each key: ``batch_size`` rows go together, fewer when the first of them has waited for ``interval_ms``.
 
-    Rows of one micro-batch queue in order of ``id``.  Less than a batch waits in the state.
+    Rows of one micro-batch queue in order of ``id``; they are held as Arrow columns and come out many batches at a time.  Less than a batch waits in the state.
     """
 
     def __init__(self, batch_size: int, interval_ms: int) -> None:
@@ -100,23 +108,35 @@ class SizeOrTimeQueue(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "id long, payload string")
         self.mark = handle.getValueState("mark", "batch_no long, due long")
 
-    def _out(self, key, rows: list[tuple], batch_no: int, by: str) -> pd.DataFrame:
-        return pd.DataFrame({"queue": key[0], "id": [r[0] for r in rows], "payload": [r[1] for r in rows], "batch_no": batch_no, "by": by})
+    def _out(self, key, rows: pa.Table, batch_no: int, by: str) -> pd.DataFrame:
+        """The rows as batches from ``batch_no`` on."""
+        return rows.to_pandas().assign(queue=key[0], batch_no=batch_no + np.arange(rows.num_rows) // self.batch_size, by=by)[["queue", "id", "payload", "batch_no", "by"]]
+
+    def _held(self) -> pa.Table:
+        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        return pa.table([[r[0] for r in rows], [r[1] for r in rows]], schema=QUEUED)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch_no, due = self.mark.get() if self.mark.exists() else (0, 0)
-        new = pd.concat(list(rows)).sort_values("id", kind="stable")
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        held += list(zip(new["id"].tolist(), new["payload"].tolist(), strict=True))
-        whole = len(held) // self.batch_size * self.batch_size
-        for at in range(0, whole, self.batch_size):
-            yield self._out(key, held[at : at + self.batch_size], batch_no, "size")
-            batch_no += 1
+        new = pa.concat_tables(pa.Table.from_pandas(part[QUEUED.names], QUEUED, preserve_index=False) for part in rows).combine_chunks()
+        order = pc.sort_indices(new, [("id", "ascending")])
+        held = self._held()
+        queued = held.num_rows + new.num_rows
+        whole = queued // self.batch_size * self.batch_size
+        step = max(PACK // self.batch_size, 1) * self.batch_size  # whole batches
+        at = 0  # of the new rows
+        for end in [*range(step, whole, step), *([whole] if whole else [])]:
+            upto = end - (queued - new.num_rows)
+            part = pa.concat_tables([held, new.take(order[at:upto])])
+            yield self._out(key, part, batch_no, "size")
+            batch_no += part.num_rows // self.batch_size
+            held, at = held.slice(held.num_rows), upto
+        rest = pa.concat_tables([held, new.take(order[at:])])
         if due and whole:  # those whose time ran are gone
             self.handle.deleteTimer(due)
             due = 0
-        if held[whole:]:
-            self.waiting.put(held[whole:])
+        if rest.num_rows:
+            self.waiting.put(list(zip(*(c.to_pylist() for c in rest.columns), strict=True)))
             if not due:
                 due = timerValues.getCurrentProcessingTimeInMs() + self.interval_ms
                 self.handle.registerTimer(due)
@@ -126,10 +146,10 @@ class SizeOrTimeQueue(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         batch_no, _ = self.mark.get()
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        held = self._held()
         self.waiting.clear()
-        self.mark.update((batch_no + bool(held), 0))
-        if held:
+        self.mark.update((batch_no + bool(held.num_rows), 0))
+        if held.num_rows:
             yield self._out(key, held, batch_no, "time")
 
     def close(self) -> None:
@@ -156,7 +176,8 @@ def queued(rows: DataFrame, batch_size: int, interval_ms: int) -> DataFrame:
 def settled(query: StreamingQuery, longest_wait_ms: int, timeout_s: float = 600) -> None:
     """Wait until a stream with timers has worked off what is there, and stop it.
 
-    That is when a micro-batch that began ``longest_wait_ms`` after the last active one ended found nothing to do.
+    That is when a micro-batch that began ``longest_wait_ms`` after the last active one ended found nothing to do.  The time runs out
+    ``timeout_s`` after the last micro-batch that did something was reported, so a long stream may take longer as a whole.
     """
     ends = time.monotonic() + timeout_s
     idle_after = None
@@ -167,10 +188,13 @@ def settled(query: StreamingQuery, longest_wait_ms: int, timeout_s: float = 600)
         for progress in query.recentProgress:
             if progress["batchId"] <= seen and progress["numInputRows"] == 0:
                 continue
+            batch_new = progress["batchId"] > seen
             seen = max(seen, progress["batchId"])
             began = datetime.fromisoformat(progress["timestamp"].replace("Z", "+00:00")).timestamp() * 1000
             state = progress["stateOperators"][0] if progress["stateOperators"] else {"numRowsUpdated": 0, "numRowsRemoved": 0}
             if progress["numInputRows"] or state["numRowsUpdated"] or state["numRowsRemoved"]:
+                if batch_new:
+                    ends = time.monotonic() + timeout_s
                 idle_after = began + progress["durationMs"].get("triggerExecution", 0) + longest_wait_ms
             elif idle_after is not None and began >= idle_after:
                 query.stop()

@@ -336,3 +336,23 @@ def test_a_bounded_cache_asks_its_state_once_for_a_key():
     assert out.values.tolist() == [["new", 4999, 2]] and handle.states["entries"].value == {("k1",): (5000,), ("new",): (4999,)}
     small = list(S.times_by_key(iter(parts), most=3))
     assert len(small) == 3 and all(len(m) == 7 for m in small)
+
+
+def test_a_queue_gives_many_batches_at_a_time():
+    import pandas as pd
+
+    handle, queue = Handle(), L.SizeOrTimeQueue(10, 200)
+    queue.init(handle)
+    order = random.Random(5).sample(range(25_004), 25_004)
+    rows = pd.DataFrame({"id": order, "payload": [None if i % 9 == 0 else f"p{i}" for i in order]})
+    out = list(queue.handleInputRows(("q",), iter([rows[:9_000], rows[9_000:]]), handle))
+    assert len(out) == 3 and handle.timers == {1200}
+    handle.now = 1100
+    out += queue.handleInputRows(("q",), iter([pd.DataFrame({"id": range(25_004, 25_013), "payload": "x"})]), handle)
+    assert len(out) == 4 and handle.timers == {1300} and [r[0] for r in handle.states["waiting"].value] == [25_010, 25_011, 25_012]
+    out += queue.handleExpiredTimer(("q",), handle, None)
+    got = pd.concat(out)
+    assert got["id"].tolist() == list(range(25_013)) and got["batch_no"].tolist() == [i // 10 for i in range(25_013)]
+    assert got["by"].tolist() == ["size"] * 25_010 + ["time"] * 3 and set(got["queue"]) == {"q"}
+    assert [p for i, p in zip(got["id"], got["payload"]) if i < 25_004 and i % 9 == 0 and p is not None] == []
+    assert got["payload"].tolist()[25_003:25_006] == ["p25003", "x", "x"] and not handle.states["waiting"].exists()
