@@ -32,7 +32,8 @@ Post = Callable[[str, str, int], None]
 class Delivery(StatefulProcessor):
     """Posts every row; a failed one is tried again after ``base_ms``, twice and four times that, and failed for good then.
 
-    The rows of a lane (the key) are posted one after the other; those that wait are in its list, with a timer for each time at which some are due.
+    The rows of a lane (the key) are posted one after the other; those that wait are in its list, as packs of rows that have had as many attempts and are
+    due together, with a timer for each time at which some are due.
     """
 
     def __init__(self, post: Post, retries: int = RETRIES, base_ms: int = BASE_MS) -> None:
@@ -40,52 +41,63 @@ class Delivery(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "id string, payload string, attempts int, due long")
+        self.waiting = handle.getListState("waiting", "ids array<string>, payloads array<string>, attempts int, due long")
 
-    def _attempted(self, rows: Iterator[tuple[str, str, int]], now: int) -> tuple[list[tuple], list[tuple]]:
-        """(id, outcome, attempts) of the rows that are done with, and the state of those that wait."""
-        done, waiting = [], []
-        for name, payload, attempts in rows:
-            attempts += 1
+    def _attempted(self, ids: list[str], payloads: list[str], attempts: int, now: int) -> tuple[pd.DataFrame | None, list[tuple]]:
+        """(id, outcome, attempts) of the rows that are done with after one more attempt, and the packs of those that wait."""
+        attempts += 1
+        done, outcomes, waiting = [], [], []
+        for name, payload in zip(ids, payloads, strict=True):
             try:
                 self.post(name, payload, attempts)
-                done.append((name, DELIVERED, attempts))
+                outcome = DELIVERED
             except Exception:  # whatever an endpoint raises is a failed attempt
-                if attempts > self.retries:
-                    done.append((name, FAILED, attempts))
-                else:
-                    waiting.append((name, payload, attempts, now + self.base_ms * 2 ** (attempts - 1)))
-        return done, waiting
-
-    def _out(self, done: list[tuple]) -> Iterator[pd.DataFrame]:
-        if done:
-            yield pd.DataFrame(done, columns=["id", "outcome", "attempts"])
-
-    def _schedule(self, waiting: list[tuple]) -> None:
-        for due in {w[3] for w in waiting}:
+                if attempts <= self.retries:
+                    waiting.append((name, payload))
+                    continue
+                outcome = FAILED
+            done.append(name)
+            outcomes.append(outcome)
+        due = now + self.base_ms * 2 ** (attempts - 1)
+        parts = [waiting[at : at + PACK] for at in range(0, len(waiting), PACK)]
+        packs = [([i for i, _ in part], [p for _, p in part], attempts, due) for part in parts]
+        return pd.DataFrame({"id": done, "outcome": outcomes, "attempts": attempts}) if done else None, packs
+
+    def _schedule(self, packs: list[tuple]) -> None:
+        for due in {p[3] for p in packs}:
             self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs()
+        scheduled = False
         for part in rows:
-            done, waiting = self._attempted(((i, p, 0) for i, p in zip(part["id"], part["payload"], strict=True)), now)
-            if waiting:
-                self.waiting.appendList(waiting)
-                self._schedule(waiting)
-            yield from self._out(done)
+            done, packs = self._attempted(part["id"].tolist(), part["payload"].tolist(), 0, now)
+            if packs:
+                self.waiting.appendList(packs)
+                if not scheduled:  # all are due at the same time
+                    self._schedule(packs)
+                    scheduled = True
+            if done is not None:
+                yield done
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs()
-        due, later = [], []
-        for row in self.waiting.get():
-            (due if row[3] <= now else later).append(tuple(row))
-        done, waiting = self._attempted(((i, p, n) for i, p, n, _ in due), now)
-        self._schedule(waiting)
-        if later or waiting:
-            self.waiting.put(later + waiting)
+        packs = [tuple(p) for p in self.waiting.get()] if self.waiting.exists() else []
+        left = [p for p in packs if p[3] > now]
+        if len(left) == len(packs):
+            return
+        again = []
+        for ids, payloads, attempts, due in packs:
+            if due <= now:
+                done, more = self._attempted(ids, payloads, attempts, now)
+                again += more
+                if done is not None:
+                    yield done
+        self._schedule(again)
+        if left or again:
+            self.waiting.put(left + again)
         else:
             self.waiting.clear()
-        yield from self._out(done)
 
     def close(self) -> None:
         pass

@@ -356,3 +356,26 @@ def test_a_queue_gives_many_batches_at_a_time():
     assert got["by"].tolist() == ["size"] * 25_010 + ["time"] * 3 and set(got["queue"]) == {"q"}
     assert [p for i, p in zip(got["id"], got["payload"]) if i < 25_004 and i % 9 == 0 and p is not None] == []
     assert got["payload"].tolist()[25_003:25_006] == ["p25003", "x", "x"] and not handle.states["waiting"].exists()
+
+
+def test_rows_that_wait_go_to_the_state_in_packs():
+    import pandas as pd
+
+    def post(name, payload, attempt):
+        if attempt <= int(payload):
+            raise ConnectionError
+
+    handle, lane = Handle(), L.Delivery(post, base_ms=100)
+    lane.init(handle)
+    rows = pd.DataFrame({"id": [str(i) for i in range(6_000)], "payload": [str(i % 6) for i in range(6_000)]})
+    out = list(lane.handleInputRows((0,), iter([rows[:3_000], rows[3_000:]]), handle))
+    handle.now += 50
+    out += lane.handleInputRows((0,), iter([pd.DataFrame({"id": ["late"], "payload": ["1"]})]), handle)
+    while handle.timers:
+        handle.now = min(handle.timers)
+        handle.timers.discard(handle.now)
+        out += lane.handleExpiredTimer((0,), handle, None)
+    got = pd.concat(out)
+    want = {str(i): (L.DELIVERED if i % 6 <= 3 else L.FAILED, min(i % 6 + 1, 4)) for i in range(6_000)} | {"late": (L.DELIVERED, 2)}
+    assert len(got) == 6_001 and {i: (o, n) for i, o, n in got[["id", "outcome", "attempts"]].values.tolist()} == want
+    assert not handle.states["waiting"].exists() and handle.states["waiting"].asked < 30
