@@ -87,14 +87,21 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Sample:
-    """The distinct subword buckets of some rows, an array for each, so that no step needs them all in one."""
+    """The distinct subword buckets of some rows, an array for each, so that no step needs them all in one.
+
+    ``rows`` has places in ``buckets``, those that any row has, so that a fit's arrays are as long as these, not as all buckets.
+    """
 
     def __init__(self, rows: list[np.ndarray]) -> None:
-        self.rows = rows
+        met = np.zeros(BUCKETS, bool)
+        for x in rows:
+            met[x] = True
+        self.buckets = np.flatnonzero(met)
+        self.rows = [np.searchsorted(self.buckets, x).astype(np.int32) for x in rows]
 
     def scores(self, model: Linear, earlier: np.ndarray) -> np.ndarray:
-        dense = np.zeros(BUCKETS)
-        dense[model.buckets] = model.weights
+        dense = np.zeros(len(self.buckets))
+        dense[np.searchsorted(self.buckets, model.buckets)] = model.weights
         return np.array([dense[x].sum() for x in self.rows]) + earlier @ model.earlier + model.bias
 
 
@@ -105,7 +112,7 @@ def fit(sample: Sample, rows: np.ndarray, label: np.ndarray, earlier: np.ndarray
     if not len(rows) or y.min() == y.max():
         return Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(k), 40.0 if len(rows) and y[0] else -40.0)
     n, positive = len(rows), y.sum()
-    seen, hit = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    seen, hit = np.zeros(len(sample.buckets)), np.zeros(len(sample.buckets))
     for r, label_of_row in zip(rows, y, strict=True):
         seen[sample.rows[r]] += 1
         hit[sample.rows[r]] += label_of_row
@@ -117,7 +124,7 @@ def fit(sample: Sample, rows: np.ndarray, label: np.ndarray, earlier: np.ndarray
     kept = kept[chi[kept] > LEAST_CHI]
     odds = np.log((hit[kept] + 0.5) / (positive + 1)) - np.log((seen[kept] - hit[kept] + 0.5) / (n - positive + 1))
     scale = np.concatenate([odds, np.ones(k)])
-    place = np.full(BUCKETS, -1)
+    place = np.full(len(sample.buckets), -1)
     place[kept] = np.arange(len(kept))
     own = [p[p >= 0] for p in (place[sample.rows[r]] for r in rows)]
     column = np.concatenate([*own, np.repeat(np.arange(k) + len(kept), n)]).astype(np.int64)
@@ -145,7 +152,7 @@ def fit(sample: Sample, rows: np.ndarray, label: np.ndarray, earlier: np.ndarray
         here, bias_here = new + (t - 1) / t_new * (new - w), new_bias + (t - 1) / t_new * (new_bias - bias)
         w, bias, t = new, new_bias, t_new
     w = w * scale
-    return Linear(kept, w[: len(kept)], w[len(kept) :], bias)
+    return Linear(sample.buckets[kept], w[: len(kept)], w[len(kept) :], bias)
 
 
 def fit_chain(sample: Sample, labels: np.ndarray) -> list[Linear]:

@@ -942,3 +942,24 @@ def test_a_very_long_text_is_read_whole(shipped):
     long_text = "w1 " * 900_000 + "rotter"
     got = toxicity.toxicity(shipped.createDataFrame([(1, long_text), (2, "w1 " * 900_000)], "doc_id long, text string").unionByName(docs), labels).filter("doc_id in (1, 2) AND p_toxic IS NOT NULL").collect()
     assert any(r.toxic for r in got)
+
+
+def test_a_fit_is_as_large_as_the_buckets_of_its_sample():
+    import tracemalloc
+
+    from chatloom.llm import toxicity
+
+    rnd = np.random.default_rng(3)
+    few = np.sort(rnd.choice(toxicity.BUCKETS, 500, replace=False))
+    label = np.arange(400) % 2
+    rows = [np.sort(rnd.choice(few[:300] if y else few[200:], 40, replace=False)) for y in label]
+    tracemalloc.start()
+    sample = toxicity.Sample(rows)
+    model = toxicity.fit(sample, np.arange(400), label, np.zeros((400, 0)))
+    scores = sample.scores(model, np.zeros((400, 0)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6
+    assert set(model.buckets.tolist()) <= set(few.tolist()) and len(model.buckets) > 100
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+    assert np.allclose(scores, [sum(weight.get(b, 0.0) for b in x.tolist()) + model.bias for x in rows]) and ((scores > 0) == (label == 1)).mean() > 0.95
