@@ -126,3 +126,62 @@ def test_keys_of_many_words_stay_exact():
     keys = shard.keys(first, 6)
     runs = [tuple(shard.ids[i : i + 6].tolist()) for i in first.tolist()]
     assert len(np.unique(keys)) == len(set(runs))
+
+
+def _frequent_far_below_the_best(seed, n):
+    """Words of very different frequency, phrases that keep together, and phrases inside longer ones."""
+    rng = random.Random(seed)
+    common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(400)]
+    phrases = [f"p{i} q{i % 40} p{i + 1}" for i in range(0, 200, 2)] + [f"p{i} q{i % 40}" for i in range(0, 200, 5)] + [f"c{i % 30} s{i} c{i % 7}" for i in range(90)] + ["t t t t"]
+    rows = []
+    for _ in range(n):
+        parts = [rng.choice(common if (x := rng.random()) < 0.6 else rare if x < 0.75 else phrases) + rng.choice([" "] * 9 + [". ", "\n", "\t"]) for _ in range(rng.randint(0, 80))]
+        rows.append(("".join(parts), rng.choice(["en", "en", "de", None])))
+    return rows
+
+
+@pytest.mark.parametrize(("words", "least", "share", "top", "thresholds"), [(3, 10, 50, 60, (100_000, 1_000)), (3, 4, 80, 25, (300_000,)), (2, 3, 50, 10, (50_000,)), (4, 3, 60, 50, (200_000, 20_000)), (3, 5, 50, 2000, (400_000,))])
+def test_a_score_to_reach_first_changes_no_result(shipped, words, least, share, top, thresholds):
+    rows = [*_texts(words + least, 100), *_frequent_far_below_the_best(top, 150)]
+    df = shipped.createDataFrame(rows, "text string, lang string").repartition(5)
+    got = co.collocations(df, words, least, share, top, 16, small=0, thresholds=thresholds)
+    assert sorted(map(tuple, got.collect())) == sorted(plain(rows, words, least, share, top))
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_few_runs_are_counted_however_full_the_sketch_is(full):
+    """What goes into an automaton is bounded by what may reach the score, not by the cells of the sketch."""
+    rng = random.Random(5)
+    text = " ".join(rng.choice([f"c{rng.randrange(40)}", f"c{rng.randrange(40)}", f"r{rng.randrange(4000)}"]) for _ in range(60000))
+    text += " " + " ".join("new york city" for _ in range(300))
+    shard = co.Shard("en", text.encode())
+    frequent = np.bincount(shard.ids) >= 10
+    words = np.zeros((1 << 20, 2), np.uint8)
+    levels = co._levels(np.bincount(shard.ids), 10)
+    at = co._slots(shard.word_hashes, 20)
+    np.maximum.at(words[:, 0], at[frequent], 255 - levels[frequent])
+    np.maximum.at(words[:, 1], at, levels)
+    cells = np.full(1 << 16, 60 if full else 0, np.int64)
+    for size in (2, 3):
+        np.add.at(cells, co._slots(shard.runs(size)[1], 16), 1)
+    runs = co.promising(shard, 3, 10, 50, 100_000, words, co._levels(cells, 10))
+    found = [p for size, first in enumerate(runs, 2) for p in shard.distinct(first, size)]
+    assert {b" new york ", b" york city ", b" new york city "} <= set(found)
+    assert len(found) < len(co.passing(shard, 3, np.full(1 << 13, 255, np.uint8), 16)[1]) / 20
+    want = Counter(" ".join(r) for r in plain_runs(text, 3))
+    assert co.count_matches(shard, found, runs).tolist() == [want[p[1:-1].decode()] for p in found]
+
+
+@pytest.mark.parametrize("most", [7, 64, 1000])
+def test_runs_over_a_cut_are_counted_once_by_the_text_around_them(most):
+    rows = _texts(2, 10)
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * len(rows), "text": [t for t, _ in rows]})
+    got: Counter = Counter()
+    for shard in co.shards(iter([batch]), 3, most):
+        runs = [shard.runs(size)[0][size % 2 :: 2] for size in (2, 3)]
+        keys = [np.unique(shard.keys(first, size)) for size, first in enumerate(runs, 2)]
+        runs = [first[np.isin(shard.keys(first, size), keys[size - 2])] for size, (first, _) in ((k, shard.runs(k)) for k in (2, 3))]
+        patterns = [p for size, first in enumerate(runs, 2) for p in shard.distinct(first, size)]
+        assert co.count_matches(shard, patterns, runs).tolist() == co.count_matches(shard, patterns).tolist()
+        got.update(patterns)
+    assert got
