@@ -21,7 +21,7 @@ A language of ``small`` words or more has its first ``top`` phrases sought above
 6. Phrases below the score are left out last, so what is there is the head of the full order.  A language with ``top`` phrases there is done; the others
    go on to the next score of ``thresholds`` and at last, as small ones do at once, to steps 1 to 3 without a score.
 
-The score bounds a count by the frequency of words, and both grow with the corpus, so the share of runs that is counted does not.  In steps 1 to 3,
+The score bounds a count by the frequency of words, and both grow with the corpus, so these bounds keep their force when the sketch is full.  In steps 1 to 3,
 where distinct runs outnumber the sketch's cells by far, more rare runs pass the bound; then more counts are shuffled, and results stay the same.
 
 Defined results: a null language is ``und`` and is one with rows that say so; null, empty and blank texts and rows without an identifier count like others
